@@ -68,7 +68,7 @@ def q_teams_in_league(spark, sf):
     return P.teams_in_league(match_rows(spark, sf), "NATION_7")
 
 
-_MATCHES_SQL = with_ctes(ROWS_PN, PLAYERS, f"""g AS (
+_MG = f"""mg AS (
   SELECT gameid, count(*) AS n, count(*) FILTER (WHERE side = 'Blue') AS nb,
          count(*) FILTER (WHERE side = 'Red') AS nr,
          {_picks("side = 'Blue'")} AS blue_picks, {_picks("side = 'Red'")} AS red_picks,
@@ -77,10 +77,15 @@ _MATCHES_SQL = with_ctes(ROWS_PN, PLAYERS, f"""g AS (
          {_first('date', "side = 'Blue'")} AS date,
          CAST(sum(kills) AS DOUBLE) AS total_kills,
          CAST({_first('gamelength', "side = 'Blue'")} AS DOUBLE) AS gamelength
-  FROM p GROUP BY gameid)""", select="""
-SELECT gameid, blue_picks, red_picks, blue_team, red_team, result, date, 1 AS blue_side,
-       total_kills, gamelength
-FROM g WHERE n = 10 AND nb = 5 AND nr = 5""")
+  FROM p GROUP BY gameid)"""
+
+# DuckDB CTE chain ending in ``matches`` (A1), reused by downstream oracles.
+MATCHES_CTES = (ROWS_PN, PLAYERS, _MG, """matches AS (
+  SELECT gameid, blue_picks, red_picks, blue_team, red_team, result, date, 1 AS blue_side,
+         total_kills, gamelength
+  FROM mg WHERE n = 10 AND nb = 5 AND nr = 5)""")
+
+_MATCHES_SQL = with_ctes(*MATCHES_CTES, select="SELECT * FROM matches")
 
 
 @register("matches", _MATCHES_SQL)
