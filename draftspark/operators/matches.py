@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.names import normalize_name
 from .participants import coerce_numeric, is_team_row, player_rows, team_rows
 
-PN = F.col("participantid").cast("int")
+def _pn() -> Column:
+    return F.col("participantid").cast("int")
 
 
 def _count_if(cond: Column) -> Column:
@@ -31,12 +32,12 @@ def _count_if(cond: Column) -> Column:
 def _first(col: str | Column, cond: Column) -> Column:
     """A2: value of the first row (lowest participant number) meeting ``cond``."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.min_by(c, F.when(cond, PN))
+    return F.min_by(c, F.when(cond, _pn()))
 
 
 def _ordered_picks(cond: Column, normalize: bool = False) -> Column:
     champ = normalize_name("champion") if normalize else F.col("champion")
-    item = F.when(cond, F.struct(PN.alias("pn"), champ.alias("c")))
+    item = F.when(cond, F.struct(_pn().alias("pn"), champ.alias("c")))
     return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"])
 
 
@@ -53,21 +54,25 @@ def _assemble(stats: DataFrame, picks: DataFrame, cols: list[str]) -> DataFrame:
     return stats.join(picks, "gameid").select(*cols)
 
 
-BLUE = F.col("side") == "Blue"
-RED = F.col("side") == "Red"
+def _blue() -> Column:
+    return F.col("side") == "Blue"
+
+
+def _red() -> Column:
+    return F.col("side") == "Red"
 
 
 def matches(rows: DataFrame) -> DataFrame:
     """A1: winner/kills loader.  Ten player rows, five per side."""
     players = player_rows(rows)
     stats = (players.groupBy("gameid").agg(
-        F.count(F.lit(1)).alias("n"), _count_if(BLUE).alias("nb"), _count_if(RED).alias("nr"),
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        _first(F.col("result").cast("int"), BLUE).alias("result"), _first("date", BLUE).alias("date"),
+        F.count(F.lit(1)).alias("n"), _count_if(_blue()).alias("nb"), _count_if(_red()).alias("nr"),
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        _first(F.col("result").cast("int"), _blue()).alias("result"), _first("date", _blue()).alias("date"),
         F.sum(F.col("kills").cast("double")).alias("total_kills"),
-        _first(F.col("gamelength").cast("double"), BLUE).alias("gamelength"))
+        _first(F.col("gamelength").cast("double"), _blue()).alias("gamelength"))
         .where("n = 10 AND nb = 5 AND nr = 5"))
-    return _assemble(stats, _picks(players, stats, BLUE, RED),
+    return _assemble(stats, _picks(players, stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "result",
                       "date", F.lit(1).alias("blue_side"), "total_kills", "gamelength"])
 
@@ -76,13 +81,13 @@ def matches_kills(rows: DataFrame) -> DataFrame:
     """Ten player rows, both sides present (no 5v5 rule)."""
     players = player_rows(rows)
     stats = (players.groupBy("gameid").agg(
-        F.count(F.lit(1)).alias("n"), _count_if(BLUE).alias("nb"), _count_if(RED).alias("nr"),
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        _first(F.col("result").cast("int"), BLUE).alias("blue_wins"),
+        F.count(F.lit(1)).alias("n"), _count_if(_blue()).alias("nb"), _count_if(_red()).alias("nr"),
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        _first(F.col("result").cast("int"), _blue()).alias("blue_wins"),
         F.sum(F.col("kills").cast("bigint")).alias("total_kills"),
-        _first("date", BLUE).alias("date"))
+        _first("date", _blue()).alias("date"))
         .where("n = 10 AND nb > 0 AND nr > 0"))
-    return _assemble(stats, _picks(players, stats, BLUE, RED),
+    return _assemble(stats, _picks(players, stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "blue_wins",
                       "total_kills", F.lit(1).alias("blue_side"), "date"])
 
@@ -91,18 +96,18 @@ def _all_rows_stats(rows: DataFrame, extra: list[Column]) -> DataFrame:
     """Minutes/turret loaders: the player count decides, but the side data
     (first row, presence) come from every row of the side."""
     return (rows.groupBy("gameid").agg(
-        _count_if(~is_team_row()).alias("n"), _count_if(BLUE).alias("nb"), _count_if(RED).alias("nr"),
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        _first(F.col("result").cast("int"), BLUE).alias("blue_wins"),
-        _first("date", BLUE).alias("date"), *extra)
+        _count_if(~is_team_row()).alias("n"), _count_if(_blue()).alias("nb"), _count_if(_red()).alias("nr"),
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        _first(F.col("result").cast("int"), _blue()).alias("blue_wins"),
+        _first("date", _blue()).alias("date"), *extra)
         .where("n = 10 AND nb > 0 AND nr > 0"))
 
 
 def matches_minutes(rows: DataFrame) -> DataFrame:
     """Game length in minutes (picks from player rows only, quirk Q2 fixed)."""
     stats = _all_rows_stats(rows, [
-        (_first(F.col("gamelength").cast("int"), BLUE) / F.lit(60.0)).alias("gamelength_min")])
-    return _assemble(stats, _picks(player_rows(rows), stats, BLUE, RED),
+        (_first(F.col("gamelength").cast("int"), _blue()) / F.lit(60.0)).alias("gamelength_min")])
+    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "gamelength_min",
                       "blue_wins", F.lit(1).alias("blue_side"), "date"])
 
@@ -112,7 +117,7 @@ def matches_turrets(rows: DataFrame) -> DataFrame:
     stats = _all_rows_stats(rows, [
         F.sum(coerce_numeric("towers", fill_zero=True, dtype="bigint")
               ).alias("total_turrets")])
-    return _assemble(stats, _picks(player_rows(rows), stats, BLUE, RED),
+    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "total_turrets",
                       "blue_wins", F.lit(1).alias("blue_side"), "date"])
 
@@ -121,11 +126,11 @@ def matches_length(rows: DataFrame) -> DataFrame:
     """A1e: seconds, normalized picks, no date; first player row's length."""
     players = player_rows(rows)
     stats = (players.groupBy("gameid").agg(
-        F.count(F.lit(1)).alias("n"), _count_if(BLUE).alias("nb"), _count_if(RED).alias("nr"),
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        F.min_by(F.col("gamelength").cast("int"), PN).alias("gamelength"))
+        F.count(F.lit(1)).alias("n"), _count_if(_blue()).alias("nb"), _count_if(_red()).alias("nr"),
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        F.min_by(F.col("gamelength").cast("int"), _pn()).alias("gamelength"))
         .where("n = 10 AND nb > 0 AND nr > 0"))
-    return _assemble(stats, _picks(players, stats, BLUE, RED, normalize=True),
+    return _assemble(stats, _picks(players, stats, _blue(), _red(), normalize=True),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "gamelength"])
 
 
@@ -162,15 +167,15 @@ def matches_towers(rows: DataFrame) -> DataFrame:
     tr = is_team_row()
     stats = (rows.groupBy("gameid").agg(
         _count_if(~tr).alias("n"), _count_if(tr).alias("nt"),
-        _count_if(~tr & BLUE).alias("nb"), _count_if(~tr & RED).alias("nr"),
-        _count_if(tr & BLUE).alias("ntb"), _count_if(tr & RED).alias("ntr"),
-        _first("teamname", tr & BLUE).alias("blue_team"), _first("teamname", tr & RED).alias("red_team"),
-        _first(towers, tr & BLUE).alias("bt"), _first(towers, tr & RED).alias("rt"),
-        _first("date", tr & BLUE).alias("date"))
+        _count_if(~tr & _blue()).alias("nb"), _count_if(~tr & _red()).alias("nr"),
+        _count_if(tr & _blue()).alias("ntb"), _count_if(tr & _red()).alias("ntr"),
+        _first("teamname", tr & _blue()).alias("blue_team"), _first("teamname", tr & _red()).alias("red_team"),
+        _first(towers, tr & _blue()).alias("bt"), _first(towers, tr & _red()).alias("rt"),
+        _first("date", tr & _blue()).alias("date"))
         .where("n = 10 AND nt = 2 AND nb = 5 AND nr = 5 AND ntb > 0 AND ntr > 0 "
                "AND bt IS NOT NULL AND rt IS NOT NULL")
         .withColumn("towers_total", F.col("bt") + F.col("rt")))
-    return _assemble(stats, _picks(player_rows(rows), stats, BLUE, RED),
+    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "towers_total", "date"])
 
 
@@ -178,11 +183,11 @@ def matches_flags(rows: DataFrame) -> DataFrame:
     """A1h: winner loader with both side flags."""
     players = player_rows(rows)
     stats = (players.groupBy("gameid").agg(
-        F.count(F.lit(1)).alias("n"), _count_if(BLUE).alias("nb"), _count_if(RED).alias("nr"),
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        _first(F.col("result").cast("int"), BLUE).alias("result"), _first("date", BLUE).alias("date"))
+        F.count(F.lit(1)).alias("n"), _count_if(_blue()).alias("nb"), _count_if(_red()).alias("nr"),
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        _first(F.col("result").cast("int"), _blue()).alias("result"), _first("date", _blue()).alias("date"))
         .where("n = 10 AND nb = 5 AND nr = 5"))
-    return _assemble(stats, _picks(players, stats, BLUE, RED),
+    return _assemble(stats, _picks(players, stats, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team",
                       F.lit(1).alias("blue_side"), F.lit(0).alias("red_side"), "result", "date"])
 
@@ -198,8 +203,8 @@ def game_counts(rows: DataFrame) -> DataFrame:
     """Per-game row counts (map-side combined)."""
     tr = is_team_row()
     return rows.groupBy("gameid").agg(
-        _count_if(~tr).alias("n_players"), _count_if(~tr & BLUE).alias("n_blue"),
-        _count_if(~tr & RED).alias("n_red"), _count_if(tr).alias("n_team_rows"))
+        _count_if(~tr).alias("n_players"), _count_if(~tr & _blue()).alias("n_blue"),
+        _count_if(~tr & _red()).alias("n_red"), _count_if(tr).alias("n_team_rows"))
 
 
 def complete_games(rows: DataFrame) -> DataFrame:
@@ -234,9 +239,9 @@ def sides_join(rows: DataFrame) -> DataFrame:
     p = player_rows(rows)
     k = F.col("kills").cast("bigint")
     return (p.groupBy("gameid").agg(
-        _first("teamname", BLUE).alias("blue_team"), _first("teamname", RED).alias("red_team"),
-        F.sum(F.when(BLUE, k)).alias("blue_kills"), F.sum(F.when(RED, k)).alias("red_kills"),
-        _count_if(BLUE).alias("blue_players"), _count_if(RED).alias("red_players"))
+        _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
+        F.sum(F.when(_blue(), k)).alias("blue_kills"), F.sum(F.when(_red(), k)).alias("red_kills"),
+        _count_if(_blue()).alias("blue_players"), _count_if(_red()).alias("red_players"))
         .where("blue_players > 0 AND red_players > 0"))
 
 
