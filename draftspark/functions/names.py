@@ -71,3 +71,22 @@ def duck_norm(expr: str) -> str:
 
 def duck_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+
+
+# Display-id aliases (F5); other names drop ' . and spaces.
+ALIASES = {
+    "Wukong": "MonkeyKing",
+    "Renata Glasc": "Renata",
+    "Bel'Veth": "Belveth",
+    "Kog'Maw": "KogMaw",
+    "Rek'Sai": "RekSai",
+    "Vel'Koz": "Velkoz",
+    "Cho'Gath": "ChoGath",
+    "Kai'Sa": "Kaisa",
+    "Kha'Zix": "Khazix",
+    "LeBlanc": "Leblanc",
+    "Nunu & Willump": "Nunu",
+}
+
+# Names whose title-casing the reference audits (D3).
+KNOWN_PROBLEM_NAMES = ["Kai'Sa", "Cho'Gath", "Vel'Koz", "Kog'Maw", "Rek'Sai", "Bel'Veth", "Kha'Zix"]
