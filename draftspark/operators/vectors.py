@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def vocabulary(matches: DataFrame, role_aware: bool = True) -> DataFrame:
     return global_ordinal(tokens, ["token"], "index")
 
 
-def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_picks") -> DataFrame:
+def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_picks",
+                 id_col: str = "gameid") -> DataFrame:
     """One row per (match, side, token); sides are +1 (blue) / -1 (red)."""
     if role_aware:
         b, r = role_tokens(F.col(blue)), role_tokens(F.col(red))
@@ -54,19 +56,19 @@ def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_pi
         r = F.transform(red, lambda c: normalize_name(c))
     items = F.concat(F.transform(F.array_distinct(b), lambda t: F.struct(F.lit(1).alias("sgn"), t.alias("token"))),
                      F.transform(F.array_distinct(r), lambda t: F.struct(F.lit(-1).alias("sgn"), t.alias("token"))))
-    return df.select("gameid", F.inline(items))
+    return df.select(F.col(id_col).alias("gameid"), F.inline(items))
 
 
 def signed_onehot_long(df: DataFrame, vocab: DataFrame, n_vocab: int | None, role_aware: bool = True,
-                       blue="blue_picks", red="red_picks") -> DataFrame:
+                       blue="blue_picks", red="red_picks", id_col: str = "gameid") -> DataFrame:
     """V2/V3 long form: (gameid, index, value), value != 0.  Tokens missing
     from the vocabulary are dropped (J8, inner lookup).  Distinct tokens per
     team give the assignment semantics; distinct tokens map to distinct
     indices, so summing the side signs by index is blue + red."""
-    toks = _team_tokens(df, role_aware, blue, red)
+    toks = _team_tokens(df, role_aware, blue, red, id_col)
     v = sized(vocab.select("token", "index"), n_vocab)
     joined = toks.join(v, "token")
-    return (joined.groupBy("gameid", "index").agg(F.sum("sgn").cast("double").alias("value"))
+    return (joined.groupBy(F.col("gameid").alias(id_col), "index").agg(F.sum("sgn").cast("double").alias("value"))
             .where(F.col("value") != 0))
 
 
@@ -80,7 +82,8 @@ def dense_from_entries(entries, size: int):
 def attach_vector(df: DataFrame, long: DataFrame, size: int, out_col: str, id_col: str = "gameid") -> DataFrame:
     """Regroup a long form per match (bounded: a few entries per match) and
     attach it as a dense vector column; matches without entries get zeros."""
-    per = long.groupBy(id_col).agg(F.collect_list(F.struct("index", "value")).alias("_e"))
+    per = long.groupBy(id_col).agg(F.collect_list(F.struct(F.col("index").cast("int").alias("index"),
+                                                           F.col("value").cast("double").alias("value"))).alias("_e"))
     out = df.join(per, id_col, "left").withColumn(
         "_e", F.coalesce(F.col("_e"), F.array().cast("array<struct<index:int,value:double>>")))
     return out.withColumn(out_col, dense_from_entries(F.col("_e"), size)).drop("_e")
@@ -92,11 +95,12 @@ class _VecParams(Params):
     numFeatures = Param(Params._dummy(), "numFeatures", "hash buckets", TypeConverters.toInt)
     blueCol = Param(Params._dummy(), "blueCol", "blue picks column", TypeConverters.toString)
     redCol = Param(Params._dummy(), "redCol", "red picks column", TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "match key", TypeConverters.toString)
 
     def __init__(self):
         super().__init__()
         self._setDefault(roleAware=True, outputCol="onehot", numFeatures=300,
-                         blueCol="blue_picks", redCol="red_picks")
+                         blueCol="blue_picks", redCol="red_picks", idCol="gameid")
 
     def _p(self, name):
         return self.getOrDefault(getattr(self, name))
@@ -109,9 +113,10 @@ class ChampionEmbeddingModel(Model, _VecParams, StatePersistence):
 
     def _transform(self, df):
         n = int(self._scalars["n"])
+        idc = self._p("idCol")
         long = signed_onehot_long(df, self._state["vocab"], n, self._p("roleAware"),
-                                  self._p("blueCol"), self._p("redCol"))
-        return attach_vector(df, long, n, self._p("outputCol"))
+                                  self._p("blueCol"), self._p("redCol"), idc)
+        return attach_vector(df, long, n, self._p("outputCol"), idc)
 
 
 class ChampionEmbedding(Estimator, _VecParams):
@@ -136,7 +141,8 @@ class ChampionEmbedding(Estimator, _VecParams):
 # Hashing
 # ---------------------------------------------------------------------------
 
-def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_picks") -> DataFrame:
+def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_picks",
+                id_col: str = "gameid") -> DataFrame:
     """Long form of the hashed encoders.
 
     mode ``concat`` (V5): blue in [0, n), red in [n, 2n), both with the hash sign.
@@ -154,14 +160,14 @@ def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_pi
         F.transform(b, lambda t: F.struct(t.alias("token"), F.lit(0).alias("off"), F.lit(1).alias("side"))),
         F.transform(r, lambda t: F.struct(t.alias("token"), F.lit(red_offset).alias("off"),
                                           F.lit(red_sign).alias("side"))))
-    toks = df.select("gameid", F.inline(items)).withColumn("h", token_hash("token"))
-    ent = toks.select("gameid", (bucket(F.col("h"), n) + F.col("off")).alias("index"),
+    toks = df.select(id_col, F.inline(items)).withColumn("h", token_hash("token"))
+    ent = toks.select(id_col, (bucket(F.col("h"), n) + F.col("off")).alias("index"),
                       (sign(F.col("h"), n) * F.col("side")).cast("double").alias("v"))
-    return (ent.groupBy("gameid", "index").agg(F.sum("v").alias("value"))
+    return (ent.groupBy(id_col, "index").agg(F.sum("v").alias("value"))
             .where(F.col("value") != 0))
 
 
-class PickHasher(Transformer, _VecParams):
+class PickHasher(Transformer, _VecParams, DefaultParamsReadable, DefaultParamsWritable):
     """V5 (mode concat, 2n features), V6 (diff), V7 (role_diff; feed
     role-sorted picks).  Stateless: no fit needed."""
 
@@ -174,5 +180,6 @@ class PickHasher(Transformer, _VecParams):
 
     def _transform(self, df):
         n, mode = self._p("numFeatures"), self.getOrDefault(self.mode)
-        long = hashed_long(df, n, mode, self._p("blueCol"), self._p("redCol"))
-        return attach_vector(df, long, 2 * n if mode == "concat" else n, self._p("outputCol"))
+        idc = self._p("idCol")
+        long = hashed_long(df, n, mode, self._p("blueCol"), self._p("redCol"), idc)
+        return attach_vector(df, long, 2 * n if mode == "concat" else n, self._p("outputCol"), idc)
