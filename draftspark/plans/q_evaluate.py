@@ -24,6 +24,12 @@ from .q_features import _CHAMP_FEATURES
 from .q_matches import MATCHES_CTES
 from .registry import ORACLE, register
 
+def bround_sql(expr: str, digits: int) -> str:
+    """DuckDB text matching Spark ``bround`` on a double: half-even on the
+    double's shortest decimal representation."""
+    return f"CAST(round_even(CAST(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
+
+
 _SCORED = [*_CHAMP_FEATURES, """sc0 AS (
   SELECT gameid, result AS true_class, total_kills, gamelength,
          round(blue_champ_wr, 6) AS cb, round(red_champ_wr, 6) AS cr,
@@ -85,8 +91,8 @@ def _bins_sql(variant: str, percent: bool) -> str:
     else:
         cond = "(d.confidence >= b.lo AND d.confidence < b.hi)"
     if percent:
-        metrics = ("round_even(coalesce(avg(d.correct), 0) * 100, 1) AS accuracy, "
-                   "round_even(coalesce(avg(d.confidence), 0) * 100, 1) AS expected_accuracy")
+        metrics = (f"{bround_sql('coalesce(avg(d.correct), 0) * 100', 1)} AS accuracy, "
+                   f"{bround_sql('coalesce(avg(d.confidence), 0) * 100', 1)} AS expected_accuracy")
     else:
         metrics = "round(coalesce(avg(d.correct), 0), 6) AS accuracy"
     body = f"""
@@ -173,11 +179,11 @@ def q_model_comparison(spark, sf):
         F.avg("confidence").alias("mean_confidence")))
 
 
-@register("calibration_gap", _m(f"cb AS ({_bins_sql('calibration', True)})", select="""
-SELECT model, bin, round_even(accuracy - expected_accuracy, 1) AS diff,
+@register("calibration_gap", _m(f"cb AS ({_bins_sql('calibration', True)})", select=f"""
+SELECT model, bin, {bround_sql('accuracy - expected_accuracy', 1)} AS diff,
        CASE WHEN accuracy > 70 THEN 'high' WHEN accuracy < 50 THEN 'low' ELSE 'mid' END AS tier,
-       abs(round_even(accuracy - expected_accuracy, 1)) <= 2 AS within_2,
-       CAST(round_even(accuracy, 1) AS VARCHAR) || '%' AS accuracy_text
+       abs({bround_sql('accuracy - expected_accuracy', 1)}) <= 2 AS within_2,
+       CAST(accuracy AS VARCHAR) || '%' AS accuracy_text
 FROM cb"""))
 def q_calibration_gap(spark, sf):
     """per calibration bin, the accuracy gap, its tier and the +-2 check."""
@@ -218,8 +224,8 @@ _X = "30 + 20 * (cb - cr)"  # deterministic 'predicted minutes'
 
 
 @register("interval_fixed", _m(select=f"""
-SELECT gameid, round_even({_X}, 1) AS predicted, round_even(greatest(0, {_X} - 2), 1) AS low,
-       round_even({_X} + 2, 1) AS high, greatest(0, round_even({_X} - 2, 1)) AS tower_low
+SELECT gameid, {bround_sql(_X, 1)} AS predicted, {bround_sql(f'greatest(0, {_X} - 2)', 1)} AS low,
+       {bround_sql(f'{_X} + 2', 1)} AS high, greatest(0, {bround_sql(f'{_X} - 2', 1)}) AS tower_low
 FROM sc0"""))
 def q_interval_fixed(spark, sf):
     f = champ_features(spark, sf)

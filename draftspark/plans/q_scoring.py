@@ -15,7 +15,7 @@ from ..operators import encoders as E
 from ..operators.roles import role_stats_long
 from ..sources.fixture import DRAFTS_CTE, drafts, match_rows, with_ctes
 from .common import base_matches, round_doubles
-from .q_evaluate import _SCORED, champ_features
+from .q_evaluate import _SCORED, bround_sql, champ_features
 from .q_features import _WIN_APP, _sigmoid_sql
 from .q_matches import MATCHES_CTES
 from .registry import register
@@ -108,8 +108,8 @@ _THRESHOLDS = [x + 0.5 for x in range(20, 35)]
 @register("threshold_map", with_ctes(*MATCHES_CTES, *_SCORED, f"""tp AS (
   SELECT gameid, t, least(greatest(0.5 + 4 * (cb - cr) - (t - 27.5) / 20, 0.0), 1.0) AS p
   FROM sc0 CROSS JOIN (SELECT unnest({_THRESHOLDS}) AS t))""", select="""
-SELECT gameid, list('over_' || CAST(t AS VARCHAR) ORDER BY t) AS keys, list(CAST(round_even(CAST(p AS DECIMAL(18, 15)), 3) AS DOUBLE) ORDER BY t) AS probs
-FROM tp GROUP BY gameid"""))
+SELECT gameid, list('over_' || CAST(t AS VARCHAR) ORDER BY t) AS keys, list(__BR__ ORDER BY t) AS probs
+FROM tp GROUP BY gameid""".replace("__BR__", bround_sql("p", 3))))
 def q_threshold_map(spark, sf):
     """B5/W11 on a fixed score per kill threshold: map ordered numerically
     (``over_20.5`` ... ``over_34.5``), probabilities to 3 places."""
