@@ -17,6 +17,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ordering import fold_bounds
+from ..session import in_session
 
 
 class TimeSeriesCVModel(Model):
@@ -60,7 +61,7 @@ class TimeSeriesCrossValidator(Estimator):
 
         jobs = [(fi, lo, hi, mi) for fi, lo, hi in folds for mi in range(len(self.maps))]
         with ThreadPoolExecutor(self.parallelism) as pool:
-            results = list(pool.map(run, jobs))
+            results = list(pool.map(in_session(df.sparkSession, run), jobs))
         fold_metrics = [[None] * len(self.maps) for _ in folds]
         for fi, mi, v in results:
             fold_metrics[fi][mi] = v
@@ -126,7 +127,7 @@ def time_series_search(df: DataFrame, feature_stages, learners: dict, evaluators
         return job, evaluators[t].evaluate(model.transform(te))
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        results = dict(pool.map(run, jobs))
+        results = dict(pool.map(in_session(df.sparkSession, run), jobs))
     full = feats.fit(df)
     full_t = full.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}

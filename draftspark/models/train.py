@@ -29,6 +29,7 @@ from ..operators.evaluate import regression_metrics
 from ..operators.labels import kill_labels, minute_labels, over_labels_wide, turret_labels
 from ..operators.ordering import (global_ordinal, hash_split, recency_weight, stratified_folds, tail_split,
                                   with_ordinal)
+from ..session import in_session
 from .cv import cv_scores_frame, time_series_search
 from .ensemble import SoftVoteClassifier
 from .grids import SMALL_GRID, param_maps
@@ -180,7 +181,7 @@ def train_kill_split(matches_team_kills: DataFrame, max_iter: int = 300, depth:
         return TrainResult("kill_threshold_split", name, t, model, scores)
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        out = list(pool.map(one, kill_labels()))
+        out = list(pool.map(in_session(df.sparkSession, one), kill_labels()))
     df.unpersist()
     return out
 

@@ -38,15 +38,25 @@ def scalar(df: DataFrame, expr: Column, default: float | None = None) -> float |
     return default if v is None else float(v)
 
 
+def _ckpt(df: DataFrame) -> DataFrame:
+    """Materialize a (small) fitted table in the shared checkpoint folder:
+    the input is scanned once, later reads hit the table."""
+    return df.checkpoint(eager=True)
+
+
 def sigmoid_target_table(app: DataFrame, smoothing: float, min_samples_leaf: float = 20.0):
     """Sigmoid-smoothed target mean per team.
 
     ``lam = 1 / (1 + exp(-(n - k) / s))``; ``enc = prior (1 - lam) + mean lam``.
+    One pass over the input: the prior comes from the per-team sums.
     Returns (table[team, n, mean, enc], prior)."""
-    prior = scalar(app, F.avg("y"), 0.5)
-    stats = app.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    stats = _ckpt(app.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
+                                          F.avg("y").alias("mean")))
+    tot = stats.agg(F.sum("sy").alias("sy"), F.sum("n").alias("n")).first()
+    prior = float(tot["sy"]) / tot["n"] if tot["n"] else 0.5
     lam = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n") - F.lit(float(min_samples_leaf))) / F.lit(float(smoothing))))
-    return stats.withColumn("enc", F.lit(prior) * (F.lit(1.0) - lam) + F.col("mean") * lam), prior
+    table = stats.withColumn("enc", F.lit(prior) * (F.lit(1.0) - lam) + F.col("mean") * lam).drop("sy")
+    return table, prior
 
 
 def champion_games(matches: DataFrame, label: str = "result") -> DataFrame:
@@ -62,7 +72,7 @@ def champion_win_rate_table(matches: DataFrame, smoothing: float = 10.0, label:
     """A10: ``(wins + m g) / (games + m)`` with g = all wins / all picks.
     Returns (table[champion, wins, games, win_rate], g)."""
     games = champion_games(matches, label)
-    stats = games.groupBy("champion").agg(F.sum("win").alias("wins"), F.count(F.lit(1)).alias("games"))
+    stats = _ckpt(games.groupBy("champion").agg(F.sum("win").alias("wins"), F.count(F.lit(1)).alias("games")))
     tot = stats.agg(F.sum("wins").alias("w"), F.sum("games").alias("n")).first()
     g = (tot["w"] / tot["n"]) if tot["n"] else 0.5
     m = F.lit(float(smoothing))
@@ -70,27 +80,32 @@ def champion_win_rate_table(matches: DataFrame, smoothing: float = 10.0, label:
     return stats.withColumn("win_rate", rate), g
 
 
+def _side_stats(matches: DataFrame, y: Column) -> DataFrame:
+    """One pass: per (side, team) games, label sum, label mean."""
+    both = F.array(F.struct(F.lit("blue").alias("side"), F.col("blue_team").alias("team"), y.alias("y")),
+                   F.struct(F.lit("red").alias("side"), F.col("red_team").alias("team"), y.alias("y")))
+    return _ckpt(matches.select(F.inline(both)).groupBy("side", "team").agg(
+        F.count(F.lit(1)).alias("games"), F.sum("y").alias("sy"), F.avg("y").alias("mean")))
+
+
 def team_side_win_rate_tables(matches: DataFrame, smoothing: float = 10.0, label: str = "result"):
     """Per-side smoothed team win rate; blue prior g = mean(y), red 1 - g.
     Returns (blue[team, games, wins, rate], red[...], g)."""
-    y = F.col(label).cast("int")
-    g = scalar(matches, F.avg(y), 0.5)
+    st = _side_stats(matches, F.col(label).cast("int"))
+    tot = st.where("side = 'blue'").agg(F.sum("sy").alias("w"), F.sum("games").alias("n")).first()
+    g = float(tot["w"]) / tot["n"] if tot["n"] else 0.5
     m = F.lit(float(smoothing))
-    blue = (matches.groupBy(F.col("blue_team").alias("team"))
-            .agg(F.count(F.lit(1)).alias("games"), F.sum(y).alias("wins"))
+    blue = (st.where("side = 'blue'").select("team", "games", F.col("sy").cast("bigint").alias("wins"))
             .withColumn("rate", (F.col("wins") + m * F.lit(g)) / (F.col("games") + m)))
-    red = (matches.groupBy(F.col("red_team").alias("team"))
-           .agg(F.count(F.lit(1)).alias("games"), F.sum(F.lit(1) - y).alias("wins"))
+    red = (st.where("side = 'red'").select("team", "games", (F.col("games") - F.col("sy")).cast("bigint").alias("wins"))
            .withColumn("rate", (F.col("wins") + m * F.lit(1.0 - g)) / (F.col("games") + m)))
     return blue, red, g
 
 
 def team_side_mean_tables(matches: DataFrame, label: str):
     """Unsmoothed mean of ``label`` per blue team and per red team."""
-    y = F.col(label).cast("double")
-    blue = matches.groupBy(F.col("blue_team").alias("team")).agg(F.avg(y).alias("mean"))
-    red = matches.groupBy(F.col("red_team").alias("team")).agg(F.avg(y).alias("mean"))
-    return blue, red
+    st = _side_stats(matches, F.col(label).cast("double"))
+    return (st.where("side = 'blue'").select("team", "mean"), st.where("side = 'red'").select("team", "mean"))
 
 
 def pick_score(matches: DataFrame, table: DataFrame, n_rows: int | None, default: float,
@@ -171,7 +186,6 @@ class TeamStrengthEncoder(_EncEstimator):
     def _fit(self, df):
         app = team_appearances(df, self._p("labelCol"), self._p("invertRed"))
         table, prior = sigmoid_target_table(app, self._p("smoothing"), self._p("minSamplesLeaf"))
-        table = table.checkpoint(eager=True)
         return self._make({"teams": table}, {"prior": prior, "n": table.count()})
 
 
@@ -187,7 +201,6 @@ class ChampionWinRateEstimator(_EncEstimator):
 
     def _fit(self, df):
         table, g = champion_win_rate_table(df, self._p("smoothing"), self._p("labelCol"))
-        table = table.checkpoint(eager=True)
         return self._make({"champions": table}, {"g": g, "n": table.count()})
 
 
@@ -205,7 +218,6 @@ class TeamSideWinRateEstimator(_EncEstimator):
 
     def _fit(self, df):
         blue, red, g = team_side_win_rate_tables(df, self._p("smoothing"), self._p("labelCol"))
-        blue, red = blue.checkpoint(eager=True), red.checkpoint(eager=True)
         return self._make({"blue": blue, "red": red}, {"g": g, "nb": blue.count(), "nr": red.count()})
 
 
@@ -222,5 +234,4 @@ class TeamTargetEncoder(_EncEstimator):
 
     def _fit(self, df):
         blue, red = team_side_mean_tables(df, self._p("labelCol"))
-        blue, red = blue.checkpoint(eager=True), red.checkpoint(eager=True)
         return self._make({"blue": blue, "red": red}, {"nb": blue.count(), "nr": red.count()})

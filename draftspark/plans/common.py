@@ -22,6 +22,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def base_matches(spark, sf) -> DataFrame:
-    """A1 over the fixture rows (the usual input of features and models)."""
-    return matches(match_rows(spark, sf))
+def base_matches(spark, sf, reuse: bool = False) -> DataFrame:
+    """A1 over the fixture rows (the usual input of features and models).
+    ``reuse``: the caller scans it more than once (fit, then transform), so
+    it is materialized once in the shared checkpoint folder."""
+    m = matches(match_rows(spark, sf))
+    return m.checkpoint(eager=True) if reuse else m

@@ -46,7 +46,7 @@ def _m(*ctes, select):
 
 
 def champ_features(spark, sf) -> DataFrame:
-    m = base_matches(spark, sf)
+    m = base_matches(spark, sf, reuse=True)
     model = E.ChampionWinRateEstimator(smoothing=10.0).fit(m)
     f = round_doubles(model.transform(m))
     return f.select("gameid", F.col("result").alias("true_class"), "total_kills", "gamelength",

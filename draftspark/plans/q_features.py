@@ -89,7 +89,7 @@ LEFT JOIN enc er ON er.team IS NOT DISTINCT FROM m.red_team"""
 @register("team_strength", _m(*_sigmoid_sql(_WIN_APP, 15.0),
                               select=_encoded_sql("blue_team_strength", "red_team_strength")))
 def q_team_strength(spark, sf):
-    m = base_matches(spark, sf)
+    m = base_matches(spark, sf, reuse=True)
     model = E.TeamStrengthEncoder(smoothing=15.0, labelCol="result").fit(m)
     return round_doubles(model.transform(m).select("gameid", "blue_team_strength", "red_team_strength"))
 
@@ -103,7 +103,7 @@ _MIN_APP = ("SELECT blue_team AS team, gamelength / 60.0 AS y FROM matches "
 @register("team_target_mean", _m(*_sigmoid_sql(_MIN_APP, 20.0),
                                  select=_encoded_sql("blue_team_enc", "red_team_enc")))
 def q_team_target_mean(spark, sf):
-    m = base_matches(spark, sf).withColumn("minutes", F.col("gamelength") / 60.0)
+    m = base_matches(spark, sf, reuse=True).withColumn("minutes", F.col("gamelength") / 60.0)
     model = E.TeamStrengthEncoder(smoothing=20.0, labelCol="minutes", invertRed=False).fit(m)
     out = model.transform(m).select("gameid", F.col("blue_team_strength").alias("blue_team_enc"),
                                     F.col("red_team_strength").alias("red_team_enc"))
@@ -115,7 +115,7 @@ SELECT round(stddev_pop(m.gamelength / 60.0 - (p.b + p.r) / 2), 6) AS residual_s
        count(*) AS n FROM matches m JOIN pred p ON p.gameid = m.gameid"""))
 def q_residual_std(spark, sf):
     """Population std of minutes minus the mean of both team encodings."""
-    m = base_matches(spark, sf).withColumn("minutes", F.col("gamelength") / 60.0)
+    m = base_matches(spark, sf, reuse=True).withColumn("minutes", F.col("gamelength") / 60.0)
     model = E.TeamStrengthEncoder(smoothing=20.0, labelCol="minutes", invertRed=False).fit(m)
     # round the encodings as the oracle does before differencing
     p = round_doubles(model.transform(m).select("gameid", "minutes", "blue_team_strength", "red_team_strength"))
@@ -145,7 +145,7 @@ def q_team_side_mean_table(spark, sf):
 SELECT m.gameid, round(coalesce(b.mean, 0.5), 6) AS blue_team_enc, round(coalesce(rr.mean, 0.5), 6) AS red_team_enc
 FROM matches m LEFT JOIN b ON b.team = m.blue_team LEFT JOIN rr ON rr.team = m.red_team"""))
 def q_team_side_mean(spark, sf):
-    m = base_matches(spark, sf).withColumn("over", (F.col("total_kills") > 25.5).cast("int"))
+    m = base_matches(spark, sf, reuse=True).withColumn("over", (F.col("total_kills") > 25.5).cast("int"))
     model = E.TeamTargetEncoder(labelCol="over").fit(m)
     return round_doubles(model.transform(m).select("gameid", "blue_team_enc", "red_team_enc"))
 
@@ -182,7 +182,7 @@ _CHAMP_FEATURES = [*_CHAMP, f"""sc AS (
 @register("champ_wr_features", _m(*_CHAMP_FEATURES, select="""
 SELECT gameid, round(blue_champ_wr, 6) AS blue_champ_wr, round(red_champ_wr, 6) AS red_champ_wr FROM cf"""))
 def q_champ_wr_features(spark, sf):
-    m = base_matches(spark, sf)
+    m = base_matches(spark, sf, reuse=True)
     model = E.ChampionWinRateEstimator(smoothing=10.0).fit(m)
     return round_doubles(model.transform(m).select("gameid", "blue_champ_wr", "red_champ_wr"))
 
@@ -213,7 +213,7 @@ SELECT m.gameid,
        round(coalesce((sr.wins + 10 * (1 - gm.g)) / (sr.games + 10), 1 - gm.g), 6) AS red_side_wr
 FROM matches m CROSS JOIN gm LEFT JOIN sb ON sb.team = m.blue_team LEFT JOIN sr ON sr.team = m.red_team"""))
 def q_team_side_wr(spark, sf):
-    m = base_matches(spark, sf)
+    m = base_matches(spark, sf, reuse=True)
     model = E.TeamSideWinRateEstimator(smoothing=10.0).fit(m)
     return round_doubles(model.transform(m).select("gameid", "blue_side_wr", "red_side_wr"))
 

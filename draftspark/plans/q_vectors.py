@@ -64,7 +64,7 @@ def q_signed_onehot(spark, sf):
     """V2 role aware: role-sorted picks (V1) -> role tokens -> vocabulary
     index -> +1 / -1 per team by assignment -> blue + red."""
     s = sorted_matches(spark, sf)
-    vocab = V.vocabulary(base_matches(spark, sf), role_aware=True)
+    vocab = V.vocabulary(s, role_aware=True)
     return V.signed_onehot_long(s, vocab, vocab.count(), role_aware=True,
                                 blue="blue_picks_sorted", red="red_picks_sorted")
 
@@ -73,7 +73,7 @@ def q_signed_onehot(spark, sf):
                                     _onehot_sql(_plain_tok("blue_picks"), _plain_tok("red_picks"), "matches"),
                                     select="SELECT gameid, CAST(index AS BIGINT) AS index, value FROM oh"))
 def q_signed_onehot_plain(spark, sf):
-    m = base_matches(spark, sf)
+    m = base_matches(spark, sf, reuse=True)
     vocab = V.vocabulary(m, role_aware=False)
     return V.signed_onehot_long(m, vocab, vocab.count(), role_aware=False)
 

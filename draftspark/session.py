@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # only takes effect when this process launches the JVM (local runs, tests)
+    "spark.driver.memory": "12g",
 }
 
 
@@ -69,3 +71,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/draftspark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def in_session(spark: SparkSession, fn):
+    """Wrap ``fn`` for a driver worker thread: the JVM keeps the active
+    session per thread, and plans built without one fail at execution."""
+    def run(*args, **kwargs):
+        spark._jvm.org.apache.spark.sql.SparkSession.setActiveSession(spark._jsparkSession)
+        return fn(*args, **kwargs)
+    return run
