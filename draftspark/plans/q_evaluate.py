@@ -262,11 +262,40 @@ def q_regression_metrics(spark, sf):
 
 # --- F14 / W11 -----------------------------------------------------------------
 
-@register("parse_threshold", None)
+def _label_files_sql() -> str:
+    specs = [("kills", kill_labels(), ""), ("time", minute_labels(), "time_"), ("turrets", turret_labels(), "")]
+    vals = ", ".join(f"('{task}', '{prefix}{n}.joblib')" for task, spec, prefix in specs for n, _ in spec)
+    return f"""files AS (
+  SELECT DISTINCT f.task, f.file FROM (VALUES {vals}) f(task, file)
+  WHERE EXISTS (SELECT 1 FROM ({ORACLE['matches_kills']}) mk))"""
+
+
+_PARSE = """CASE WHEN regexp_matches(file, 'over_[0-9]+_[0-9]+')
+     THEN CAST(regexp_extract(file, 'over_([0-9]+)_([0-9]+)', 1) || '.' || regexp_extract(file, 'over_([0-9]+)_([0-9]+)', 2) AS DOUBLE)
+     ELSE CAST(regexp_extract(file, 'over_([0-9]+)', 1) AS DOUBLE) END"""
+
+
+@register("parse_threshold", with_ctes(_label_files_sql(), select=f"SELECT task, file, {_PARSE} AS threshold FROM files"))
 def q_parse_threshold(spark, sf):
-    """F14 + W11: model file names derived from the label sets (kill, minute,
-    turret) present in the data, parsed back to thresholds and ranked
-    numerically within each task."""
+    """model file names derived from the label sets (kill, minute,
+    turret) of the kills loader's rows, parsed back to thresholds."""
+    return _label_files(spark, sf).withColumn("threshold", D.parse_threshold("file"))
+
+
+@register("sorted_thresholds", with_ctes(_label_files_sql(), select=f"""
+SELECT task, file, {_PARSE} AS threshold,
+       CAST(row_number() OVER (PARTITION BY task ORDER BY {_PARSE}) AS INT) AS position FROM files"""))
+def q_sorted_thresholds(spark, sf):
+    """Thresholds ordered by the number inside the name, per task (one
+    small window partition per task: at most 15 label names each)."""
+    from pyspark.sql import Window
+
+    t = _label_files(spark, sf).withColumn("threshold", D.parse_threshold("file"))
+    w = Window.partitionBy("task").orderBy("threshold")
+    return t.withColumn("position", F.row_number().over(w))
+
+
+def _label_files(spark, sf):
     m = matches_kills(match_rows(spark, sf))
     names = []
     for task, spec, prefix in (("kills", kill_labels(), ""), ("time", minute_labels(), "time_"),
@@ -274,5 +303,4 @@ def q_parse_threshold(spark, sf):
         lab = over_labels_long(m, "total_kills", spec).select("label").distinct()
         names.append(lab.select(F.lit(task).alias("task"),
                                 F.concat(F.lit(prefix), F.col("label"), F.lit(".joblib")).alias("file")))
-    allf = names[0].unionByName(names[1]).unionByName(names[2])
-    return allf.withColumn("threshold", D.parse_threshold("file"))
+    return names[0].unionByName(names[1]).unionByName(names[2])

@@ -228,3 +228,24 @@ def q_target_stats(spark, sf):
     return round_doubles(m.agg(F.avg("total_kills").alias("mean"), F.stddev_samp("total_kills").alias("std"),
                                F.min("total_kills").alias("min"), F.max("total_kills").alias("max"),
                                F.count(F.lit(1)).alias("n")))
+
+
+# --- V13 -----------------------------------------------------------------------
+
+@register("zscore", _m(*_CHAMP_FEATURES, select="""
+SELECT gameid,
+       round((blue_champ_wr - avg(blue_champ_wr) OVER ()) / stddev_samp(blue_champ_wr) OVER (), 6) AS z_blue,
+       round((red_champ_wr - avg(red_champ_wr) OVER ()) / stddev_samp(red_champ_wr) OVER (), 6) AS z_red
+FROM cf"""))
+def q_zscore(spark, sf):
+    """StandardScaler (mean and n-1 std) over the champion win-rate features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    m = base_matches(spark, sf, reuse=True)
+    pipe = Pipeline(stages=[E.ChampionWinRateEstimator(smoothing=10.0),
+                            VectorAssembler(inputCols=["blue_champ_wr", "red_champ_wr"], outputCol="x"),
+                            StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)])
+    out = pipe.fit(m).transform(m).select("gameid", vector_to_array("z").alias("z"))
+    return round_doubles(out.select("gameid", F.col("z")[0].alias("z_blue"), F.col("z")[1].alias("z_red")))

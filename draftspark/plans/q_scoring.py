@@ -125,12 +125,12 @@ def q_threshold_map(spark, sf):
 _SEEN_EARLY = f"""early AS (
   SELECT DISTINCT {duck_norm('c')} AS champion FROM (
     SELECT unnest(blue_picks || red_picks) AS c FROM matches
-    WHERE date < (SELECT min(date) + (max(date) - min(date)) / 10 FROM matches)))"""
+    WHERE date < (SELECT min(date) + (max(date) - min(date)) / 50 FROM matches)))"""
 
 
 def _seen_early(spark, sf):
     m = base_matches(spark, sf)
-    lim = m.agg((F.min("date") + (F.max("date") - F.min("date")) / 10).alias("cut")).first()["cut"]
+    lim = m.agg((F.min("date") + (F.max("date") - F.min("date")) / 50).alias("cut")).first()["cut"]
     return role_stats_long(m.where(F.col("date") < F.lit(lim))).select("champion").distinct()
 
 
@@ -151,3 +151,22 @@ def q_draft_quality(spark, sf):
                     "unknown_blue", "unknown_red")
 
 
+
+
+@register("unknown_picks", with_ctes(*MATCHES_CTES, _SEEN_EARLY, DRAFTS_CTE, _VALIDATE, _PREP, f"""pk AS (
+  SELECT draft_id, 'blue' AS side, unnest(blue_picks) AS pick FROM prep
+  UNION ALL SELECT draft_id, 'red', unnest(red_picks) FROM prep)""", select=f"""
+SELECT draft_id, side, pick FROM pk
+WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.champion = {duck_norm('pick')})"""))
+def q_unknown_picks(spark, sf):
+    """Picks of valid drafts not seen in the first tenth of the match
+    period (explode + left anti join against the size-checked seen set)."""
+    from ..operators.lookup import sized
+
+    v = S.prepare_drafts(S.validate_drafts(_drafts(spark, sf)).where("error IS NULL").drop("error"))
+    seen = _seen_early(spark, sf).checkpoint(eager=True)
+    items = F.concat(F.transform("blue_picks", lambda c: F.struct(F.lit("blue").alias("side"), c.alias("pick"))),
+                     F.transform("red_picks", lambda c: F.struct(F.lit("red").alias("side"), c.alias("pick"))))
+    p = v.select("draft_id", F.inline(items))
+    s = sized(seen.select(F.col("champion").alias("pick")), seen.count())
+    return p.join(s, "pick", "left_anti").select("draft_id", "side", "pick")

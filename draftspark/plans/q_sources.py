@@ -55,3 +55,18 @@ def q_source_freshness(spark, sf):
     """Newest modification time of the participant files, formatted."""
     path = _csv(spark, sf, match_rows(spark, sf), "participants-csv-fresh")
     return S.freshness(S.read_participants(spark, path, columns=["gameid", "_metadata"]))
+
+
+@register("union_seasons", with_ctes(select="""
+SELECT gameid, participantid, champion, CASE WHEN year(date) <= 1995 THEN towers END AS towers,
+       CASE WHEN year(date) <= 1995 THEN 'early' ELSE 'late' END AS season
+FROM match_rows"""))
+def q_union_seasons(spark, sf):
+    """Two season folders with different columns (the later one has no
+    towers) read separately and stacked by name, missing columns as null."""
+    rows = match_rows(spark, sf).withColumn("season", F.when(F.year("date") <= 1995, "early").otherwise("late"))
+    early, late = scratch_path(spark, "season-early"), scratch_path(spark, "season-late")
+    rows.where("season = 'early'").write.mode("overwrite").parquet(early)
+    rows.where("season = 'late'").drop("towers").write.mode("overwrite").parquet(late)
+    both = spark.read.parquet(early).unionByName(spark.read.parquet(late), allowMissingColumns=True)
+    return both.select("gameid", "participantid", "champion", "towers", "season")
