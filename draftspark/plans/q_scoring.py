@@ -143,7 +143,7 @@ SELECT draft_id, count(e.champion) AS known, count(e.champion) / 10.0 AS known_r
 FROM pk LEFT JOIN early e ON e.champion = {duck_norm('pick')} GROUP BY draft_id"""))
 def q_draft_quality(spark, sf):
     """Share of each valid draft's picks seen in the first
-    tenth of the match period (the 'training' period) and the unseen picks."""
+    fiftieth of the match period (the training window) and the unseen picks."""
     v = S.prepare_drafts(S.validate_drafts(_drafts(spark, sf)).where("error IS NULL").drop("error"))
     seen = _seen_early(spark, sf).checkpoint(eager=True)
     q = S.draft_quality(v, seen, seen.count())
@@ -159,7 +159,7 @@ def q_draft_quality(spark, sf):
 SELECT draft_id, side, pick FROM pk
 WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.champion = {duck_norm('pick')})"""))
 def q_unknown_picks(spark, sf):
-    """Picks of valid drafts not seen in the first tenth of the match
+    """Picks of valid drafts not seen in the first fiftieth of the match
     period (explode + left anti join against the size-checked seen set)."""
     from ..operators.lookup import sized
 
