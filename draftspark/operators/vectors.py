@@ -31,10 +31,19 @@ from .ordering import global_ordinal
 # Vocabulary and signed one-hot
 # ---------------------------------------------------------------------------
 
-def vocabulary(matches: DataFrame, role_aware: bool = True) -> DataFrame:
+# Vocabularies up to this many tokens are numbered in one sorted task; larger
+# ones use the partitioned global ordinal.  The count is exact (checked).
+SMALL_VOCAB_ROWS = 1_000_000
+
+
+def vocabulary(matches: DataFrame, role_aware: bool = True, with_count: bool = False):
     """Sorted token list with 0-based index.  Tokens are every seen
-    champion (normalized), crossed with the five roles when role aware.  The
-    index comes from the partitioned global ordinal (no single-task window)."""
+    champion (normalized), crossed with the five roles when role aware.
+    The distinct tokens are materialized and counted; a vocabulary under
+    ``SMALL_VOCAB_ROWS`` is numbered by one sorted window, a larger one by
+    the partitioned global ordinal (no single task holds it)."""
+    from pyspark.sql import Window
+
     champs = (matches.select(F.explode(F.concat("blue_picks", "red_picks")).alias("c"))
               .select(normalize_name("c").alias("champion")).distinct())
     if role_aware:
@@ -43,7 +52,13 @@ def vocabulary(matches: DataFrame, role_aware: bool = True) -> DataFrame:
                                .alias("token"))
     else:
         tokens = champs.select(F.col("champion").alias("token"))
-    return global_ordinal(tokens, ["token"], "index")
+    tokens = tokens.checkpoint(eager=True)
+    n = tokens.count()
+    if n <= SMALL_VOCAB_ROWS:
+        vocab = tokens.withColumn("index", F.row_number().over(Window.orderBy("token")).cast("bigint") - 1)
+    else:
+        vocab = global_ordinal(tokens, ["token"], "index")
+    return (vocab, n) if with_count else vocab
 
 
 def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_picks",
@@ -73,9 +88,20 @@ def signed_onehot_long(df: DataFrame, vocab: DataFrame, n_vocab: int | None, rol
 
 
 def dense_from_entries(entries, size: int):
-    """array<struct<index,value>> -> dense vector of ``size`` (JVM-side)."""
-    arr = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(
-        entries, F.lit(0.0), lambda acc, e: acc + F.when(e["index"] == i, e["value"]).otherwise(F.lit(0.0))))
+    """array<struct<index,value>> with unique indices -> dense vector of
+    ``size`` (JVM-side).  One pass over the entries sorted by index: each
+    step appends the zero gap and the value (native array ops), so the work
+    per row is a few lambda calls, not one per position."""
+    srt = F.array_sort(entries)
+    init = F.struct(F.array().cast("array<double>").alias("a"), F.lit(-1).alias("last"))
+
+    def step(acc, e):
+        gap = F.array_repeat(F.lit(0.0), e["index"] - acc["last"] - 1)
+        return F.struct(F.concat(acc["a"], gap, F.array(e["value"].cast("double"))).alias("a"),
+                        e["index"].alias("last"))
+
+    res = F.aggregate(srt, init, step)
+    arr = F.concat(res["a"], F.array_repeat(F.lit(0.0), F.lit(size - 1) - res["last"]))
     return array_to_vector(arr)
 
 
@@ -128,12 +154,12 @@ class ChampionEmbedding(Estimator, _VecParams):
         self._set(**kw)
 
     def _fit(self, df):
-        vocab = vocabulary(df.select(F.col(self._p("blueCol")).alias("blue_picks"),
-                                     F.col(self._p("redCol")).alias("red_picks")),
-                           self._p("roleAware")).checkpoint(eager=True)
+        vocab, n = vocabulary(df.select(F.col(self._p("blueCol")).alias("blue_picks"),
+                                        F.col(self._p("redCol")).alias("red_picks")),
+                              self._p("roleAware"), with_count=True)
         m = ChampionEmbeddingModel()
         self._copyValues(m)
-        m._state, m._scalars = {"vocab": vocab}, {"n": vocab.count()}
+        m._state, m._scalars = {"vocab": vocab.checkpoint(eager=True)}, {"n": n}
         return m
 
 
