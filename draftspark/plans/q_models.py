@@ -16,7 +16,7 @@ from ..models.registry import load_registry, registry_check, registry_from_resul
 from ..models.score import result_json, score_all
 from ..operators import matches as M
 from ..operators.roles import role_stats_long
-from ..session import scratch_path
+from ..session import scratch_path, session_key
 from ..sources.fixture import drafts, match_rows
 from .registry import register
 
@@ -24,7 +24,7 @@ _CACHE: dict = {}
 
 
 def _memo(spark, sf, task, fn):
-    key = (id(spark), sf, task)
+    key = (session_key(spark), sf, task)
     if key not in _CACHE:
         _CACHE[key] = fn()
     return _CACHE[key]

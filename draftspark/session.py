@@ -80,3 +80,13 @@ def in_session(spark: SparkSession, fn):
         spark._jvm.org.apache.spark.sql.SparkSession.setActiveSession(spark._jsparkSession)
         return fn(*args, **kwargs)
     return run
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session (application + JVM session id) for caches
+    of per-session derived tables."""
+    try:
+        sid = spark._jsparkSession.sessionUUID()
+    except Exception:  # noqa: BLE001 - older JVM sessions without the accessor
+        sid = spark._jsparkSession.hashCode()
+    return (spark.sparkContext.applicationId, str(sid))
