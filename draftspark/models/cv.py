@@ -109,15 +109,26 @@ def time_series_search(df: DataFrame, feature_stages, learners: dict, evaluators
     n = df.count()
     o = df[ordinal_col]
     feats = Pipeline(stages=list(feature_stages))
-    folds = []
-    for fi, lo, hi in fold_bounds(n, num_folds):
-        if lo <= 0:
-            continue
+    spans = [(lo, hi) for _, lo, hi in fold_bounds(n, num_folds) if lo > 0]
+
+    def fit_features(span):
+        # span None: all rows (for the final refit)
+        if span is None:
+            fm = feats.fit(df)
+            return fm, fm.transform(df).persist(StorageLevel.MEMORY_AND_DISK), None
+        lo, hi = span
         train = df.where(o < lo)
         fm = feats.fit(train)
         tr = fm.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
         te = fm.transform(df.where((o >= lo) & (o < hi))).persist(StorageLevel.MEMORY_AND_DISK)
-        folds.append((tr, te))
+        return fm, tr, te
+
+    # fold feature pipelines (and the all-rows one) are independent: fit them
+    # concurrently as separate Spark jobs
+    with ThreadPoolExecutor(max(1, min(parallelism, len(spans) + 1))) as pool:
+        fitted = list(pool.map(in_session(df.sparkSession, fit_features), [*spans, None]))
+    folds = [(tr, te) for _, tr, te in fitted[:-1]]
+    full, full_t, _ = fitted[-1]
     jobs = [(t, mi, fi) for t in learners for mi in range(len(param_grid_maps[t])) for fi in range(len(folds))]
 
     def run(job):
@@ -128,9 +139,7 @@ def time_series_search(df: DataFrame, feature_stages, learners: dict, evaluators
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         results = dict(pool.map(in_session(df.sparkSession, run), jobs))
-    full = feats.fit(df)
-    full_t = full.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
-    out = {}
+    summary = {}
     for t in learners:
         maps = param_grid_maps[t]
         fold_metrics = [[results[(t, mi, fi)] for mi in range(len(maps))] for fi in range(len(folds))]
@@ -140,8 +149,14 @@ def time_series_search(df: DataFrame, feature_stages, learners: dict, evaluators
         for i, v in enumerate(avg):
             if (v > avg[best]) if larger else (v < avg[best]):
                 best = i
-        learner_model = learners[t].fit(full_t, maps[best])
-        out[t] = (PipelineModel(stages=[*full.stages, learner_model]), avg, fold_metrics, best)
+        summary[t] = (avg, fold_metrics, best)
+
+    def refit(t):
+        return t, learners[t].fit(full_t, param_grid_maps[t][summary[t][2]])
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        refitted = dict(pool.map(in_session(df.sparkSession, refit), list(learners)))
+    out = {t: (PipelineModel(stages=[*full.stages, refitted[t]]), *summary[t]) for t in learners}
     for tr, te in folds:
         tr.unpersist()
         te.unpersist()
