@@ -71,3 +71,17 @@ def test_empty_input(spark):
     assert M.matches(df).count() == 0
     assert M.matches_towers(df).count() == 0
     assert F is not None
+
+
+def test_hot_game_key_is_rejected_without_collecting_it(spark):
+    """One game id holding a third of all rows: phase 1 (map-side combined
+    counts) rejects it, so phase 2 never collects its picks."""
+    normal = []
+    for g in range(40):
+        normal += game(f"g{g}", B5, R5)
+    hot = [("hot", "Blue" if i % 2 else "Red", i + 1000, f"c{i % 50}", "A", 1, 1, 1800, None, 0)
+           for i in range(20000)]
+    df = rows_df(spark, normal + hot)
+    assert M.matches(df).count() == 40
+    rej = {r.gameid: (r.n_players, r.reason) for r in M.rejected_games(df).collect()}
+    assert rej == {"hot": (20000, "players_not_10")}

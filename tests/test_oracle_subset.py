@@ -50,3 +50,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["gameid", "blue_champ_wr", "red_champ_wr"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("key", ["matches", "champ_wr_features", "role_assign", "signed_onehot", "hashed_role_diff",
+                                 "calibration_bins", "match_ordinal", "draft_quality"])
+def test_no_python_udf_in_plan(spark, key):
+    plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
