@@ -2,9 +2,9 @@
 
 Confidence bins are assigned by a CASE chain over the bin edges (a
 projection, no join), aggregated per bin (map-side combined: at most a few
-partial rows per task), and zero-filled by a left join *from* the fixed bin
-table (ten rows, broadcast).  The four reference variants differ in which
-edges are closed and whether empty bins are shown:
+partial rows per task), and zero-filled by a left join from the full bin
+list (a literal array exploded per model group).  The four reference
+variants differ in which edges are closed and whether empty bins are shown:
 
 * E1 ``calibration``: 0.5-1.0 by 0.05, right-closed, lowest edge included,
   zero-filled; accuracy and mean confidence in percent, one decimal.
