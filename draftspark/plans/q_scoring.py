@@ -170,3 +170,13 @@ def q_unknown_picks(spark, sf):
     p = v.select("draft_id", F.inline(items))
     s = sized(seen.select(F.col("champion").alias("pick")), seen.count())
     return p.join(s, "pick", "left_anti").select("draft_id", "side", "pick")
+
+
+@register("score_requests", _d(_PREP, select="""
+SELECT draft_id, blue_picks, red_picks, blue_team, red_team, 1 AS blue_side, 0 AS red_side FROM prep"""))
+def q_score_requests(spark, sf):
+    """The scoring input built from any DataFrame of drafts: valid
+    requests with title-cased picks, default teams and side flags."""
+    v = S.validate_drafts(_drafts(spark, sf)).where("error IS NULL").drop("error")
+    return S.prepare_drafts(v).select("draft_id", "blue_picks", "red_picks", "blue_team", "red_team",
+                                      "blue_side", "red_side")
