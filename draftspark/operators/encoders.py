@@ -113,7 +113,10 @@ def pick_score(matches: DataFrame, table: DataFrame, n_rows: int | None, default
     """Per match, sum of the champions' rates (unseen -> ``default``)
     divided by ``divisor`` for blue and red.  Explode + lookup + regroup on
     the match key; when the input is already partitioned on the key (as
-    reconstructed matches are) the regroup needs no new shuffle."""
+    reconstructed matches are) neither the regroup nor the join back adds an
+    exchange.  The input is read twice (explode branch and join back), so an
+    expensively derived input should be materialized first (the registered
+    queries checkpoint the match table)."""
     items = F.concat(
         F.transform("blue_picks", lambda c: F.struct(normalize_name(c).alias("champion"), F.lit(1).alias("is_blue"))),
         F.transform("red_picks", lambda c: F.struct(normalize_name(c).alias("champion"), F.lit(0).alias("is_blue"))))
