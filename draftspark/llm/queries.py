@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .decontam import contamination
 from .line_dedup import dedup_lines
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
 
@@ -28,3 +29,35 @@ FROM m JOIN d USING (rid) GROUP BY d.rid, d.doc_id
 def op9(spark, sf):
     out = dedup_lines(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_ITEM_WINDOWS = """
+w AS (SELECT item_id, CASE WHEN len(ws) <= 10 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i+9], ' ')) END AS wins, least(len(ws), 10) AS wl
+      FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, wl, unnest(wins) AS win FROM w)"""
+
+OP8_SQL = f"""
+WITH {_ITEM_WINDOWS.strip()},
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+lens AS (SELECT DISTINCT wl FROM iw),
+dw AS (SELECT rid, wl, i, array_to_string(ws[i:i+wl-1], ' ') AS win
+       FROM (SELECT rid, ws, wl, unnest(range(1, len(ws) - wl + 2)) AS i FROM d, lens WHERE len(ws) >= wl)),
+h AS (SELECT dw.rid, dw.wl, dw.i, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.wl = iw.wl),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + wl)) AS p FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+      FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+@register("op8_decontamination", OP8_SQL)
+def op8(spark, sf):
+    out = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
