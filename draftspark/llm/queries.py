@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contamination
 from .line_dedup import dedup_lines
+from .simhash import near_duplicates
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
 
 
@@ -61,3 +62,9 @@ def op8(spark, sf):
     out = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op6_simhash_near_dedup")
+def op6(spark, sf):
+    out = near_duplicates(table(spark, sf, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
