@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .decontam import contamination
+from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
@@ -68,3 +69,9 @@ def op8(spark, sf):
 def op6(spark, sf):
     out = near_duplicates(table(spark, sf, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op2_language_id")
+def op2(spark, sf):
+    out = identify(table(spark, sf, "documents"))
+    return out.select("row.doc_id", "held_out", "lang_pred", "score")
