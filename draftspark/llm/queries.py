@@ -8,6 +8,7 @@ from .decontam import contamination
 from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
+from .pieces import decode, encode
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
 
 
@@ -75,3 +76,11 @@ def op6(spark, sf):
 def op2(spark, sf):
     out = identify(table(spark, sf, "documents"))
     return out.select("row.doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op3_sentencepiece")
+def op3(spark, sf):
+    coded = encode(table(spark, sf, "documents"))
+    text = F.coalesce("row.row.text", F.lit(""))
+    return decode(coded).select("row.row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                                F.sha2("text", 256).alias("decoded_sha256"), (F.col("text") == text).alias("round_trip"))
