@@ -8,6 +8,7 @@ from .decontam import contamination
 from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
+from .pii import KINDS, find
 from .pieces import decode, encode
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
 
@@ -84,3 +85,21 @@ def op3(spark, sf):
     text = F.coalesce("row.row.text", F.lit(""))
     return decode(coded).select("row.row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                                 F.sha2("text", 256).alias("decoded_sha256"), (F.col("text") == text).alias("round_trip"))
+
+
+@register("op1_pii")
+def op1(spark, sf):
+    out = find(table(spark, sf, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    in_order = F.array_sort(F.col("spans"), lambda a, b: F.when(_kind(a) != _kind(b), _kind(a) - _kind(b)).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["end"] - b["end"]).cast("int")))
+    return out.select("row.doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+                      F.sha2(joined(base), 256).alias("base_sha256"), joined(in_order).alias("spans"),
+                      F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+def _kind(span):
+    return F.array_position(F.array(*map(F.lit, KINDS)), span["kind"]).cast("int")
