@@ -189,8 +189,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
                 lang, score = held.value.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, K.schema(rows.select("row"), "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id"):

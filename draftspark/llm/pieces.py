@@ -197,7 +197,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, K.schema(rows.select("row"), "ids array<int>"))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -214,4 +214,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFra
             texts = [own.decode([i for i in flat[a:b] if i is not None]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(texts, pa.binary()).cast(pa.string(), safe=False)], ["row", "ids", "text"])
 
-    return left.mapInArrow(run, left.schema.add("text", "string"))
+    return left.mapInArrow(run, K.schema(left, "text string"))

@@ -262,4 +262,4 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     out.append([{"kind": k, "start": s, "end": e, "base": own} for own, found in ((True, base), (False, added)) for k, s, e in found])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, span)], ["row", "spans"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("spans", "array<struct<kind:string,start:long,end:long,base:boolean>>"))
+    return rows.mapInArrow(run, K.schema(rows.select("row"), "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"))

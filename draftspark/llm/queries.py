@@ -89,16 +89,19 @@ def op3(spark, sf):
 
 @register("op1_pii")
 def op1(spark, sf):
+    """n_<kind> count the base spans; n_added those that only the transducers found."""
     out = find(table(spark, sf, "documents"))
+    spans = F.array_sort(F.transform("spans", lambda s: F.struct(_kind(s).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))))
 
-    def joined(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    def joined(some):
+        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    base = F.filter("spans", lambda s: s["base"])
-    in_order = F.array_sort(F.col("spans"), lambda a, b: F.when(_kind(a) != _kind(b), _kind(a) - _kind(b)).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["end"] - b["end"]).cast("int")))
-    return out.select("row.doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
-                      F.sha2(joined(base), 256).alias("base_sha256"), joined(in_order).alias("spans"),
-                      F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return out.withColumn("spans", spans).select(
+        "row.doc_id", *map(count, KINDS), F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
 
 def _kind(span):

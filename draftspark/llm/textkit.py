@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
@@ -40,6 +41,11 @@ def others(df: DataFrame, *used: str):
     return (F.struct(*rest) if rest else F.struct(F.lit(True).alias("none"))).alias("row")
 
 
+def schema(df: DataFrame, ddl: str) -> T.StructType:
+    """The columns of ``df`` and those of a DDL string."""
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty.
     The bytes end with a few zeros of padding, past the last offset."""
