@@ -8,6 +8,7 @@ from .decontam import contamination
 from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
+from .main_text import extract
 from .pii import KINDS, find
 from .pieces import decode, encode
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
@@ -106,3 +107,9 @@ def op1(spark, sf):
 
 def _kind(span):
     return F.array_position(F.array(*map(F.lit, KINDS)), span["kind"]).cast("int")
+
+
+@register("op4_html_extraction")
+def op4(spark, sf):
+    out = extract(table(spark, sf, "pages"))
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
