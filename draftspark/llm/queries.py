@@ -8,6 +8,7 @@ from .decontam import contamination
 from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
+from .vptree import nearest
 from .main_text import extract
 from .pii import KINDS, find
 from .pieces import decode, encode
@@ -113,3 +114,9 @@ def _kind(span):
 def op4(spark, sf):
     out = extract(table(spark, sf, "pages"))
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op7_nearest_neighbours")
+def op7(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
