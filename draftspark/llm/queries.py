@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .decontam import contamination
 from .langid import identify
 from .line_dedup import dedup_lines
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .vptree import nearest
 from .main_text import extract
@@ -120,3 +121,10 @@ def op4(spark, sf):
 def op7(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@register("op10_substring_dedup")
+def op10(spark, sf):
+    out = remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -31,6 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``written``, in as many buckets of ``key`` as a shuffle has
+    partitions: joins on the key then move the other side only."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, name)
+    table = "t_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
