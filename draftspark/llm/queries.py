@@ -12,6 +12,7 @@ from .simhash import near_duplicates
 from .vptree import nearest
 from .main_text import extract
 from .pii import KINDS, find
+from .paragraphs import dedup_paragraphs
 from .pieces import decode, encode
 from .registry import ORACLE, QUERIES, register, table  # noqa: F401
 
@@ -84,10 +85,9 @@ def op2(spark, sf):
 
 @register("op3_sentencepiece")
 def op3(spark, sf):
-    coded = encode(table(spark, sf, "documents"))
-    text = F.coalesce("row.row.text", F.lit(""))
-    return decode(coded).select("row.row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
-                                F.sha2("text", 256).alias("decoded_sha256"), (F.col("text") == text).alias("round_trip"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source"))
+    return decode(encode(docs)).select("row.row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                                       F.sha2("text", 256).alias("decoded_sha256"), (F.sha2("text", 256) == F.col("row.row.source")).alias("round_trip"))
 
 
 @register("op1_pii")
@@ -128,3 +128,10 @@ def op10(spark, sf):
     out = remove_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_paragraph_dedup")
+def op5(spark, sf):
+    """One row per document: what it loses and to which documents' classes."""
+    out = dedup_paragraphs(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_paragraphs", "n_removed", F.col("classes").alias("duplicate_of"), F.sha2("text", 256).alias("kept_sha256"))
