@@ -31,7 +31,7 @@ from . import textkit as K
 
 WINDOW = 10              # words of a test window
 BLOCK_WINDOWS = 40_000   # test windows sent to the shards at once, on average
-SHARD_BYTES = 5 << 20    # text of one shard (one document at least)
+SHARD_BYTES = 4 << 20    # text of one shard (one document at least)
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -147,12 +147,10 @@ def test_windows(items: DataFrame, text_col: str = "text", id_col: str = "item_i
         run, "item_id string, window binary")
 
 
-def _blocks(windows: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The distinct test windows in blocks of a bounded size, dealt by hash."""
-    n_blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    for block in range(n_blocks):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block).select("window_id", "window").collect()
-        yield [(r["window_id"], np.frombuffer(r["window"], np.uint64)) for r in rows]
+def _block(windows: DataFrame, number: int, n_blocks: int) -> list[tuple[int, np.ndarray]]:
+    """One block of the distinct test windows, dealt by hash: of a bounded size."""
+    rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == number).select("window_id", "window").collect()
+    return [(r["window_id"], np.frombuffer(r["window"], np.uint64)) for r in rows]
 
 
 def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
@@ -164,11 +162,11 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     the words hit so far travel along as a bitmap, so words that windows of
     several blocks hit count once."""
     spark = index.sparkSession
-    marked = "shard string, doc_ids array<long>, text_marks array<long>, first binary, terms binary, lists binary, postings binary, hit binary, hit_docs array<int>, hit_windows array<long>"
-    names = [f.split(" ")[0] for f in marked.split(", ")]
+    marks = "shard string, doc_ids array<long>, text_marks array<long>, first binary, hit binary, hit_docs array<int>, hit_windows array<long>"
+    marked = marks + ", terms binary, lists binary, postings binary"
     df = index.withColumns({"hit": F.lit(None).cast("binary"), "hit_docs": F.array().cast("array<int>"), "hit_windows": F.array().cast("array<long>")})
 
-    def step(block):
+    def step(block, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block_windows = block.value
             lengths = np.array([len(w) for _, w in block_windows], np.int64)
@@ -191,11 +189,15 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
                                 pairs |= {(d, block_windows[k][0]) for d in np.unique(shard.doc_of(starts)).tolist()}
                     pairs = sorted(pairs)
                     row |= {"hit": K.pack(np.packbits(hit)), "hit_docs": row["hit_docs"] + [d for d, _ in pairs], "hit_windows": row["hit_windows"] + [w for _, w in pairs]}
-                    yield pa.RecordBatch.from_pylist([row], batch.schema)
+                    kept = [f for f in batch.schema if not last or f.name not in ("terms", "lists", "postings")]
+                    yield pa.RecordBatch.from_pylist([{f.name: row[f.name] for f in kept}], pa.schema(kept))
         return run
 
-    for rows in _blocks(windows):
-        df = df.mapInArrow(step(spark.sparkContext.broadcast(rows)), marked)
+    n_blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    for number in range(n_blocks):
+        rows = spark.sparkContext.broadcast(_block(windows, number, n_blocks))
+        last = number == n_blocks - 1  # nothing reads the lists any more
+        df = df.select(*[f.split(" ")[0] for f in marked.split(", ")]).mapInArrow(step(rows, last), marks if last else marked)
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +212,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
                      pa.array(np.diff(first)), pa.array(np.diff(hits[first])), pa.array([own.get(d, []) for d in range(docs)], pa.list_(pa.int64()))],
                     ["shard", "doc_no", "doc_id", "text_mark", "n_words", "n_hit", "window_ids"])
 
-    return df.select(*[n for n in names if n not in ("terms", "lists", "postings", "text_marks")], "text_marks").mapInArrow(
+    return df.mapInArrow(
         per_document, "shard string, doc_no int, doc_id long, text_mark long, n_words long, n_hit long, window_ids array<long>")
 
 

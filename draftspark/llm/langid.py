@@ -45,50 +45,57 @@ def _folding() -> np.ndarray:
     return fold
 
 
-def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts of a column: hash, order and text number of every n-gram,
-    and the number of letters of each text."""
-    data, offsets = K.utf8(column)
-    n = len(offsets) - 1
-    codes = np.frombuffer(data[: offsets[-1]].tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    lead = (data[: offsets[-1]] & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(lead)])[offsets]
-    if chars[-1] != len(codes):  # malformed bytes were replaced: decode text by text
-        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-        chars = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    letters = _folding()[codes]
-    # one boundary mark (0) between texts, so that n-grams never cross them
-    line = np.zeros(len(letters) + n + 1, np.uint64)
-    place = np.arange(len(letters)) + np.repeat(np.arange(n), np.diff(chars)) + 1
-    line[place] = letters
-    # runs of non-letters become one mark
-    keep = (line != 0) | np.concatenate([[True], line[:-1] != 0])
-    text_of = np.zeros(len(line), np.int32)
-    text_of[place] = np.repeat(np.arange(n, dtype=np.int32), np.diff(chars))
-    line, text_of = line[keep], text_of[keep]
-    some = line != 0
-    out_h, out_o, out_t = [], [], []
-    for order in ORDERS:
-        m = len(line) - order + 1
-        if m <= 0:
-            continue
-        h, inner = np.full(m, order, np.uint64), np.ones(m, bool)
-        for j in range(order):
-            h = h * np.uint64(0x100000001B3) + line[j: j + m]
-            if 0 < j < order - 1:
-                inner &= some[j: j + m]
-        if order == 2:
-            inner &= some[:m] | some[1: 1 + m]
-        at = np.flatnonzero(inner)
-        letter = np.where(some[at], at, at + 1)  # a letter of the n-gram, for its text
-        out_h.append(K.mix(h[at]))
-        out_o.append(np.full(len(at), order, np.int8))
-        out_t.append(text_of[letter])
-    count = np.bincount(text_of[some], minlength=n)
-    if not out_h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int32), count
-    return np.concatenate(out_h), np.concatenate(out_o), np.concatenate(out_t), count
+class Words:
+    """The words (runs of letters, lower-cased) of a column of texts, each
+    distinct one once, and the n-grams of the distinct words.  ``apart`` parts
+    equal words of texts that differ in it."""
+
+    def __init__(self, column: pa.Array, apart: np.ndarray | None = None):
+        data, offsets = K.utf8(column)
+        self.n_texts = len(offsets) - 1
+        raw = data[: offsets[-1]].tobytes()
+        codes = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+        chars = np.concatenate([[0], np.cumsum((data[: offsets[-1]] & 0xC0) != 0x80)])[offsets]
+        if chars[-1] != len(codes):  # malformed bytes were replaced: decode text by text
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+            chars = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        letters = np.concatenate([_folding()[codes], np.zeros(4, np.uint32)])
+        start, end, first = K.spans_of(letters[: len(codes)] != 0, chars)
+        self.text = np.repeat(np.arange(self.n_texts), np.diff(first))
+        self.letters = np.concatenate([[0], np.cumsum(end - start)])[first[1:]] - np.concatenate([[0], np.cumsum(end - start)])[first[:-1]]
+        name = K.hash_spans(letters.view(np.uint8), start * 4, (end - start) * 4)
+        if apart is not None:
+            name = name ^ K.mix(apart[self.text].astype(np.uint64) + np.uint64(1))
+        _, self.own, self.which = np.unique(name, return_index=True, return_inverse=True)
+        # the distinct words in a line, a boundary mark (0) before each and after the last
+        size = (end - start)[self.own]
+        to = np.cumsum(size + 1)
+        line, self.word = np.zeros(int(to[-1]) + 1 if len(to) else 1, np.uint64), np.repeat(np.arange(len(size)), size + 1)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        line[at + np.repeat(to - size, size)] = letters[at + np.repeat(start[self.own], size)]
+        self._grams(line)
+
+    def _grams(self, line: np.ndarray) -> None:
+        """gram (hash), order and of (word) of every n-gram; marks only at its ends."""
+        some, grams, orders, of = line != 0, [], [], []
+        word = np.append(self.word, len(self.own) - 1)  # a mark counts with the word after it
+        for order in ORDERS:
+            m = len(line) - order + 1
+            if m <= 0:
+                continue
+            h, inner = np.full(m, order, np.uint64), np.ones(m, bool)
+            for j in range(order):
+                h = h * np.uint64(0x100000001B3) + line[j: j + m]
+                if 0 < j < order - 1:
+                    inner &= some[j: j + m]
+            if order == 2:
+                inner &= some[:m] | some[1: 1 + m]
+            at = np.flatnonzero(inner)
+            grams.append(K.mix(h[at]))
+            orders.append(np.full(len(at), order, np.int8))
+            of.append(word[np.where(some[at], at, at + 1)])
+        self.gram, self.order, self.of = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((grams, np.uint64), (orders, np.int8), (of, np.int64)))
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -97,17 +104,19 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.text_chunks(batch, "text"):
-                h, order, text, _ = ngrams(part.column("text"))
                 names = part.column("lang").dictionary_encode()
-                lang = np.asarray(names.indices)[text]
-                ids, at = np.unique(h, return_inverse=True)
-                first = np.zeros(len(ids), np.int8)
-                first[at] = order
-                width = max(1, len(names.dictionary))
-                pairs, count = np.unique(at.astype(np.int64) * width + lang, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [names.dictionary.take(pa.array(pairs % width)), pa.array(first[pairs // width].astype(np.int32)),
-                     pa.array(ids[pairs // width].view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "n", "gram", "count"])
+                lang = np.asarray(names.indices)
+                words = Words(part.column("text"), lang)
+                times = np.bincount(words.which, minlength=len(words.own))
+                lang = lang[words.text[words.own]]
+                ids, first, at = np.unique(words.gram, return_index=True, return_inverse=True)
+                for k in np.unique(lang).tolist():
+                    mine = lang[words.of] == k
+                    count = np.bincount(at[mine], times[words.of[mine]], minlength=len(ids)).astype(np.int64)
+                    some = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names.dictionary[k].as_py()] * len(some), pa.string()), pa.array(words.order[first[some]].astype(np.int32)),
+                         pa.array(ids[some].view(np.int64)), pa.array(count[some])], ["lang", "n", "gram", "count"])
 
     return rows.select("text", "lang").mapInArrow(run, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
@@ -130,15 +139,19 @@ class Filters:
 
     def score(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Best language and its share of the corrected popcounts, for each text."""
-        n = len(column)
-        gram, _, text, letters = ngrams(column)
+        words = Words(column)
+        n, letters = words.n_texts, words.letters
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        found, counts = self.languages(gram), np.zeros((n, len(self.langs)))
+        found, counts = self.languages(words.gram), np.zeros((n, len(self.langs)))
+
+        def of_texts(grams: np.ndarray) -> np.ndarray:
+            return np.bincount(words.text, np.bincount(grams, minlength=len(words.own))[words.which], minlength=n)
+
         for i in range(len(self.langs)):
             hit = (found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
-            counts[:, i] = np.bincount(text[hit], minlength=n)
-        total = np.bincount(text, minlength=n)[:, None]
+            counts[:, i] = of_texts(words.of[hit])
+        total = of_texts(words.of)[:, None]
         true = np.clip((counts - total * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, None)
         best = true.argmax(1)
         score = true[np.arange(n), best] / np.maximum(true.sum(1), 1e-9)
