@@ -54,12 +54,6 @@ def parse_threshold(name) -> Column:
         F.when(frac == "", whole.cast("double")).otherwise(F.concat(whole, F.lit("."), frac).cast("double")))
 
 
-def signed_text(x, digits: int = 1) -> Column:
-    """``+3.2%`` / ``-1.0%`` / ``0.0%``."""
-    x = F.bround(_c(x), digits)
-    return F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), x.cast("string"), F.lit("%"))
-
-
 def accuracy_tier(acc) -> Column:
     """> 70 high, < 50 low, else mid."""
     a = _c(acc)

@@ -28,14 +28,10 @@ def normalize_name(c) -> Column:
     and ``X2Y``; ``initcap`` would give ``Kai'sa``)."""
     runs = F.regexp_extract_all(F.lower(strip_ws(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(
-        F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))),
+        F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))),
         "")
 
 
-def normalize_picks(c) -> Column:
-    return F.transform(_col(c), lambda x: normalize_name(x))
-
-
 def search_key(c) -> Column:
     """Lower-case and keep only ``[a-z0-9]``."""
     return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]", "")

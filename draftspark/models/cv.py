@@ -13,7 +13,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ordering import fold_bounds
@@ -32,50 +32,6 @@ class TimeSeriesCVModel(Model):
         return self.bestModel.transform(df)
 
 
-class TimeSeriesCrossValidator(Estimator):
-    """``fit(df)`` needs an ordinal column (0..n-1, chronological)."""
-
-    def __init__(self, estimator, param_maps, evaluator, num_folds: int = 3,
-                 ordinal_col: str = "ordinal", parallelism: int = 2, refit: bool = True):
-        super().__init__()
-        self.est = estimator
-        self.maps = param_maps or [{}]
-        self.evaluator = evaluator
-        self.k = num_folds
-        self.ordinal_col = ordinal_col
-        self.parallelism = max(1, parallelism)
-        self.refit = refit
-
-    def _fit(self, df: DataFrame) -> TimeSeriesCVModel:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        n = df.count()
-        folds = [f for f in fold_bounds(n, self.k) if f[1] > 0]
-        o = df[self.ordinal_col]
-
-        def run(job):
-            fi, lo, hi, mi = job
-            train = df.where(o < lo)
-            test = df.where((o >= lo) & (o < hi))
-            model = self.est.fit(train, self.maps[mi])
-            return fi, mi, self.evaluator.evaluate(model.transform(test))
-
-        jobs = [(fi, lo, hi, mi) for fi, lo, hi in folds for mi in range(len(self.maps))]
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            results = list(pool.map(in_session(df.sparkSession, run), jobs))
-        fold_metrics = [[None] * len(self.maps) for _ in folds]
-        for fi, mi, v in results:
-            fold_metrics[fi][mi] = v
-        avg = [sum(fm[mi] for fm in fold_metrics) / max(len(folds), 1) for mi in range(len(self.maps))]
-        larger = self.evaluator.isLargerBetter()
-        best = 0
-        for i, v in enumerate(avg):  # first best wins ties
-            if (v > avg[best]) if larger else (v < avg[best]):
-                best = i
-        best_model = self.est.fit(df, self.maps[best]) if self.refit else None
-        df.unpersist()
-        return TimeSeriesCVModel(best_model, avg, fold_metrics, best)
-
-
 def cv_scores_frame(spark: SparkSession, task: str, param_maps, cv_model=None, *, avg=None,
                     fold_metrics=None, best=None) -> DataFrame:
     """One row per (task, grid point, fold) with the score, plus the

@@ -30,7 +30,7 @@ def save_registry(spark: SparkSession, results: list[TrainResult], base: str) ->
             try:
                 r.model.write().overwrite().save(path)
             except Exception as e:  # noqa: BLE001 - recorded in the manifest
-                status = f"save_failed: {type(e).__name__}: {e}"[:300]
+                status = f"save_failed: {type(e).__name__}: {e}"
         rows.append((r.task, r.target, r.threshold, path, status))
     manifest = spark.createDataFrame(rows, MANIFEST_SCHEMA)
     manifest.write.mode("overwrite").parquet(f"{base.rstrip('/')}/_manifest")
@@ -72,7 +72,7 @@ def load_registry(spark: SparkSession, base: str) -> Registry:
             try:
                 models[(r["task"], r["target"])] = (PipelineModel.load(r["path"]), r["threshold"])
             except Exception as e:  # noqa: BLE001 - skip models that fail to load
-                st = f"load_failed: {type(e).__name__}: {e}"[:300]
+                st = f"load_failed: {type(e).__name__}: {e}"
         status.append((r["task"], r["target"], r["threshold"], r["path"], st))
     return Registry(models, spark.createDataFrame(status, MANIFEST_SCHEMA))
 

@@ -28,8 +28,7 @@ class RoleAssignerModel(Model, _RoleParams, StatePersistence):
         self._state, self._scalars = {}, {}
 
     def _transform(self, df):
-        return assign_roles(df, self._state["stats"], int(self._scalars["n"]),
-                            id_col=self.getOrDefault(self.idCol))
+        return assign_roles(df, self._state["stats"], id_col=self.getOrDefault(self.idCol))
 
 
 class RoleAssigner(Estimator, _RoleParams):
@@ -44,7 +43,7 @@ class RoleAssigner(Estimator, _RoleParams):
         stats = role_stats_long(df).checkpoint(eager=True)
         m = RoleAssignerModel()
         self._copyValues(m)
-        m._state, m._scalars = {"stats": stats}, {"n": stats.count()}
+        m._state, m._scalars = {"stats": stats}, {}
         return m
 
 

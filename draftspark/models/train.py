@@ -5,8 +5,8 @@ ordinal and recency weights where the reference weights samples, and fits
 Spark ML pipelines whose feature stages are the engine's encoders, so each
 CV fold refits them on its own training rows.
 
-Grids: the reference grids are in ``grids.REFERENCE_GRIDS``; tasks take a
-``grid`` argument (tests and registered queries pass ``grids.SMALL_GRID``).
+Grids: a task searches its grid of ``grids.REFERENCE_GRIDS`` unless it is
+given another (tests and registered queries pass ``grids.SMALL_GRID``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ from ..operators.ordering import (global_ordinal, hash_split, recency_weight, st
 from ..session import in_session
 from .cv import cv_scores_frame, time_series_search
 from .ensemble import SoftVoteClassifier
-from .grids import SMALL_GRID, param_maps
+from .grids import REFERENCE_GRIDS, param_maps
 from .stages import hashed_features, ultimate_features, winner_features
 
 
@@ -76,7 +75,7 @@ def _cv_task(task, target, threshold, df, features, learner, evaluator, grid, fo
                    {target: threshold})[0]
 
 
-def train_winner(matches: DataFrame, grid=SMALL_GRID, folds: int = 3, min_rows: int = 10) -> TrainResult:
+def train_winner(matches: DataFrame, grid=REFERENCE_GRIDS["winner"], folds: int = 3, min_rows: int = 10) -> TrainResult:
     """M1: role-aware one-hot + team strength + side; weight 0.1 -> 1; 3 folds."""
     if not enough_rows(matches, min_rows):
         return TrainResult("match_winner", "result", None, None, None, f"need {min_rows} matches")
@@ -86,7 +85,7 @@ def train_winner(matches: DataFrame, grid=SMALL_GRID, folds: int = 3, min_rows:
     return _cv_task("match_winner", "result", None, df, winner_features(), gbt, ev, grid, folds)
 
 
-def train_ultimate(matches: DataFrame, grid=SMALL_GRID, folds: int = 5, min_rows: int = 50) -> TrainResult:
+def train_ultimate(matches: DataFrame, grid=REFERENCE_GRIDS["ultimate"], folds: int = 5, min_rows: int = 50) -> TrainResult:
     """M2: + champion and side win rates; weight 0.5 -> 1.5; 5 folds."""
     if not enough_rows(matches, min_rows):
         return TrainResult("ultimate_winner", "result", None, None, None, f"need {min_rows} matches")
@@ -96,7 +95,7 @@ def train_ultimate(matches: DataFrame, grid=SMALL_GRID, folds: int = 5, min_rows
     return _cv_task("ultimate_winner", "result", None, df, ultimate_features(), gbt, ev, grid, folds)
 
 
-def train_thresholds(task: str, matches: DataFrame, measure: str, spec, weights=(0.1, 1.0), grid=SMALL_GRID,
+def train_thresholds(task: str, matches: DataFrame, measure: str, spec, weights=(0.1, 1.0), grid=REFERENCE_GRIDS["kills"],
                      folds: int = 3, encoder_label: str = "blue_wins", parallelism: int = 2,
                      min_rows: int = 10) -> list[TrainResult]:
     """M3/M4/M5 via M12: one classifier per threshold over shared features.
@@ -124,14 +123,16 @@ def train_kill_thresholds(matches_kills, **kw):
 
 
 def train_time_thresholds(matches_minutes, **kw):
-    return train_thresholds("time_thresholds", matches_minutes, "gamelength_min", minute_labels(), (0.2, 1.0), **kw)
+    return train_thresholds("time_thresholds", matches_minutes, "gamelength_min", minute_labels(), (0.2, 1.0),
+                            **{"grid": REFERENCE_GRIDS["minutes"], **kw})
 
 
 def train_turret_thresholds(matches_turrets, **kw):
-    return train_thresholds("tower_thresholds", matches_turrets, "total_turrets", turret_labels(), (0.2, 1.0), **kw)
+    return train_thresholds("tower_thresholds", matches_turrets, "total_turrets", turret_labels(), (0.2, 1.0),
+                            **{"grid": REFERENCE_GRIDS["turrets"], **kw})
 
 
-def train_total_kills(matches: DataFrame, grid=SMALL_GRID, folds: int = 3) -> TrainResult:
+def train_total_kills(matches: DataFrame, grid=REFERENCE_GRIDS["total_kills"], folds: int = 3) -> TrainResult:
     """M6: regressor scored by MAE (lower is better); the team encoder keeps
     the win label (quirk Q3 fixed)."""
     df, _ = prepare(matches, 0.1, 1.0)
@@ -186,7 +187,7 @@ def train_kill_split(matches_team_kills: DataFrame, max_iter: int = 300, depth:
     return out
 
 
-def ensemble_members(small: bool = True):
+def ensemble_members(small: bool = False):
     """M10 members: boosted trees (two depths), random forest, logistic
     regression (HGB / XGB / RF / SVC re-aimed on Spark ML)."""
     it = 10 if small else 100
@@ -196,13 +197,13 @@ def ensemble_members(small: bool = True):
             GBTClassifier(labelCol="result", maxIter=it, maxDepth=5, stepSize=0.15, seed=42)]
 
 
-def ensemble_pipeline(small: bool = True) -> Pipeline:
+def ensemble_pipeline(small: bool = False) -> Pipeline:
     feats = hashed_features(20, TeamStrengthEncoder(smoothing=10.0, labelCol="result"),
                             extra=("blue_side", "red_side"))
     return Pipeline(stages=[*feats, SoftVoteClassifier(ensemble_members(small))])
 
 
-def oof_predictions(matches_flags: DataFrame, outer: int = 3, small: bool = True) -> DataFrame:
+def oof_predictions(matches_flags: DataFrame, outer: int = 3, small: bool = False) -> DataFrame:
     """Out-of-fold probabilities over stratified outer folds (W6): each
     fold is scored by a pipeline fitted on the other folds."""
     df = stratified_folds(matches_flags, "gameid", "result", outer, 42, "outer_fold")
@@ -232,6 +233,3 @@ def train_towers(matches_towers: DataFrame, max_iter: int = 100, depth: int = 5)
     metrics = regression_metrics(model.transform(df), "towers_total", "prediction", ("split",))
     return TrainResult("total_towers", "towers_total", None, model, metrics)
 
-
-def blue_probability(df: DataFrame, col: str = "probability") -> F.Column:
-    return vector_to_array(F.col(col))[1]

@@ -108,7 +108,7 @@ def team_side_mean_tables(matches: DataFrame, label: str):
     return (st.where("side = 'blue'").select("team", "mean"), st.where("side = 'red'").select("team", "mean"))
 
 
-def pick_score(matches: DataFrame, table: DataFrame, n_rows: int | None, default: float,
+def pick_score(matches: DataFrame, table: DataFrame, default: float,
                id_col: str = "gameid", divisor: float = 5.0) -> DataFrame:
     """Per match, sum of the champions' rates (unseen -> ``default``)
     divided by ``divisor`` for blue and red.  Explode + lookup + regroup on
@@ -121,7 +121,7 @@ def pick_score(matches: DataFrame, table: DataFrame, n_rows: int | None, default
         F.transform("blue_picks", lambda c: F.struct(normalize_name(c).alias("champion"), F.lit(1).alias("is_blue"))),
         F.transform("red_picks", lambda c: F.struct(normalize_name(c).alias("champion"), F.lit(0).alias("is_blue"))))
     picks = matches.select(id_col, F.inline(items))
-    scored = lookup(picks, table, "champion", "champion", {"win_rate": "r"}, n_rows, default=default)
+    scored = lookup(picks, table, "champion", "champion", {"win_rate": "r"}, default=default)
     agg = scored.groupBy(id_col).agg(
         F.sum(F.when(F.col("is_blue") == 1, F.col("r")).otherwise(0.0)).alias("blue_champ_wr"),
         F.sum(F.when(F.col("is_blue") == 0, F.col("r")).otherwise(0.0)).alias("red_champ_wr"))
@@ -175,8 +175,8 @@ class _EncEstimator(Estimator, _EncParams):
 class TeamStrengthModel(_EncModel):
     def _transform(self, df):
         t, s = self._state["teams"], self._scalars
-        out = lookup(df, t, "blue_team", "team", {"enc": "blue_team_strength"}, s["n"], default=s["prior"])
-        return lookup(out, t, "red_team", "team", {"enc": "red_team_strength"}, s["n"], default=s["prior"])
+        out = lookup(df, t, "blue_team", "team", {"enc": "blue_team_strength"}, default=s["prior"])
+        return lookup(out, t, "red_team", "team", {"enc": "red_team_strength"}, default=s["prior"])
 
 
 class TeamStrengthEncoder(_EncEstimator):
@@ -189,13 +189,13 @@ class TeamStrengthEncoder(_EncEstimator):
     def _fit(self, df):
         app = team_appearances(df, self._p("labelCol"), self._p("invertRed"))
         table, prior = sigmoid_target_table(app, self._p("smoothing"), self._p("minSamplesLeaf"))
-        return self._make({"teams": table}, {"prior": prior, "n": table.count()})
+        return self._make({"teams": table}, {"prior": prior})
 
 
 class ChampionWinRateModel(_EncModel):
     def _transform(self, df):
         s = self._scalars
-        return pick_score(df, self._state["champions"], s["n"], s["g"], self._p("idCol"))
+        return pick_score(df, self._state["champions"], s["g"], self._p("idCol"))
 
 
 class ChampionWinRateEstimator(_EncEstimator):
@@ -204,14 +204,14 @@ class ChampionWinRateEstimator(_EncEstimator):
 
     def _fit(self, df):
         table, g = champion_win_rate_table(df, self._p("smoothing"), self._p("labelCol"))
-        return self._make({"champions": table}, {"g": g, "n": table.count()})
+        return self._make({"champions": table}, {"g": g})
 
 
 class TeamSideWinRateModel(_EncModel):
     def _transform(self, df):
         s = self._scalars
-        out = lookup(df, self._state["blue"], "blue_team", "team", {"rate": "blue_side_wr"}, s["nb"], default=s["g"])
-        return lookup(out, self._state["red"], "red_team", "team", {"rate": "red_side_wr"}, s["nr"],
+        out = lookup(df, self._state["blue"], "blue_team", "team", {"rate": "blue_side_wr"}, default=s["g"])
+        return lookup(out, self._state["red"], "red_team", "team", {"rate": "red_side_wr"},
                       default=1.0 - s["g"])
 
 
@@ -221,14 +221,13 @@ class TeamSideWinRateEstimator(_EncEstimator):
 
     def _fit(self, df):
         blue, red, g = team_side_win_rate_tables(df, self._p("smoothing"), self._p("labelCol"))
-        return self._make({"blue": blue, "red": red}, {"g": g, "nb": blue.count(), "nr": red.count()})
+        return self._make({"blue": blue, "red": red}, {"g": g})
 
 
 class TeamTargetMeanModel(_EncModel):
     def _transform(self, df):
-        s = self._scalars
-        out = lookup(df, self._state["blue"], "blue_team", "team", {"mean": "blue_team_enc"}, s["nb"], default=0.5)
-        return lookup(out, self._state["red"], "red_team", "team", {"mean": "red_team_enc"}, s["nr"], default=0.5)
+        out = lookup(df, self._state["blue"], "blue_team", "team", {"mean": "blue_team_enc"}, default=0.5)
+        return lookup(out, self._state["red"], "red_team", "team", {"mean": "red_team_enc"}, default=0.5)
 
 
 class TeamTargetEncoder(_EncEstimator):
@@ -237,4 +236,4 @@ class TeamTargetEncoder(_EncEstimator):
 
     def _fit(self, df):
         blue, red = team_side_mean_tables(df, self._p("labelCol"))
-        return self._make({"blue": blue, "red": red}, {"nb": blue.count(), "nr": red.count()})
+        return self._make({"blue": blue, "red": red}, {})

@@ -1,8 +1,8 @@
-"""Size-checked lookups.
+"""Lookups of encoder state.
 
 Encoder state (one row per team, champion or token) is joined to wide match
-rows.  It is broadcast only when its row count - known exactly at fit time -
-is under a limit; past that the planner's shuffle join is used instead.
+rows.  No join carries a hint: the tables' sizes, known to the planner or found
+at run time, decide between a broadcast and a shuffle.
 """
 
 from __future__ import annotations
@@ -10,23 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a lookup table that may be broadcast (a few MB for these narrow tables).
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def sized(table: DataFrame, n_rows: int | None, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``table`` only when its row count is known and small."""
-    if n_rows is not None and n_rows <= limit:
-        return F.broadcast(table)
-    return table
-
 
 def lookup(df: DataFrame, table: DataFrame, left_key: str, right_key: str,
-           value_cols: dict[str, str], n_rows: int | None, default=None) -> DataFrame:
+           value_cols: dict[str, str], default=None) -> DataFrame:
     """Left join ``table`` on ``left_key = right_key``; rename value columns
     (``{table_col: out_col}``) and fill misses with ``default``."""
     sel = [F.col(right_key).alias("_lk")] + [F.col(c).alias(o) for c, o in value_cols.items()]
-    t = sized(table.select(*sel), n_rows)
+    t = table.select(*sel)
     out = df.join(t, df[left_key].eqNullSafe(t["_lk"]), "left").drop("_lk")
     if default is not None:
         for o in value_cols.values():

@@ -1,21 +1,22 @@
 """Match reconstruction (A1 and its loader variants, A2, A3, P5, D5, J1, J2).
 
 Long participant rows (ten players plus two team rows per game) become one
-row per game.  Every variant is planned in two phases so that no unbounded
-group is ever collected into one task:
+row per game.  Every variant has two parts, so that no unbounded group ever
+meets in one task:
 
 1. a *partial* aggregate per game (counts, sums, ``min_by`` first values) -
    map-side combined, so a game key holding a third of all rows costs one
    small partial row per map task;
-2. picks are collected only for games that passed phase 1 (at most five per
-   side), after a semi join on the game key (AQE splits skewed partitions).
+2. picks are gathered from at most eleven player rows of a game: a rank filter
+   that Spark applies in the map tasks already (a partial window group limit),
+   as a game with more than ten players is rejected by part 1 anyway.
 
 Pick order is the participant number, never the arrival order of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name
@@ -41,11 +42,16 @@ def _ordered_picks(cond: Column, normalize: bool = False) -> Column:
     return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"])
 
 
-def _picks(players: DataFrame, valid: DataFrame, blue: Column, red: Column,
-           normalize: bool = False) -> DataFrame:
-    """Phase 2: ordered pick arrays for games known to be valid (bounded)."""
-    return (players.join(valid.select("gameid"), "gameid", "left_semi")
-            .groupBy("gameid")
+def first_rows(players: DataFrame, most: int = 11) -> DataFrame:
+    """At most ``most`` rows of each game, by participant number.  The rank
+    filter runs before the shuffle too, so a hot game sends ``most`` rows a task."""
+    rank = F.row_number().over(Window.partitionBy("gameid").orderBy(_pn()))
+    return players.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def _picks(players: DataFrame, blue: Column, red: Column, normalize: bool = False) -> DataFrame:
+    """Part 2: ordered pick arrays (whole for games of ten players)."""
+    return (first_rows(players).groupBy("gameid")
             .agg(_ordered_picks(blue, normalize).alias("blue_picks"),
                  _ordered_picks(red, normalize).alias("red_picks")))
 
@@ -72,7 +78,7 @@ def matches(rows: DataFrame) -> DataFrame:
         F.sum(F.col("kills").cast("double")).alias("total_kills"),
         _first(F.col("gamelength").cast("double"), _blue()).alias("gamelength"))
         .where("n = 10 AND nb = 5 AND nr = 5"))
-    return _assemble(stats, _picks(players, stats, _blue(), _red()),
+    return _assemble(stats, _picks(players, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "result",
                       "date", F.lit(1).alias("blue_side"), "total_kills", "gamelength"])
 
@@ -87,7 +93,7 @@ def matches_kills(rows: DataFrame) -> DataFrame:
         F.sum(F.col("kills").cast("bigint")).alias("total_kills"),
         _first("date", _blue()).alias("date"))
         .where("n = 10 AND nb > 0 AND nr > 0"))
-    return _assemble(stats, _picks(players, stats, _blue(), _red()),
+    return _assemble(stats, _picks(players, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "blue_wins",
                       "total_kills", F.lit(1).alias("blue_side"), "date"])
 
@@ -107,7 +113,7 @@ def matches_minutes(rows: DataFrame) -> DataFrame:
     """Game length in minutes (picks from player rows only, quirk Q2 fixed)."""
     stats = _all_rows_stats(rows, [
         (_first(F.col("gamelength").cast("int"), _blue()) / F.lit(60.0)).alias("gamelength_min")])
-    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
+    return _assemble(stats, _picks(player_rows(rows), _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "gamelength_min",
                       "blue_wins", F.lit(1).alias("blue_side"), "date"])
 
@@ -117,7 +123,7 @@ def matches_turrets(rows: DataFrame) -> DataFrame:
     stats = _all_rows_stats(rows, [
         F.sum(coerce_numeric("towers", fill_zero=True, dtype="bigint")
               ).alias("total_turrets")])
-    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
+    return _assemble(stats, _picks(player_rows(rows), _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "total_turrets",
                       "blue_wins", F.lit(1).alias("blue_side"), "date"])
 
@@ -130,7 +136,7 @@ def matches_length(rows: DataFrame) -> DataFrame:
         _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
         F.min_by(F.col("gamelength").cast("int"), _pn()).alias("gamelength"))
         .where("n = 10 AND nb > 0 AND nr > 0"))
-    return _assemble(stats, _picks(players, stats, _blue(), _red(), normalize=True),
+    return _assemble(stats, _picks(players, _blue(), _red(), normalize=True),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "gamelength"])
 
 
@@ -157,7 +163,7 @@ def matches_team_kills(rows: DataFrame) -> DataFrame:
                "AND bk IS NOT NULL AND rk IS NOT NULL")
         .withColumn("total_kills", F.col("bk") + F.col("rk")))
     players = scoped.where(is_player)
-    return _assemble(stats, _picks(players, stats, lblue, lred),
+    return _assemble(stats, _picks(players, lblue, lred),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "total_kills"])
 
 
@@ -175,7 +181,7 @@ def matches_towers(rows: DataFrame) -> DataFrame:
         .where("n = 10 AND nt = 2 AND nb = 5 AND nr = 5 AND ntb > 0 AND ntr > 0 "
                "AND bt IS NOT NULL AND rt IS NOT NULL")
         .withColumn("towers_total", F.col("bt") + F.col("rt")))
-    return _assemble(stats, _picks(player_rows(rows), stats, _blue(), _red()),
+    return _assemble(stats, _picks(player_rows(rows), _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team", "towers_total", "date"])
 
 
@@ -187,7 +193,7 @@ def matches_flags(rows: DataFrame) -> DataFrame:
         _first("teamname", _blue()).alias("blue_team"), _first("teamname", _red()).alias("red_team"),
         _first(F.col("result").cast("int"), _blue()).alias("result"), _first("date", _blue()).alias("date"))
         .where("n = 10 AND nb = 5 AND nr = 5"))
-    return _assemble(stats, _picks(players, stats, _blue(), _red()),
+    return _assemble(stats, _picks(players, _blue(), _red()),
                      ["gameid", "blue_picks", "red_picks", "blue_team", "red_team",
                       F.lit(1).alias("blue_side"), F.lit(0).alias("red_side"), "result", "date"])
 

@@ -52,10 +52,6 @@ def with_ordinal(matches: DataFrame, name: str = "ordinal") -> DataFrame:
     return global_ordinal(matches, match_order_key(), name)
 
 
-def _count(df: DataFrame) -> int:
-    return df.count()
-
-
 def recency_weight(ordered: DataFrame, n: int, start: float, stop: float,
                    ordinal: str = "ordinal", name: str = "weight") -> DataFrame:
     """``linspace(start, stop, n)`` aligned with the ordinal; n = 1 -> start."""
@@ -113,6 +109,6 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42
     keyed = df.withColumn("_h", h)
     ordered = global_ordinal(keyed, [F.col(label), F.col("_h"), F.col(key)], "_g")
     starts = ordered.groupBy(label).agg(F.min("_g").alias("_s"))  # one row per label value
-    return (ordered.join(F.broadcast(starts), label)
+    return (ordered.join(starts, label)
             .withColumn(name, ((F.col("_g") - F.col("_s")) % k).cast("int"))
             .drop("_h", "_g", "_s"))

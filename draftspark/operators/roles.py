@@ -60,12 +60,10 @@ def read_role_stats_json(spark, path: str, multi_line: bool = False) -> DataFram
 
 
 def write_role_stats_json(long: DataFrame, path: str) -> None:
-    """Write the nested form for ``read_role_stats_json``: JSON lines, each
-    one object holding the champions of one hash part (bounded size)."""
-    nested = role_stats_nested(long)
-    doc = (nested.groupBy((F.abs(F.hash("champion")) % 8).alias("part"))
-           .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("champion", "roles")))).alias("value")))
-    doc.select("value").write.mode("overwrite").text(path)
+    """Write the nested form for ``read_role_stats_json``: JSON lines, one
+    object per champion."""
+    doc = role_stats_nested(long).select(F.to_json(F.create_map("champion", "roles")).alias("value"))
+    doc.write.mode("overwrite").text(path)
 
 
 def _stats_wide(stats_long: DataFrame) -> DataFrame:
@@ -89,8 +87,7 @@ def best_permutation(scores) -> F.Column:
     return -F.array_max(scored)["neg_k"]
 
 
-def assign_roles(df: DataFrame, stats_long: DataFrame, n_stats: int | None = None,
-                 id_col: str = "gameid", cols=("blue_picks", "red_picks"),
+def assign_roles(df: DataFrame, stats_long: DataFrame, id_col: str = "gameid", cols=("blue_picks", "red_picks"),
                  suffix: str = "_sorted") -> DataFrame:
     """V1: add ``<col><suffix>`` with each team's picks in role order."""
     wide = _stats_wide(stats_long)
@@ -100,7 +97,7 @@ def assign_roles(df: DataFrame, stats_long: DataFrame, n_stats: int | None = Non
     items = F.concat(*[tag(t, c) for t, c in enumerate(cols)])
     longf = df.select(id_col, F.inline(items)).withColumn("norm", normalize_name("champ"))
     zeros = F.array(*[F.lit(0).cast("bigint")] * 5)
-    looked = lookup(longf, wide, "norm", "champion", {"scores": "scores"}, n_stats, default=zeros)
+    looked = lookup(longf, wide, "norm", "champion", {"scores": "scores"}, default=zeros)
     per_team = looked.groupBy(id_col, "team").agg(
         F.array_sort(F.collect_list(F.struct("pos", "champ", "scores"))).alias("p"))
     k = best_permutation(F.col("p.scores"))

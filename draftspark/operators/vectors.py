@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket, sign, token_hash
 from ..functions.names import ROLES, normalize_name, role_tokens
 from ..models.persist import StatePersistence
-from .lookup import sized
 from .ordering import global_ordinal
 
 
@@ -31,19 +30,11 @@ from .ordering import global_ordinal
 # Vocabulary and signed one-hot
 # ---------------------------------------------------------------------------
 
-# Vocabularies up to this many tokens are numbered in one sorted task; larger
-# ones use the partitioned global ordinal.  The count is exact (checked).
-SMALL_VOCAB_ROWS = 1_000_000
-
-
 def vocabulary(matches: DataFrame, role_aware: bool = True, with_count: bool = False):
     """Sorted token list with 0-based index.  Tokens are every seen
     champion (normalized), crossed with the five roles when role aware.
-    The distinct tokens are materialized and counted; a vocabulary under
-    ``SMALL_VOCAB_ROWS`` is numbered by one sorted window, a larger one by
-    the partitioned global ordinal (no single task holds it)."""
-    from pyspark.sql import Window
-
+    They are numbered by the partitioned global ordinal, so no single task
+    holds them all."""
     champs = (matches.select(F.explode(F.concat("blue_picks", "red_picks")).alias("c"))
               .select(normalize_name("c").alias("champion")).distinct())
     if role_aware:
@@ -52,13 +43,8 @@ def vocabulary(matches: DataFrame, role_aware: bool = True, with_count: bool = F
                                .alias("token"))
     else:
         tokens = champs.select(F.col("champion").alias("token"))
-    tokens = tokens.checkpoint(eager=True)
-    n = tokens.count()
-    if n <= SMALL_VOCAB_ROWS:
-        vocab = tokens.withColumn("index", F.row_number().over(Window.orderBy("token")).cast("bigint") - 1)
-    else:
-        vocab = global_ordinal(tokens, ["token"], "index")
-    return (vocab, n) if with_count else vocab
+    vocab = global_ordinal(tokens, ["token"], "index")
+    return (vocab, vocab.count()) if with_count else vocab
 
 
 def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_picks",
@@ -74,15 +60,14 @@ def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_pi
     return df.select(F.col(id_col).alias("gameid"), F.inline(items))
 
 
-def signed_onehot_long(df: DataFrame, vocab: DataFrame, n_vocab: int | None, role_aware: bool = True,
+def signed_onehot_long(df: DataFrame, vocab: DataFrame, role_aware: bool = True,
                        blue="blue_picks", red="red_picks", id_col: str = "gameid") -> DataFrame:
     """V2/V3 long form: (gameid, index, value), value != 0.  Tokens missing
     from the vocabulary are dropped (J8, inner lookup).  Distinct tokens per
     team give the assignment semantics; distinct tokens map to distinct
     indices, so summing the side signs by index is blue + red."""
     toks = _team_tokens(df, role_aware, blue, red, id_col)
-    v = sized(vocab.select("token", "index"), n_vocab)
-    joined = toks.join(v, "token")
+    joined = toks.join(vocab.select("token", "index"), "token")
     return (joined.groupBy(F.col("gameid").alias(id_col), "index").agg(F.sum("sgn").cast("double").alias("value"))
             .where(F.col("value") != 0))
 
@@ -140,7 +125,7 @@ class ChampionEmbeddingModel(Model, _VecParams, StatePersistence):
     def _transform(self, df):
         n = int(self._scalars["n"])
         idc = self._p("idCol")
-        long = signed_onehot_long(df, self._state["vocab"], n, self._p("roleAware"),
+        long = signed_onehot_long(df, self._state["vocab"], self._p("roleAware"),
                                   self._p("blueCol"), self._p("redCol"), idc)
         return attach_vector(df, long, n, self._p("outputCol"), idc)
 

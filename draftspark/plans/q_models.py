@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import train as T
+from ..models.grids import SMALL_GRID
 from ..models.registry import load_registry, registry_check, registry_from_results, save_registry
 from ..models.score import result_json, score_all
 from ..operators import matches as M
@@ -39,16 +40,30 @@ def _union(frames):
 
 
 def winner(spark, sf):
-    return _memo(spark, sf, "winner", lambda: T.train_winner(M.matches(match_rows(spark, sf))))
+    return _memo(spark, sf, "winner", lambda: T.train_winner(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
 
 
 def kill_thresholds(spark, sf):
     return _memo(spark, sf, "kill_thresholds",
-                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf)), parallelism=8))
+                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
+
+
+def ultimate(spark, sf):
+    return _memo(spark, sf, "ultimate", lambda: T.train_ultimate(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
+
+
+def time_thresholds(spark, sf):
+    return _memo(spark, sf, "time_thresholds",
+                 lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
+
+
+def turret_thresholds(spark, sf):
+    return _memo(spark, sf, "turret_thresholds",
+                 lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
 
 
 def total_kills(spark, sf):
-    return _memo(spark, sf, "total_kills", lambda: T.train_total_kills(M.matches(match_rows(spark, sf))))
+    return _memo(spark, sf, "total_kills", lambda: T.train_total_kills(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
 
 
 def length(spark, sf):
@@ -70,8 +85,7 @@ def q_winner_model(spark, sf):
 @register("ultimate_model")
 def q_ultimate_model(spark, sf):
     """M2: ultimate feature set, weight 0.5 -> 1.5, 5 expanding folds."""
-    r = _memo(spark, sf, "ultimate", lambda: T.train_ultimate(M.matches(match_rows(spark, sf))))
-    return r.scores
+    return ultimate(spark, sf).scores
 
 
 @register("kill_threshold_models")
@@ -83,17 +97,13 @@ def q_kill_threshold_models(spark, sf):
 @register("time_threshold_models")
 def q_time_threshold_models(spark, sf):
     """M4: 8 minute thresholds (weights 0.2 -> 1)."""
-    res = _memo(spark, sf, "time_thresholds",
-                lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf)), parallelism=8))
-    return _union([r.scores for r in res])
+    return _union([r.scores for r in time_thresholds(spark, sf)])
 
 
 @register("turret_threshold_models")
 def q_turret_threshold_models(spark, sf):
     """M5: 5 turret thresholds (``over_10_5`` = more than 10)."""
-    res = _memo(spark, sf, "turret_thresholds",
-                lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf)), parallelism=8))
-    return _union([r.scores for r in res])
+    return _union([r.scores for r in turret_thresholds(spark, sf)])
 
 
 @register("kills_model")
@@ -146,8 +156,9 @@ def q_cv_scores(spark, sf):
 
 
 def _results(spark, sf):
-    return [winner(spark, sf), total_kills(spark, sf), length(spark, sf), towers(spark, sf),
-            *kill_thresholds(spark, sf)]
+    """All models that the scorer knows: 5 single ones and 28 thresholds."""
+    return [winner(spark, sf), ultimate(spark, sf), total_kills(spark, sf), length(spark, sf), towers(spark, sf),
+            *kill_thresholds(spark, sf), *time_thresholds(spark, sf), *turret_thresholds(spark, sf)]
 
 
 @register("registry_check")
@@ -165,7 +176,7 @@ def _scored(spark, sf):
         reg = registry_from_results(spark, _results(spark, sf))
         m = M.matches(match_rows(spark, sf))
         seen = role_stats_long(m).select("champion").checkpoint(eager=True)
-        return score_all(drafts(match_rows(spark, sf)), reg, seen, seen.count())
+        return score_all(drafts(match_rows(spark, sf)), reg, seen)
     return _memo(spark, sf, "scored", run)
 
 

@@ -66,7 +66,7 @@ def q_role_stats_long(spark, sf):
 def sorted_matches(spark, sf):
     m = base_matches(spark, sf, reuse=True)
     stats = R.role_stats_long(m).checkpoint(eager=True)
-    return R.assign_roles(m, stats, stats.count())
+    return R.assign_roles(m, stats)
 
 
 @register("role_assign", _m(*ROLE_ASSIGN_CTES, select="SELECT gameid, blue_picks_sorted, red_picks_sorted FROM ra"))

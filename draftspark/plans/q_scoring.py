@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.names import duck_norm, duck_strip
+from ..functions.names import duck_norm, duck_strip, normalize_name
 from ..models import score as S
 from ..operators import encoders as E
 from ..operators.roles import role_stats_long
@@ -23,7 +23,7 @@ from .registry import register
 _BOTH = "blue_picks || red_picks"
 _VALIDATE = f"""chk AS (
   SELECT *, CASE
-    WHEN len(blue_picks) <> 5 OR len(red_picks) <> 5 THEN 'Please select 5 champions for each team.'
+    WHEN len(blue_picks) <> 5 OR len(red_picks) <> 5 THEN 'Each side needs exactly five picks.'
     WHEN len(list_filter({_BOTH}, lambda x: x IS NOT NULL AND {duck_strip('x')} <> '')) <> 10
       THEN 'Every pick slot must be filled.'
     WHEN len(list_distinct(list_transform({_BOTH}, lambda x: {duck_norm('x')}))) <> 10
@@ -122,54 +122,47 @@ def q_threshold_map(spark, sf):
     return m.select("gameid", F.map_keys("m").alias("keys"), F.map_values("m").alias("probs"))
 
 
-_SEEN_EARLY = f"""early AS (
+_SEEN = f"""seen AS (
   SELECT DISTINCT {duck_norm('c')} AS champion FROM (
-    SELECT unnest(blue_picks || red_picks) AS c FROM matches
-    WHERE date < (SELECT min(date) + (max(date) - min(date)) / 50 FROM matches)))"""
+    SELECT unnest(blue_picks || red_picks) AS c FROM matches))"""
 
 
-def _seen_early(spark, sf):
-    m = base_matches(spark, sf)
-    lim = m.agg((F.min("date") + (F.max("date") - F.min("date")) / 50).alias("cut")).first()["cut"]
-    return role_stats_long(m.where(F.col("date") < F.lit(lim))).select("champion").distinct()
+def _seen(spark, sf):
+    return role_stats_long(base_matches(spark, sf)).select("champion").distinct()
 
 
-@register("draft_quality", with_ctes(*MATCHES_CTES, _SEEN_EARLY, DRAFTS_CTE, _VALIDATE, _PREP, f"""pk AS (
+@register("draft_quality", with_ctes(*MATCHES_CTES, _SEEN, DRAFTS_CTE, _VALIDATE, _PREP, f"""pk AS (
   SELECT draft_id, 'blue' AS side, unnest(blue_picks) AS pick FROM prep
   UNION ALL SELECT draft_id, 'red', unnest(red_picks) FROM prep)""", select=f"""
 SELECT draft_id, count(e.champion) AS known, count(e.champion) / 10.0 AS known_ratio,
        coalesce(list_sort(list(pick) FILTER (WHERE e.champion IS NULL AND side = 'blue')), []) AS unknown_blue,
        coalesce(list_sort(list(pick) FILTER (WHERE e.champion IS NULL AND side = 'red')), []) AS unknown_red
-FROM pk LEFT JOIN early e ON e.champion = {duck_norm('pick')} GROUP BY draft_id"""))
+FROM pk LEFT JOIN seen e ON e.champion = {duck_norm('pick')} GROUP BY draft_id"""))
 def q_draft_quality(spark, sf):
-    """Share of each valid draft's picks seen in the first
-    fiftieth of the match period (the training window) and the unseen picks."""
+    """Share of each valid draft's picks seen in any match, and
+    the unseen picks."""
     v = S.prepare_drafts(S.validate_drafts(_drafts(spark, sf)).where("error IS NULL").drop("error"))
-    seen = _seen_early(spark, sf).checkpoint(eager=True)
-    q = S.draft_quality(v, seen, seen.count())
+    q = S.draft_quality(v, _seen(spark, sf))
     return q.select("draft_id", F.col("known").cast("bigint").alias("known"), "known_ratio",
                     "unknown_blue", "unknown_red")
 
 
 
 
-@register("unknown_picks", with_ctes(*MATCHES_CTES, _SEEN_EARLY, DRAFTS_CTE, _VALIDATE, _PREP, f"""pk AS (
+@register("unknown_picks", with_ctes(*MATCHES_CTES, _SEEN, DRAFTS_CTE, _VALIDATE, _PREP, f"""pk AS (
   SELECT draft_id, 'blue' AS side, unnest(blue_picks) AS pick FROM prep
   UNION ALL SELECT draft_id, 'red', unnest(red_picks) FROM prep)""", select=f"""
 SELECT draft_id, side, pick FROM pk
-WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.champion = {duck_norm('pick')})"""))
+WHERE NOT EXISTS (SELECT 1 FROM seen e WHERE e.champion = {duck_norm('pick')})"""))
 def q_unknown_picks(spark, sf):
-    """Picks of valid drafts not seen in the first fiftieth of the match
-    period (explode + left anti join against the size-checked seen set)."""
-    from ..operators.lookup import sized
-
+    """Picks of valid drafts not seen in any match (explode + left anti
+    join against the seen set)."""
     v = S.prepare_drafts(S.validate_drafts(_drafts(spark, sf)).where("error IS NULL").drop("error"))
-    seen = _seen_early(spark, sf).checkpoint(eager=True)
     items = F.concat(F.transform("blue_picks", lambda c: F.struct(F.lit("blue").alias("side"), c.alias("pick"))),
                      F.transform("red_picks", lambda c: F.struct(F.lit("red").alias("side"), c.alias("pick"))))
     p = v.select("draft_id", F.inline(items))
-    s = sized(seen.select(F.col("champion").alias("pick")), seen.count())
-    return p.join(s, "pick", "left_anti").select("draft_id", "side", "pick")
+    seen = _seen(spark, sf)
+    return p.join(seen, normalize_name(p["pick"]) == seen["champion"], "left_anti").select("draft_id", "side", "pick")
 
 
 @register("score_requests", _d(_PREP, select="""

@@ -65,7 +65,7 @@ def q_signed_onehot(spark, sf):
     index -> +1 / -1 per team by assignment -> blue + red."""
     s = sorted_matches(spark, sf)
     vocab = V.vocabulary(s, role_aware=True)
-    return V.signed_onehot_long(s, vocab, vocab.count(), role_aware=True,
+    return V.signed_onehot_long(s, vocab, role_aware=True,
                                 blue="blue_picks_sorted", red="red_picks_sorted")
 
 
@@ -75,7 +75,7 @@ def q_signed_onehot(spark, sf):
 def q_signed_onehot_plain(spark, sf):
     m = base_matches(spark, sf, reuse=True)
     vocab = V.vocabulary(m, role_aware=False)
-    return V.signed_onehot_long(m, vocab, vocab.count(), role_aware=False)
+    return V.signed_onehot_long(m, vocab, role_aware=False)
 
 
 @register("hash_bucket", _m(_SEEN, select=f"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of the engine should have.  Shuffle partitions are a
 # starting point only: AQE coalesces small partitions and splits skewed ones.
@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join("/tmp", f"draftspark-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -73,6 +75,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/draftspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: a lineage cut that keeps column pruning, pushdown and statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def in_session(spark: SparkSession, fn):
     """Wrap ``fn`` for a driver worker thread: the JVM keeps the active
     session per thread, and plans built without one fail at execution."""

@@ -61,8 +61,9 @@ FROM al JOIN g ON g.gid = al.gid
         JOIN nation n ON n.n_nationkey = s.s_nationkey
 """
 
-# DuckDB names STRING as VARCHAR but accepts STRING too, so the text is shared.
-MATCH_ROWS_CTE = f"match_rows AS ({MATCH_ROWS_SQL})"
+# DuckDB names STRING as VARCHAR but accepts STRING too, so the query text is shared.
+# Materialized: many statements name the view more than once.
+MATCH_ROWS_CTE = f"match_rows AS MATERIALIZED ({MATCH_ROWS_SQL})"
 
 # ---------------------------------------------------------------------------
 # Derived side tables, DuckDB form (used inside oracle statements).
@@ -76,10 +77,12 @@ TOWERS_TEXT_CTE = """towers_text AS (
   FROM match_rows)"""
 
 # Draft requests: one per game with ten player rows; blue team blank when
-# gid % 13 = 0; 6-4 games are the invalid requests.
+# gid % 13 = 0; 6-4 games are the invalid requests; where gid % 11 = 0 the first
+# pick is a champion that no match has.
 DRAFTS_CTE = """drafts AS (
   SELECT CAST(gameid AS BIGINT) AS draft_id,
-         list(champion ORDER BY CAST(participantid AS INT)) FILTER (WHERE side = 'Blue') AS blue_picks,
+         list(CASE WHEN CAST(gameid AS BIGINT) % 11 = 0 AND participantid = '1' THEN champion || ' X' ELSE champion END
+              ORDER BY CAST(participantid AS INT)) FILTER (WHERE side = 'Blue') AS blue_picks,
          list(champion ORDER BY CAST(participantid AS INT)) FILTER (WHERE side = 'Red') AS red_picks,
          CASE WHEN CAST(gameid AS BIGINT) % 13 = 0 THEN ''
               ELSE arg_min(teamname, CAST(participantid AS INT)) FILTER (WHERE side = 'Blue') END AS blue_team,
@@ -99,7 +102,7 @@ NAMES_CTE = """names AS (
 # Live frames from the event stream.
 LIVE_FRAMES_CTE = """live_frames AS (
   SELECT user_id AS game_id, event_id, ts,
-         CAST(event_id % 10 + 1 AS INT) AS participant_id,
+         CAST(event_id % 10 - 1 AS INT) AS participant_id,
          CASE event_type WHEN 'error' THEN 'finished' WHEN 'signup' THEN 'unstarted'
               ELSE 'inProgress' END AS game_state,
          CAST(json_extract_string(props, '$.k') AS INT) AS kills,
@@ -108,7 +111,7 @@ LIVE_FRAMES_CTE = """live_frames AS (
 
 PARTICIPANTS_CTE = """participants AS (
   SELECT CAST(c_custkey AS INT) AS participant_id, c_name AS summoner_name
-  FROM customer WHERE c_custkey BETWEEN 1 AND 9)"""
+  FROM customer)"""
 
 SCHEDULE_CTE = """schedule AS (
   SELECT o.o_orderkey AS event_id, n.n_name AS league_slug, CAST(n.n_nationkey AS BIGINT) AS league_id,
@@ -148,13 +151,13 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     The stand-in input is derived once per session and table folder and
     written to the shared checkpoint folder, so every query reads it like an
     input table on storage instead of re-deriving it from ``lineitem``."""
-    from ..session import ensure_checkpoint_dir, session_key
+    from ..session import ensure_checkpoint_dir, session_key, written
 
     key = (session_key(spark), sf_dir)
     if key not in _ROWS:
         ensure_checkpoint_dir(spark)
         register_tables(spark, sf_dir, ("lineitem", "part", "supplier", "nation"))
-        _ROWS[key] = spark.sql(MATCH_ROWS_SQL).checkpoint(eager=True)
+        _ROWS[key] = written(spark.sql(MATCH_ROWS_SQL), "match-rows")
     return _ROWS[key]
 
 
@@ -166,9 +169,14 @@ def towers_text(rows: DataFrame) -> DataFrame:
 
 
 def drafts(rows: DataFrame) -> DataFrame:
-    """Draft requests derived from games with ten player rows."""
-    players = rows.where(~F.col("participantid").isin("100", "200"))
+    """Draft requests derived from games with ten player rows.  At most eleven
+    rows of a game are shuffled and gathered: more than ten rule it out."""
+    from ..operators.matches import first_rows
+
     pn = F.col("participantid").cast("int")
+    unseen = (F.col("gameid").cast("bigint") % 11 == 0) & (F.col("participantid") == "1")
+    players = (first_rows(rows.where(~F.col("participantid").isin("100", "200")))
+               .withColumn("champion", F.when(unseen, F.concat("champion", F.lit(" X"))).otherwise(F.col("champion"))))
 
     def picks(side):
         return F.transform(
@@ -202,7 +210,7 @@ def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = (F.when(F.col("event_type") == "error", "finished")
              .when(F.col("event_type") == "signup", "unstarted").otherwise("inProgress"))
     return ev.select(F.col("user_id").alias("game_id"), "event_id", "ts",
-                     (F.col("event_id") % 10 + 1).cast("int").alias("participant_id"),
+                     (F.col("event_id") % 10 - 1).cast("int").alias("participant_id"),
                      state.alias("game_state"),
                      F.get_json_object("props", "$.k").cast("int").alias("kills"),
                      "value")
@@ -210,7 +218,7 @@ def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.where(F.col("c_custkey").between(1, 9)).select(
+    return c.select(
         F.col("c_custkey").cast("int").alias("participant_id"),
         F.col("c_name").alias("summoner_name"))
 

@@ -80,7 +80,7 @@ def test_role_assignment_matches_brute_force(spark):
     stats = _stats(spark, [(c, r, g) for (c, r), g in table.items() if g])
     teams = [rnd.sample(champs, 5) for _ in range(60)] + [["c0", "c1", "c2"], champs[:6], ["Q1", "Q2", "Q3", "Q4", "Q5"]]
     m = mdf(spark, [(str(i), t, t, "X", "Y", 1) for i, t in enumerate(teams)])
-    out = {r.gameid: r.blue_picks_sorted for r in R.assign_roles(m, stats, stats.count()).collect()}
+    out = {r.gameid: r.blue_picks_sorted for r in R.assign_roles(m, stats).collect()}
     for i, t in enumerate(teams):
         expect = _brute(t, table) if len(t) == 5 else t
         assert out[str(i)] == expect, (t, out[str(i)], expect)
@@ -92,7 +92,7 @@ def test_signed_onehot_mirror_cancels_and_duplicates_count_once(spark):
                     ("2", ["a", "a", "b", "c", "d"], ["e", "f", "g", "h", "i"], "X", "Y", 1)])
     vocab = V.vocabulary(m, role_aware=False)
     idx = {r.token: r["index"] for r in vocab.collect()}
-    long = V.signed_onehot_long(m, vocab, vocab.count(), role_aware=False)
+    long = V.signed_onehot_long(m, vocab, role_aware=False)
     got = {(r.gameid, r["index"]): r.value for r in long.collect()}
     assert ("1", idx["A"]) not in got                 # mirrored pick cancels
     assert got[("2", idx["A"])] == 1.0                # duplicate pick counts once
@@ -109,8 +109,8 @@ def test_swap_negates_hashed_and_onehot(spark):
         b = {(r["index"], -r.value) for r in V.hashed_long(sw, 300, mode).collect()}
         assert a == b
     vocab = V.vocabulary(m, role_aware=False)
-    a = {(r["index"], r.value) for r in V.signed_onehot_long(m, vocab, 10, role_aware=False).collect()}
-    b = {(r["index"], -r.value) for r in V.signed_onehot_long(sw, vocab, 10, role_aware=False).collect()}
+    a = {(r["index"], r.value) for r in V.signed_onehot_long(m, vocab, role_aware=False).collect()}
+    b = {(r["index"], -r.value) for r in V.signed_onehot_long(sw, vocab, role_aware=False).collect()}
     assert a == b
 
 

@@ -74,14 +74,30 @@ def test_empty_input(spark):
 
 
 def test_hot_game_key_is_rejected_without_collecting_it(spark):
-    """One game id holding a third of all rows: phase 1 (map-side combined
-    counts) rejects it, so phase 2 never collects its picks."""
+    """One game id holding most rows: the counts are combined in the map tasks,
+    and the picks' rank filter runs before the shuffle, so no task reads it whole."""
     normal = []
     for g in range(40):
         normal += game(f"g{g}", B5, R5)
     hot = [("hot", "Blue" if i % 2 else "Red", i + 1000, f"c{i % 50}", "A", 1, 1, 1800, None, 0)
            for i in range(20000)]
-    df = rows_df(spark, normal + hot)
-    assert M.matches(df).count() == 40
+    df = rows_df(spark, normal + hot).repartition(5).checkpoint()
+    out = M.matches(df)
+    assert len(out.collect()) == 40
+    plan = out._jdf.queryExecution().executedPlan()
+    shuffled, seen, todo = [], set(), [plan]
+    while todo:  # records written by each exchange of the plan that ran
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if name == "Exchange" and node.hashCode() not in seen:
+            seen.add(node.hashCode())
+            shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    # 400 rows of whole games; the hot game adds at most eleven rows a task
+    assert shuffled and max(shuffled) <= 400 + 11 * 5
     rej = {r.gameid: (r.n_players, r.reason) for r in M.rejected_games(df).collect()}
     assert rej == {"hot": (20000, "players_not_10")}
