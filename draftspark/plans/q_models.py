@@ -19,7 +19,9 @@ from ..operators import matches as M
 from ..operators.roles import role_stats_long
 from ..session import scratch_path, session_key
 from ..sources.fixture import drafts, match_rows
-from .registry import register
+from . import q_ordering  # noqa: F401 - its statement for the weights is used here
+from .common import round_doubles
+from .registry import ORACLE, register
 
 _CACHE: dict = {}
 
@@ -193,9 +195,9 @@ def q_result_json(spark, sf):
     return result_json(_scored(spark, sf))
 
 
-@register("match_ordinal_weights")
+@register("match_ordinal_weights", ORACLE["recency_weight"])
 def q_match_ordinal_weights(spark, sf):
     """W1 + W2 as used by training: ordinal and the 0.1 -> 1 weight per match."""
     m, _ = T.prepare(M.matches(match_rows(spark, sf)), 0.1, 1.0)
-    return m.select("gameid", "ordinal", "weight")
+    return round_doubles(m.select("gameid", "ordinal", "weight"))
 

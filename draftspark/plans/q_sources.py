@@ -43,7 +43,10 @@ def q_scan_na_tokens(spark, sf):
     return df.select("gameid", "participantid", "towers", coerce_numeric("towers").alias("towers_num"))
 
 
-@register("scan_inferred")
+@register("scan_inferred", with_ctes(select="""
+SELECT CAST(gameid AS INT) AS gameid, date, league, side, CAST(participantid AS INT) AS participantid,
+       nullif(champion, '') AS champion, teamname, result, kills, gamelength, towers
+FROM match_rows"""))
 def q_scan_inferred(spark, sf):
     """Full scan with inferred column types."""
     path = _csv(spark, sf, match_rows(spark, sf), "participants-csv-inferred")
@@ -54,7 +57,7 @@ def q_scan_inferred(spark, sf):
 def q_source_freshness(spark, sf):
     """Newest modification time of the participant files, formatted."""
     path = _csv(spark, sf, match_rows(spark, sf), "participants-csv-fresh")
-    return S.freshness(S.read_participants(spark, path, columns=["gameid", "_metadata"]))
+    return S.freshness(spark, path)
 
 
 @register("union_seasons", with_ctes(select="""

@@ -75,10 +75,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: str | StructType, read
     return reader(path) if reader else spark.read.schema(schema).option("header", True).csv(path)
 
 
-def freshness(df: DataFrame) -> DataFrame:
+def freshness(spark: SparkSession, path: str) -> DataFrame:
     """Newest source-file modification time, formatted like
-    ``March 04, 2026 at 09:15 PM`` (needs a file-based scan)."""
-    t = df.select(F.col("_metadata.file_modification_time").alias("t")).agg(F.max("t").alias("modified"))
+    ``March 04, 2026 at 09:15 PM``.  The files are listed, their content is
+    not read."""
+    files = spark.read.format("binaryFile").load(path)
+    t = files.agg(F.max("modificationTime").alias("modified"))
     return t.select("modified", F.date_format("modified", "MMMM dd, yyyy 'at' hh:mm a").alias("label"))
 
 
