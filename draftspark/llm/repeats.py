@@ -42,10 +42,10 @@ from . import textkit as K
 
 LENGTH = 50              # bytes of the shortest repeat
 GRAM = 16                # bytes of a minimizer
-BLOCK_BYTES = 16 << 20   # text of a block of documents (one document at least)
-SHARD_BYTES = 16 << 20   # text whose strings make a shard, on average
+BLOCK_BYTES = 8 << 20    # text of a block of documents (one document at least)
+SHARD_BYTES = 8 << 20    # text whose strings make a shard, on average
 _STEP = 2 << 20          # bytes worked on at once
-_SUFFIXES = 1 << 19      # suffixes sorted at once
+_SUFFIXES = 1 << 18      # suffixes sorted at once
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -191,7 +191,7 @@ def documents_in_blocks(docs: DataFrame, text_col: str, id_col: str, length: int
 
     schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("data", pa.binary()), ("strings", pa.binary()), ("n_bytes", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return K.bucketed(rows.mapInArrow(run, "block string, doc_ids array<long>, offsets binary, data binary, strings binary, n_bytes long"), "blocks", "block")
+    return K.bucketed(rows.mapInArrow(K.tidy(run), "block string, doc_ids array<long>, offsets binary, data binary, strings binary, n_bytes long"), "blocks", "block")
 
 
 # --- the suffix array of one shard ----------------------------------------------
@@ -277,6 +277,16 @@ def shard_repeats(strings: pd.DataFrame, length: int) -> pd.DataFrame:
     shared = (np.minimum.reduceat(low[order], head) < np.maximum.reduceat(high[order], head))[group]
     order, group = order[shared], group[shared]
     out = []
+    # minimizers with one text only: the text is the repeat
+    name = K.hash_spans(data, start[order], size[order])
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(order)))
+    single = (np.minimum.reduceat(name, head) == np.maximum.reduceat(name, head)) if len(order) else np.zeros(0, bool)
+    if single.any():
+        least = np.minimum.reduceat(low[order], head)
+        one = np.repeat(single, count)
+        out.append((order[one], np.zeros(int(one.sum()), np.int64), size[order[one]], np.repeat(least, count)[one]))
+        order, group = order[~one], group[~one]
     if len(order):
         windows = size[order] - length + 1
         ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
@@ -372,9 +382,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]]), pa.array([packet], pa.binary())], ["shard", "block", "packet"])
 
     def scan_minimizers(key, group: pd.DataFrame) -> pd.DataFrame:
+        K.release()
         return group.assign(bits=shared_minimizers(group["packet"].tolist()))[["block", "shard", "bits"]]
 
     def scan_strings(key, group: pd.DataFrame) -> pd.DataFrame:
+        K.release()
         return shard_repeats(group, length).assign(shard=key[0])[["block", "shard", "found"]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,12 +395,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             yield _cut(block, row)
 
     sent = "shard long, block string, packet binary"
-    shared = (blocks.drop("n_bytes").mapInArrow(send_minimizers, sent).groupBy("shard").applyInPandas(scan_minimizers, "block string, shard long, bits binary")
+    shared = (blocks.drop("n_bytes").mapInArrow(K.tidy(send_minimizers), sent).groupBy("shard").applyInPandas(scan_minimizers, "block string, shard long, bits binary")
               .groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("shared")))
     ready = blocks.join(K.bucketed(shared, "shared", "block"), "block", "left")
-    found = ready.mapInArrow(send_strings, sent).groupBy("shard").applyInPandas(scan_strings, "block string, shard long, found binary")
+    found = ready.mapInArrow(K.tidy(send_strings), sent).groupBy("shard").applyInPandas(scan_strings, "block string, shard long, found binary")
     answers = K.written(found, "repeats").groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("answers"))
-    return ready.join(answers, "block", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return ready.join(answers, "block", "left").mapInArrow(K.tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def shared_minimizers(packets: list[bytes]) -> list[bytes]:

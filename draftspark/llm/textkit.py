@@ -3,6 +3,8 @@ arrays, vectorised span hashing, packed int arrays, scratch tables."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +59,26 @@ def schema(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its
+    task, and what its allocators keep would count against the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (batches in, batches out) with ``release`` after its task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty.
     The bytes end with a few zeros of padding, past the last offset."""
@@ -74,7 +96,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets - first
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batch: pa.RecordBatch, column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` text bytes (one row at least)."""
     import pyarrow.compute as pc
 
