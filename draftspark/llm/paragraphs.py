@@ -44,14 +44,14 @@ from .repeats import _packed, _text, _unpacked
 WIDTH, THRESHOLD = 5, 0.8
 RECALL = 0.999           # of pairs at the threshold
 CHUNK, PIVOTS = 512, 16  # paragraphs of a key compared in one go; those that all its chunks get
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 1 << 21     # band keys of a shard of the collision search, on average
 _STEP = 2 << 20          # text bytes whose shingles are worked on at once
 _WHITE = np.zeros(256, bool)
 _WHITE[list(K.WHITE)] = True
 
 
-def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = 0.3, most_noise: float = 0.05) -> tuple[int, int]:
+def tune(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = 0.3, most_noise: float = 0.15) -> tuple[int, int]:
     """(bands, rows): the fewest bands, then rows, that find a pair at the
     threshold with probability ``recall`` and a pair of similarity ``noise``
     with ``most_noise`` at most."""
@@ -68,10 +68,11 @@ BANDS, ROWS = tune()
 # --- paragraphs of a block -------------------------------------------------------
 
 class Paragraphs:
-    """Paragraphs of texts with enough words: text number, start and end (lines'),
-    content hash, sorted distinct shingles (runs) and band keys."""
+    """Paragraphs of texts with enough words: text number, start (of the line),
+    content hash, and if asked for sorted distinct shingles (runs) and band keys."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingles: bool = True):
+        self._with = shingles
         parts = []
         n, text = len(offsets) - 1, 0
         while text < n:  # whole texts, about _STEP bytes at once
@@ -80,44 +81,40 @@ class Paragraphs:
             text = last
         if not parts:
             parts = [self._read(data, offsets, 0)]
-        self.text, self.start, self.end, self.content, n_shingles, self.shingles, self.bands = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.text, self.start, self.content, n_shingles, self.shingles, self.bands = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.first = np.concatenate([[0], np.cumsum(n_shingles)])
 
-    @staticmethod
-    def _read(data: np.ndarray, offsets: np.ndarray, base: int):
+    def _read(self, data: np.ndarray, offsets: np.ndarray, base: int):
         a, b = int(offsets[0]), int(offsets[-1])
         own = np.concatenate([K.lower_ascii(data[a:b]), np.zeros(16, np.uint8)])
         offsets = offsets - a
-        line_start, line_end, _ = K.spans_of(own[: b - a] != 10, offsets)
+        line_start, _, _ = K.spans_of(own[: b - a] != 10, offsets)
         start, end, _ = K.spans_of(~_WHITE[own[: b - a]], offsets)
         word = K.hash_spans(own, start, end - start)
         line_of = np.searchsorted(line_start, start, "right") - 1
         first = np.searchsorted(line_of, np.arange(len(line_start) + 1))
         count = np.diff(first)
         some = np.flatnonzero(count >= WIDTH)
+        # content hash of each line's words, bound to their order
+        place = np.arange(len(word)) - np.repeat(first[:-1], count)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(word ^ K.mix(place.astype(np.uint64) + np.uint64(1))))])
+        content = K.mix(total[first[some + 1]] - total[first[some]] + count[some].astype(np.uint64))
+        text = np.searchsorted(offsets, line_start[some], "right") - 1 + base
+        if not self._with:
+            return text, line_start[some] + a, content, np.zeros(len(some), np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
         # shingles: runs of WIDTH words within a line
         n = count[some] - WIDTH + 1
         at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
         shingle = np.zeros(len(at), np.uint64)
         for j in range(WIDTH):
             shingle = K.mix(shingle * np.uint64(3) + word[at + j])
-        of = np.repeat(np.arange(len(some)), n)
-        # order-bound content hash of each line's words
-        chain = K.mix(word + np.arange(len(word), dtype=np.uint64) * np.uint64(0)) if len(word) else word
-        place = np.arange(len(word)) - np.repeat(first[:-1], count)
-        spread = K.mix(chain ^ K.mix(place.astype(np.uint64) + np.uint64(1)))
-        content = np.add.reduceat(spread, first[some]) if len(some) else np.zeros(0, np.uint64)
-        if len(some):  # reduceat runs to the next start: take off the words of skipped lines between
-            total = np.concatenate([[np.uint64(0)], np.cumsum(spread)])
-            content = K.mix(total[first[some + 1]] - total[first[some]] + count[some].astype(np.uint64))
         bands = band_keys(shingle, np.cumsum(n) - n)
+        of = np.repeat(np.arange(len(some)), n)
         order = np.lexsort((shingle, of))
         shingle, of = shingle[order], of[order]
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
-        shingle, of = shingle[new], of[new]
-        text = np.searchsorted(offsets, line_start[some], "right") - 1 + base
-        return text, line_start[some] + a, line_end[some] + a, content, np.bincount(of, minlength=len(some)), shingle, bands
+        return text, line_start[some] + a, content, np.bincount(of[new], minlength=len(some)), shingle[new], bands
 
 
 def band_keys(shingle: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -139,11 +136,12 @@ def band_keys(shingle: np.ndarray, head: np.ndarray) -> np.ndarray:
 class Block:
     """A stored block: its paragraphs, and the distinct contents among them."""
 
-    def __init__(self, row: dict, n_shards: int):
+    def __init__(self, row: dict, n_shards: int = 0):
+        """Without shards only what the contents need is worked out."""
         self.ids = row["doc_ids"]
         self.offsets = np.frombuffer(row["offsets"], np.int64)
         self.data = _text(row["data"], int(self.offsets[-1]))
-        self.p = Paragraphs(self.data, self.offsets)
+        self.p = Paragraphs(self.data, self.offsets, n_shards > 0)
         null = np.array([i is None for i in self.ids], bool)
         self.doc = np.array([i if i is not None else 0 for i in self.ids], np.int64)
         self.takes_part = ~null[self.p.text]
@@ -152,6 +150,8 @@ class Block:
         self.own = np.flatnonzero(self.takes_part)[first]  # one paragraph of each content
         self.low = np.full(len(self.contents), np.iinfo(np.int64).max)
         np.minimum.at(self.low, np.searchsorted(self.contents, content), self.doc[self.p.text[self.takes_part]])
+        if not n_shards:
+            return
         # entries: a key of a content, by shard and 32 bits of the key
         keys = self.p.bands[self.own].ravel()
         self.entry_key = (keys % np.uint64(n_shards) << np.uint64(32)) | (keys >> np.uint64(32))
@@ -214,7 +214,7 @@ def judge(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     raw, offsets = K.utf8(shingle_rows)
     shingles, first = raw[: offsets[-1]].view(np.uint64), offsets // 8
     raw, offsets = K.utf8(rows.column("bands").combine_chunks())
-    bands = raw[: offsets[-1]].view(np.uint64).reshape(-1, BANDS)
+    bands = raw[: offsets[-1]].view(np.uint32).reshape(-1, BANDS)
     band = np.asarray(rows.column("band"))
     key, chunk = np.asarray(rows.column("key")), np.asarray(rows.column("chunk"))
     main, label = np.asarray(rows.column("main")), np.asarray(rows.column("label"))
@@ -301,7 +301,7 @@ def _links(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = K.partitions(rows.sparkSession)
-    return rows.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "content").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk", "content").mapInArrow(K.tidy(run), "a long, b long").distinct()
 
 
 # --- the job ---------------------------------------------------------------------------
@@ -319,7 +319,7 @@ def _stored_blocks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 n += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return K.bucketed(rows.mapInArrow(run, "block string, doc_ids array<long>, offsets binary, data binary, n_bytes long"), "paragraph-blocks", "block")
+    return K.bucketed(rows.mapInArrow(K.tidy(run), "block string, doc_ids array<long>, offsets binary, data binary, n_bytes long"), "paragraph-blocks", "block")
 
 
 def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -330,7 +330,7 @@ def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     n_shards = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) * BANDS // 120 // SHARD_KEYS))
     blocks = blocks.drop("n_bytes")
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
+    def rows_of(batches: Iterator[pa.RecordBatch], n_shards: int = n_shards) -> Iterator[tuple[dict, Block]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -344,6 +344,7 @@ def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]]), pa.array([packet], pa.binary())], ["shard", "block", "packet"])
 
     def scan_keys(key, group: pd.DataFrame) -> pd.DataFrame:
+        K.release()
         return group.assign(found=collisions(group["packet"].tolist()))[["block", "shard", "found"]]
 
     def send_paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +352,14 @@ def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield from _colliding(block, row["found"] or ())
 
     def send_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, block in rows_of(batches):
+        for row, block in rows_of(batches, 0):
             again = np.bincount(np.searchsorted(block.contents, block.p.content[block.takes_part]), minlength=len(block.contents))
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(block.contents), pa.string()), pa.array(block.contents.view(np.int64)), pa.array(block.low), pa.array(again)],
                                              ["block", "content", "low", "n"])
 
-    keys = blocks.mapInArrow(send_keys, "shard long, block string, packet binary")
+    keys = blocks.mapInArrow(K.tidy(send_keys), "shard long, block string, packet binary")
     found = keys.groupBy("shard").applyInPandas(scan_keys, "block string, shard long, found binary").groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("found"))
-    rows = K.written(blocks.join(found, "block").mapInArrow(send_paragraphs, _ROWS + ", many boolean"), "colliding")
+    rows = K.written(blocks.join(found, "block").mapInArrow(K.tidy(send_paragraphs), _ROWS + ", many boolean"), "colliding")
     edges = K.written(_links(rows), "paragraph-links")
     roots = components(edges)
     # members of keys that were dealt out in chunks, by component
@@ -376,7 +377,7 @@ def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         names = [f.split(" ")[0] for f in _ROWS.split(", ")]
         edges = K.written(edges.unionByName(_links(left.select(*names).unionByName(right.select(*names)).dropDuplicates(["key", "chunk", "content"]))), "paragraph-links")
         roots = components(edges)
-    contents = K.written(blocks.mapInArrow(send_contents, "block string, content long, low long, n long"), "contents")
+    contents = K.written(blocks.mapInArrow(K.tidy(send_contents), "block string, content long, low long, n long"), "contents")
     named = contents.join(roots, contents.content == roots.node, "left").select("block", "content", "low", "n", F.coalesce("root", "content").alias("class"))
     classes = named.groupBy("class").agg(F.min("low").alias("keeper"), F.sum("n").alias("members")).where("members > 1").select(F.col("class").alias("of_class"), "keeper")
     answers = named.join(classes, F.col("class") == F.col("of_class")).groupBy("block").agg(F.collect_list(F.struct("content", "class", "keeper")).alias("answers"))
@@ -385,10 +386,10 @@ def dedup_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                yield _cut(Block(one.select(["doc_ids", "offsets", "data"]).to_pylist()[0], n_shards), one.column("answers"))
+                yield _cut(Block(one.select(["doc_ids", "offsets", "data"]).to_pylist()[0]), one.column("answers"))
 
     return blocks.join(answers, "block", "left").select("doc_ids", "offsets", "data", "answers").mapInArrow(
-        cut, "doc_id long, n_paragraphs long, n_removed long, classes array<long>, text string")
+        K.tidy(cut), "doc_id long, n_paragraphs long, n_removed long, classes array<long>, text string")
 
 
 def _colliding(block: Block, found: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +413,7 @@ def _colliding(block: Block, found: list[dict]) -> Iterator[pa.RecordBatch]:
             n = block.p.first[own + 1] - block.p.first[own]
             flat = block.p.shingles[np.arange(int(n.sum())) + np.repeat(block.p.first[own] - (np.cumsum(n) - n), n)]
             shingles = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n) * 8]).astype(np.int32)), pa.py_buffer(flat)])
-            bands = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * 8 * BANDS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(block.p.bands[own]))])
+            bands = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * 4 * BANDS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray((block.p.bands[own] >> np.uint64(32)).astype(np.uint32)))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.p.bands[own, some % BANDS].view(np.int64)), pa.array(chunk[a:a + 4096]), pa.array((some % BANDS).astype(np.int32)), pa.array(block.contents[some // BANDS].view(np.int64)),
                  pa.array(np.zeros(len(own), np.int64)), pa.array(np.zeros(len(own), bool)), bands, shingles, pa.array(many[a:a + 4096])],
