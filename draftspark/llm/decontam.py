@@ -69,7 +69,7 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
                         ("first", pa.binary()), ("terms", pa.binary()), ("lists", pa.binary()), ("postings", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("mark"))
-    return K.written(rows.mapInArrow(run, _INDEX), "postings")
+    return K.written(rows.mapInArrow(K.tidy(run), _INDEX), "postings")
 
 
 class Shard:
@@ -144,7 +144,7 @@ def test_windows(items: DataFrame, text_col: str = "text", id_col: str = "item_i
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(windows, pa.binary())], ["item_id", "window"])
 
     return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "item_id string, window binary")
+        K.tidy(run), "item_id string, window binary")
 
 
 def _block(windows: DataFrame, number: int, n_blocks: int) -> list[tuple[int, np.ndarray]]:
@@ -197,7 +197,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     for number in range(n_blocks):
         rows = spark.sparkContext.broadcast(_block(windows, number, n_blocks))
         last = number == n_blocks - 1  # nothing reads the lists any more
-        df = df.select(*[f.split(" ")[0] for f in marked.split(", ")]).mapInArrow(step(rows, last), marks if last else marked)
+        df = df.select(*[f.split(" ")[0] for f in marked.split(", ")]).mapInArrow(K.tidy(step(rows, last)), marks if last else marked)
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +213,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
                     ["shard", "doc_no", "doc_id", "text_mark", "n_words", "n_hit", "window_ids"])
 
     return df.mapInArrow(
-        per_document, "shard string, doc_no int, doc_id long, text_mark long, n_words long, n_hit long, window_ids array<long>")
+        K.tidy(per_document), "shard string, doc_no int, doc_id long, text_mark long, n_words long, n_hit long, window_ids array<long>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id",

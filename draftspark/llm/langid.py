@@ -55,13 +55,14 @@ class Words:
         self.n_texts = len(offsets) - 1
         raw = data[: offsets[-1]].tobytes()
         codes = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-        chars = np.concatenate([[0], np.cumsum((data[: offsets[-1]] & 0xC0) != 0x80)])[offsets]
+        chars = np.concatenate([[0], np.cumsum((data[: offsets[-1]] & 0xC0) != 0x80, dtype=np.int32)])[offsets].astype(np.int64)
         if chars[-1] != len(codes):  # malformed bytes were replaced: decode text by text
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
             chars = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         letters = np.concatenate([_folding()[codes], np.zeros(4, np.uint32)])
-        start, end, first = K.spans_of(letters[: len(codes)] != 0, chars)
+        start, end, first = K.spans_of(letters[:-4] != 0, chars)
+        del data, raw, codes
         self.text = np.repeat(np.arange(self.n_texts), np.diff(first))
         self.letters = np.concatenate([[0], np.cumsum(end - start)])[first[1:]] - np.concatenate([[0], np.cumsum(end - start)])[first[:-1]]
         name = K.hash_spans(letters.view(np.uint8), start * 4, (end - start) * 4)
@@ -118,7 +119,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                         [pa.array([names.dictionary[k].as_py()] * len(some), pa.string()), pa.array(words.order[first[some]].astype(np.int32)),
                          pa.array(ids[some].view(np.int64)), pa.array(count[some])], ["lang", "n", "gram", "count"])
 
-    return rows.select("text", "lang").mapInArrow(run, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    return rows.select("text", "lang").mapInArrow(K.tidy(run), "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
 class Filters:
@@ -185,7 +186,7 @@ def train(rows: DataFrame) -> Filters:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang // 64), pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64))], ["slot", "word", "bits"])
 
     table = np.zeros((size, -(-len(langs) // 64)), np.uint64)
-    filled = kept.mapInArrow(slots, "slot long, word long, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = kept.mapInArrow(K.tidy(slots), "slot long, word long, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table[np.asarray(filled["slot"]), np.asarray(filled["word"])] = np.asarray(filled["bits"]).view(np.uint64)
     return Filters(langs, table)
 
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
                 lang, score = held.value.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, K.schema(rows.select("row"), "lang_pred string, score double"))
+    return rows.mapInArrow(K.tidy(run), K.schema(rows.select("row"), "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -68,7 +68,7 @@ def line_hashes(docs: DataFrame, text_col: str, id_col: str, min_chars: int) ->
                 yield pa.RecordBatch.from_arrays([ids, pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "h1", "h2"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, h1 long, h2 long")
+        K.tidy(run), "doc_id long, h1 long, h2 long")
 
 
 # --- the minimal perfect hash of a shard ------------------------------------
@@ -211,4 +211,4 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     [part.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()),
                      pa.array(n_dropped, pa.int64()), part.column("row")], ["doc_id", "text", "n_lines", "n_dropped", "row"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(K.tidy(run), schema)

@@ -224,4 +224,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [t.encode("utf-8", "replace").decode() for t in texts]  # references to lone surrogates
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return rows.mapInArrow(run, K.schema(rows.select("row"), "text string"))
+    return rows.mapInArrow(K.tidy(run), K.schema(rows.select("row"), "text string"))

@@ -342,7 +342,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
 
-    return rows.mapInArrow(run, K.schema(rows.select("row"), "ids array<int>"))
+    return rows.mapInArrow(K.tidy(run), K.schema(rows.select("row"), "ids array<int>"))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -363,4 +363,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFra
                 texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids, texts.cast(pa.string(), safe=False)], ["row", "ids", "text"])
 
-    return left.mapInArrow(run, K.schema(left, "text string"))
+    return left.mapInArrow(K.tidy(run), K.schema(left, "text string"))

@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, mark long, fp long")
+        K.tidy(run), "doc_id long, mark long, fp long")
 
 
 # --- dealing fingerprints out ------------------------------------------------
@@ -238,7 +238,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         if count:
             yield flush(pa.Table.from_batches(held))
 
-    return dealt.repartition(n, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(K.tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, bits: int = BITS) -> DataFrame:
