@@ -17,6 +17,7 @@ repeated rows are independent; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"[0-9]+(?:\.[0-9]+\.[0-9]+(\.[0-9]+))?")  # takes every run of digits, so that no start within one is tried
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -57,7 +58,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.group().split("."))]
+    return [m.span() for m in _IP.finditer(text) if m[1] and all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.group().split("."))]
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +85,12 @@ def phones(text: str) -> list[tuple[int, int]]:
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones), strict=True))
 
 
+_A_DIGIT = re.compile("[0-9]")
+
+
 def identifiers(text: str) -> list[tuple[str, int, int]]:
+    if not _A_DIGIT.search(text):
+        return [("email", a, b) for a, b in emails(text)]
     return [(kind, a, b) for kind in KINDS for a, b in FINDERS[kind](text)]
 
 
@@ -163,7 +169,10 @@ def _plain() -> dict[int, str]:
 
 @functools.cache
 def _odd() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(_plain())))) + INVISIBLE + "]")
+    """Characters that ``look_alikes`` changes.  Those past the basic plane are
+    taken as one range, as long lists of them are searched one by one."""
+    basic = [c for c in sorted(_plain()) if c < 0x10000]
+    return re.compile("[" + "".join(map(re.escape, map(chr, basic))) + INVISIBLE + "]|[\U00010000-\U0010FFFF]")
 
 
 def look_alikes(text: Mapped) -> Mapped:
@@ -224,12 +233,27 @@ def at_and_dot(text: Mapped) -> Mapped:
 
 
 TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
-_HINT = re.compile(rf"(?<!\w)(?:{'|'.join(_DIGIT_OF)})[ \t,.-]+(?:double|triple|{'|'.join(_DIGIT_OF)}|{_DOTS})(?!\w)|[\[({{<][ \t]*(?:@|\.|{_AT}|{_DOTS})[ \t]*[\])}}>]|[ \t](?:{_DOTS})[ \t]|[ \t]@|@[ \t]", re.I)
+_BOX = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_AT}|{_DOTS})[ \t]*[\])}}>]", re.I)
+_PARTED = tuple(f"{sep}{w}" for w in DOT_WORDS for sep in " \t")
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer can change something that matters."""
-    return bool(_HINT.search(text)) or not text.isascii() and bool(_odd().search(text))
+    """Whether any transducer can change something that matters: quick tests
+    that only ever err on the side of yes."""
+    if not text.isascii() and _odd().search(text):
+        return True
+    if "@" in text and (" @" in text or "@ " in text or "\t@" in text or "@\t" in text):
+        return True
+    if any(c in text for c in "[({<") and _BOX.search(text):
+        return True
+    low = text.lower()
+    if any(w in low for w in _PARTED):
+        return True
+    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    if _DIGIT_OF.keys().isdisjoint(words):
+        return False
+    spelled = [w in _DIGIT_OF or w in ("double", "triple") for w in words]
+    return any(map(operator.and_, spelled, spelled[1:]))
 
 
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -262,4 +286,4 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     out.append([{"kind": k, "start": s, "end": e, "base": own} for own, found in ((True, base), (False, added)) for k, s, e in found])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, span)], ["row", "spans"])
 
-    return rows.mapInArrow(run, K.schema(rows.select("row"), "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"))
+    return rows.mapInArrow(K.tidy(run), K.schema(rows.select("row"), "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"))
