@@ -191,19 +191,21 @@ def train(rows: DataFrame) -> Filters:
     return Filters(langs, table)
 
 
-def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` in ``row``, with lang_pred and score."""
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text in ``row``, with lang_pred and score,
+    and the text itself only if asked for."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(filters)  # bounded by MIN_SHARE
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(K.others(docs, text_col), F.col(text_col).alias("text"))
+    kept = ["row", "text"] if keep_text else ["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.text_chunks(batch, "text"):
                 lang, score = held.value.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(K.tidy(run), K.schema(rows.select("row"), "lang_pred string, score double"))
+    return rows.mapInArrow(K.tidy(run), K.schema(rows.select(*kept), "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -211,16 +213,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Train on the rows not held out and predict every row: ``row`` (all
-    columns of ``docs``), held_out, lang_pred, score."""
+    columns of ``docs`` but the text), held_out, lang_pred, score, and the text
+    if asked for."""
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = predict(docs, train(rows), text_col)
-    return found.select("row", held_out(f"row.{id_col}").alias("held_out"), "lang_pred", "score")
+    found = predict(docs, train(rows), text_col, keep_text)
+    return found.withColumn("held_out", held_out(f"row.`{id_col}`"))
 
 
 def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``); the
     kept rows carry the predicted language where they had none."""
-    known = identify(docs, text_col, lang_col, id_col).where("lang_pred != 'und'")
-    return known.select(*[F.coalesce(F.col(f"row.`{c}`"), F.col("lang_pred")).alias(c) if c == lang_col else F.col(f"row.`{c}`") for c in docs.columns])
+    known = identify(docs, text_col, lang_col, id_col, keep_text=True).where("lang_pred != 'und'")
+
+    def column(c):
+        if c == text_col:
+            return F.col("text").alias(c)
+        return (F.coalesce(F.col(f"row.`{c}`"), F.col("lang_pred")) if c == lang_col else F.col(f"row.`{c}`")).alias(c)
+
+    return known.select(*map(column, docs.columns))

@@ -22,7 +22,7 @@ def test_labels_of_held_out_rows_and_other_columns_are_not_used(documents):
 
 
 def test_odd_rows(odd, empty, llm):
-    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in M.identify(odd).select("row.doc_id", "row.text", "lang_pred", "score").collect()}
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in M.identify(odd, keep_text=True).select("row.doc_id", "text", "lang_pred", "score").collect()}
     assert got[(2, None)] == got[(3, "")] == got[(8, "   \n\t ")] == ("und", 0.0)
     assert all(lang == "en" for (_, t), (lang, _) in got.items() if t and t.strip())
     assert M.identify(empty).count() == 0
