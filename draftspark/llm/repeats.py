@@ -196,20 +196,25 @@ def documents_in_blocks(docs: DataFrame, text_col: str, id_col: str, length: int
 
 # --- the suffix array of one shard ----------------------------------------------
 
-def suffix_order(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int, head: np.ndarray | None = None, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(order, common prefix with the previous suffix) of suffixes of at most
-    ``width`` bytes: ``left`` bytes from ``at``.  ``data`` needs padding."""
-    columns = -(-width // 8)
+    ``width`` bytes: ``left`` bytes from ``at``.  ``data`` needs padding.  With
+    ``head``, the number of the class of a suffix's first ``skip`` bytes, classes
+    follow one another in any order and only the bytes behind are compared;
+    prefixes shorter than ``skip`` count as zero."""
     lanes = np.ndarray((max(len(data) - 7, 0),), ">u8", data, 0, (1,))
+    columns = -(-(width - skip) // 8)
     keys = np.empty((columns, len(at)), np.uint64)
     for c in range(columns):
-        rest = np.clip(left - 8 * c, 0, 8)
-        word = lanes[np.minimum(at + 8 * c, len(lanes) - 1)].astype(np.uint64)
+        rest = np.clip(left - skip - 8 * c, 0, 8)
+        word = lanes[np.minimum(at + skip + 8 * c, len(lanes) - 1)].astype(np.uint64)
         cut = (np.uint64(64) - rest.astype(np.uint64) * np.uint64(8)) & np.uint64(63)
         keys[c] = np.where(rest == 0, 0, word >> cut << cut)
-    order = np.lexsort((left, *keys[::-1]))
+    order = np.lexsort((left, *keys[::-1]) if head is None else (left, *keys[::-1], head))
     keys, left = keys[:, order], left[order]
-    common, open_ = np.zeros(len(at), np.int64), np.ones(max(len(at) - 1, 0), bool)
+    common = np.zeros(len(at), np.int64)
+    open_ = np.ones(max(len(at) - 1, 0), bool) if head is None else head[order][1:] == head[order][:-1]
+    common[1:] = np.where(open_, skip, 0)
     for c in range(columns):
         differ = keys[c, 1:] ^ keys[c, :-1]
         # leading zero bytes of the difference, 8 if there is none
@@ -223,6 +228,20 @@ def suffix_order(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int)
     return order, common
 
 
+def _classes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of the ``length`` bytes at each place, size of its class); a class
+    that a hash made of different bytes is told apart by another hash."""
+    for seed in range(8):
+        _, first, which, count = np.unique(K.hash_spans(data, at, np.full(len(at), length), seed), return_index=True, return_inverse=True, return_counts=True)
+        lanes = np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))
+        like, same = at[first][which], True
+        for c in [*range(0, length - 7, 8), length - 8]:
+            same = same and bool((lanes[at + c] == lanes[like + c]).all())
+        if same:
+            break
+    return which, count[which]
+
+
 def maximal_repeats(common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(length, first, end) in suffix order of every node of the common-prefix
     interval tree of at least ``least`` bytes with diverse left extensions:
@@ -327,7 +346,11 @@ def _repeats_of(data, start, size, low, strings, length):
     which = np.repeat(np.arange(len(own)), windows)
     at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
     begin, left = start[own][which] + at, size[own][which] - at
-    order, common = suffix_order(data, begin, left, int(size[own].max()))
+    # a window that occurs once is in no repeat
+    head, count = _classes(data, begin, length)
+    twice = count > 1
+    which, at, begin, left, head = which[twice], at[twice], begin[twice], left[twice], head[twice]
+    order, common = suffix_order(data, begin, left, int(size[own].max()), head, length)
     before = np.where(at > 0, data[begin - 1].astype(np.int64), -1)[order]
     which, at, doc = which[order], at[order], smallest[which[order]]
     found_text, found_at, found_long, found_least = [np.arange(len(own))], [np.zeros(len(own), np.int64)], [size[own]], [smallest]
