@@ -191,6 +191,11 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]+)?{_DIGIT}(?:(?:[ \t]*[-,][ \t]*|[
 _SPELLED_PART = re.compile(rf"(?P<plus>plus[ \t]+)|(?P<digit>{_DIGIT})|(?P<dot>{_DOT})", re.I)
 
 
+def _lower(text: str) -> str:
+    """In lower case, with an i for the one letter that patterns take for it and lower() does not."""
+    return text.replace("\u0130", "i").lower()
+
+
 def spelled_digits(text: Mapped) -> Mapped:
     """Runs of four or more digit words become digits; what parts them goes,
     but for a dot."""
@@ -201,7 +206,7 @@ def spelled_digits(text: Mapped) -> Mapped:
             if part.start() > at:
                 edits.append((at, part.start(), ""))
             if part["digit"]:
-                words = part["digit"].lower().split()
+                words = _lower(part["digit"]).split()
                 times = {"double": 2, "triple": 3}.get(words[0], 1)
                 new = _DIGIT_OF[words[-1]] * times
             else:
@@ -216,7 +221,8 @@ _AT, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _BOXED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-]){_OPEN}(?:@|{_AT}){_CLOSE}(?=[A-Za-z0-9])", re.I)
 _BOXED_DOT = re.compile(rf"(?<=[A-Za-z0-9-]){_OPEN}(?:\.|{_DOTS}){_CLOSE}(?=[A-Za-z0-9])", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOTS})[ \t]+(?=[0-9])", re.I)
-_LOOSE = re.compile(rf"(?P<at>[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)[A-Za-z0-9-]{{1,63}}){{0,5}}(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
+_LOOSE_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)[A-Za-z0-9-]{{1,63}}){{0,5}}(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])"
+_LOOSE = re.compile(rf"(?P<at>[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)(?P<host>{_LOOSE_HOST})", re.I)
 _LOOSE_DOT = re.compile(rf"[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*", re.I)
 
 
@@ -235,20 +241,28 @@ def at_and_dot(text: Mapped) -> Mapped:
 TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
 _BOX = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_AT}|{_DOTS})[ \t]*[\])}}>]", re.I)
 _PARTED = tuple(f"{sep}{w}" for w in DOT_WORDS for sep in " \t")
+# One pattern for each at-word and for @, as a search for a fixed start is fast; for texts in lower case.
+_BEFORE_HOST = tuple(re.compile(rf"{w}[ \t]+{_LOOSE_HOST}") for w in AT_WORDS)
+_SIGN_HOST = re.compile(rf"@{_LOOSE_HOST}")
 
 
 def disguised(text: str) -> bool:
     """Whether any transducer can change something that matters: quick tests
-    that only ever err on the side of yes."""
+    that only ever err on the side of yes.  Each form that a pattern of the
+    transducers accepts has its test here."""
     if not text.isascii() and _odd().search(text):
         return True
     if "@" in text and (" @" in text or "@ " in text or "\t@" in text or "@\t" in text):
         return True
     if any(c in text for c in "[({<") and _BOX.search(text):
         return True
-    low = text.lower()
+    low = _lower(text)
     if any(w in low for w in _PARTED):
         return True
+    if any(p.search(low) for p in _BEFORE_HOST):
+        return True
+    if "@" in low and any(" " in m.group() or "\t" in m.group() for m in _SIGN_HOST.finditer(low)):
+        return True
     words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
     if _DIGIT_OF.keys().isdisjoint(words):
         return False

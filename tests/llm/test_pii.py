@@ -49,6 +49,33 @@ def test_clean_texts(text):
     assert M.find_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text,found", [("ask john.doe at example.com today", "john.doe at example.com"), ("ask jane@example . com today", "jane@example . com"),
+                                        ("ask jane@mail. example.com today", "jane@mail. example.com"), ("ask jane\tARROBA\tmail.example .org today", "jane\tARROBA\tmail.example .org")])
+def test_disguises_without_other_marks(text, found):
+    base, added = M.find_spans(text)
+    assert [(k, text[a:b]) for k, a, b in added] == [("email", found)]
+
+
+def generated():
+    ats = [f"{a}{w}{b}" for w in ("@", "[at]", "( AT )", "<@>") for a in ("", " ", "\t") for b in ("", " ")] + [f"{a}{w}{b}" for w in ("at", "At", "ät", "Ät", "arroba", "AROBASE") for a in " \t" for b in (" ", "\t ")]
+    dots = [f"{a}.{b}" for a in ("", " ", "\t") for b in ("", " ", "\t")] + [" dot ", " DOT ", "\tpunkt\t", " point ", " po\u0130nt ", "[dot]", " ( . ) "]
+    for at in ats:
+        for dot in dots:
+            for host in (f"example{dot}com", f"mail{dot}example.org", f"mail.example{dot}IO", f"example{dot}\u0130o", f"mail{dot}example{dot}nowhere"):
+                yield f"Ask jo.doe{at}{host} or call. "
+    for sep in (" ", "-", " - ", ", ", "\t", " . ", ".", " dot ", "[.]"):
+        for words in ("one nine two one six", "(five five five five)", "double one triple two six seven", "f\u0130ve six nine f\u0130ve", "plus ACHT neun zehn", "un deux trois quatre"):
+            yield f"is {sep.join(words.split(' '))}!"
+    yield from ("10 dot 0 dot 0 dot 1", "10\tpunkt 0 point 0 punto 1", "10[.]0{dot}0<.>1", "we meet at home. come on", "a@b.co. Com", "a@b.co")
+
+
+def test_gate_hides_nothing(monkeypatch):
+    texts = list(generated())
+    gated = [M.find_spans(t) for t in texts]
+    monkeypatch.setattr(M, "disguised", lambda text: True)
+    assert [t for t, got in zip(texts, gated, strict=True) if got != M.find_spans(t)] == []
+
+
 def test_documents_and_odd_rows(documents, odd, empty):
     for df in (documents, odd):
         for r in M.find(df).select("row.text", "spans").collect():
