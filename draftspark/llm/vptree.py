@@ -11,13 +11,17 @@ distance to that side's range exceeds its current k-th distance.  Factor one is
 exact; a larger factor prunes more.
 
 A vector that many rows share is stored once with the k + 1 smallest ids, the
-only ones that any answer can name.
+only ones that any answer can name.  The k best points of a shard are those by
+score, then by the smallest id that they can give to the query; scores that may
+be among them are summed anew in one order, as products of whole matrices differ
+in the last bits and would part ties.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, as query or candidate; only vectors of the same length
 meet; rows with the query's own id are not its candidates; fewer candidates than
-k are all returned; ties go to the smaller id; a null id takes no part.  An
-empty table gives an empty result.
+k are all returned; ties go to the smaller id; a null id takes no part; repeated
+rows count once; an id with several vectors of a length has, as query or
+candidate, the best score of any of them.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ SHARD = 8192             # vectors of a shard
 BLOCK = 8192             # queries of a block
 LEAF = 512               # vectors of a leaf
 FACTOR = 1.0             # relaxation of the pruning; 1 is exact
-_SLACK = 1e-6            # absolute, for rounding of distances
+_SLACK = 1e-6            # for rounding of distances, relative to the longest possible one if that is over 1
+_ROWS = 1024             # queries that meet a leaf at a time
+_NO_ID = np.iinfo(np.int64).max
 
 
 # --- the tree of one shard -----------------------------------------------------
@@ -74,17 +80,24 @@ def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tree:
-    def __init__(self, vectors: np.ndarray, links: np.ndarray, ranges: np.ndarray, top: float, factor: float):
-        """vectors: in tree order, not augmented; top: M squared."""
+    def __init__(self, vectors: np.ndarray, links: np.ndarray, ranges: np.ndarray, top: float, factor: float,
+                 ids: np.ndarray | None = None, next_ids: np.ndarray | None = None):
+        """vectors: in tree order, not augmented; top: M squared; ids and
+        next_ids: the smallest two ids of each point, by default its place."""
         self.x, self.links, self.ranges, self.top, self.factor = vectors, links, ranges, top, factor
-        self.last = np.sqrt(np.maximum(top - (vectors ** 2).sum(1), 0))
+        self.ids = np.arange(len(vectors)) if ids is None else ids
+        self.next_ids = self.ids if next_ids is None else next_ids
 
-    def search(self, queries: np.ndarray, k: int, not_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and places (-1: none) of the k best points of each query;
+    def search(self, queries: np.ndarray, k: int, not_place: np.ndarray, query_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and places (-1: none) of the k best points of each query, of
+        equal ones those with the smaller id but for the query's own;
         ``not_place`` is a point to leave out, or -1."""
-        self.q, self.k, self.skip = queries, k, not_place
+        self.q, self.k, self.skip, self.query_ids = queries, k, not_place, query_ids
         self.norm = (queries ** 2).sum(1)
+        self.slack = _SLACK * np.sqrt(np.maximum(self.norm + self.top, 1))
+        self.rounding = 4 * np.finfo(float).eps * self.x.shape[1] * np.sqrt(self.norm * self.top)  # of a score
         self.score = np.full((len(queries), k), -np.inf)
+        self.id = np.full((len(queries), k), _NO_ID)
         self.place = np.full((len(queries), k), -1, np.int64)
         self.visited = 0
         if len(self.links) and len(self.x):
@@ -101,7 +114,8 @@ class Tree:
             return
         vantage, inner, outer, a, b = self.links[node]
         if inner < 0:
-            self._leaf(int(a), int(b), rows)
+            for i in range(0, len(rows), _ROWS):
+                self._leaf(int(a), int(b), rows[i:i + _ROWS])
             return
         d = np.sqrt(np.maximum(self.norm[rows] + self.top - 2 * (self.q[rows] @ self.x[vantage]), 0))
         low_in, high_in, low_out, high_out = self.ranges[node]
@@ -110,33 +124,52 @@ class Tree:
         first = gap_in <= gap_out
         for side, own, gap in ((inner, first, gap_in), (outer, ~first, gap_out), (outer, first, gap_out), (inner, ~first, gap_in)):
             mine = rows[own]
-            self._visit(int(side), mine[self.factor * gap[own] <= self._reach(mine) + _SLACK])
+            self._visit(int(side), mine[self.factor * gap[own] <= self._reach(mine) + self.slack[mine]])
 
     def _leaf(self, a: int, b: int, rows: np.ndarray) -> None:
         self.visited += len(rows) * (b - a)
         score = self.q[rows] @ self.x[a:b].T
-        place = np.broadcast_to(np.arange(a, b), score.shape)
-        score = np.where(place == self.skip[rows, None], -np.inf, score)
-        better = np.flatnonzero(score.max(1) > self.score[rows, -1])
-        if not len(better):
+        out = np.flatnonzero((self.skip[rows] >= a) & (self.skip[rows] < b))
+        score[out, self.skip[rows[out]] - a] = -np.inf
+        near = np.flatnonzero(score.max(1) >= self.score[rows, -1] - self.rounding[rows])
+        rows, score = rows[near], score[near]
+        low = self.score[rows, -1]
+        if self.k < b - a:
+            low = np.maximum(low, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1])
+        row, place = np.nonzero((score >= (low - 2 * self.rounding[rows])[:, None]) & (score > -np.inf))
+        place += a
+        ids = self.ids[place]
+        if self.query_ids is not None:
+            own = ids == self.query_ids[rows[row]]
+            ids = np.where(own, self.next_ids[place], ids)
+            fit = ~own | (ids != _NO_ID)
+            row, place, ids = row[fit], place[fit], ids[fit]
+        exact, step = np.empty(len(row)), max(1, (1 << 20) // self.x.shape[1])
+        for i in range(0, len(row), step):
+            part = slice(i, i + step)
+            exact[part] = (self.q[rows[row[part]]] * self.x[place[part]]).sum(1)
+        last, last_id = self.score[rows[row], -1], self.id[rows[row], -1]
+        fit = (exact > last) | (exact == last) & (ids < last_id)
+        row, place, ids, exact = row[fit], place[fit], ids[fit], exact[fit]
+        if not len(row):
             return
-        rows = rows[better]
-        scores = np.concatenate([self.score[rows], score[better]], 1)
-        places = np.concatenate([self.place[rows], place[better]], 1)
-        best = np.argpartition(-scores, self.k - 1, axis=1)[:, : self.k]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1), 1)
-        self.score[rows] = np.take_along_axis(scores, best, 1)
-        self.place[rows] = np.take_along_axis(places, best, 1)
+        changed, row = np.unique(row, return_inverse=True)
+        rows, n = rows[changed], len(changed)
+        row = np.concatenate([np.repeat(np.arange(n), self.k), row])
+        exact, ids, place = (np.concatenate([old[rows].ravel(), new]) for old, new in ((self.score, exact), (self.id, ids), (self.place, place)))
+        by = np.lexsort((ids, -exact, row))
+        best = by[np.arange(len(by)) - np.searchsorted(row[by], np.arange(n))[row[by]] < self.k].reshape(n, self.k)
+        self.score[rows], self.id[rows], self.place[rows] = exact[best], ids[best], place[best]
 
 
 # --- the distributed index -------------------------------------------------------
 
 def usable(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(vec_id, v array<double>, dim, norm2) of the vectors that take part."""
+    """(vec_id, v array<double>, dim, norm2) of the vectors that take part, repeated rows once."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return v.where(fine).select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm2")).where("norm2 > 0")
+    return v.where(fine).distinct().select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm2")).where("norm2 > 0")
 
 
 def build_index(vectors: DataFrame, top: int = TOP) -> DataFrame:
@@ -169,16 +202,19 @@ def search_shard(block: pd.Series, index: pd.Series, k: int, factor: float) -> p
     x = np.frombuffer(index["vectors"]).reshape(-1, dim)
     ids, places = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["places"], np.int64)
     queries, query_ids = np.frombuffer(block["vectors"]).reshape(-1, dim), np.frombuffer(block["ids"], np.int64)
-    tree = Tree(x, np.frombuffer(index["links"], np.int64).reshape(-1, 5), np.frombuffer(index["ranges"]).reshape(-1, 4), float(index["high"]), factor)
-    # a point is left out for a query only if all its ids are the query's own
     by_place = np.argsort(places, kind="stable")
     heads = np.searchsorted(places[by_place], np.arange(len(x) + 1))
     lone = np.diff(heads) == 1
-    own_id = np.where(lone, ids[by_place[np.minimum(heads[:-1], len(ids) - 1)]], -1)
+    first, second = ids[by_place[heads[:-1]]], np.where(lone, _NO_ID, ids[by_place[np.minimum(heads[:-1] + 1, len(ids) - 1)]])
+    tree = Tree(x, np.frombuffer(index["links"], np.int64).reshape(-1, 5), np.frombuffer(index["ranges"]).reshape(-1, 4), float(index["high"]), factor, first, second)
+    # a point is left out for a query only if all its ids are the query's own
+    own_id = np.where(lone, first, _NO_ID)
     by_id = np.argsort(own_id, kind="stable")
     at = by_id[np.minimum(np.searchsorted(own_id[by_id], query_ids), len(own_id) - 1)]
     skip = np.where(lone[at] & (own_id[at] == query_ids), at, -1)
-    _, found = tree.search(queries, k, skip)
+    # points that share an id give fewer ids, and as many of them may be the query's own
+    shared = int(np.unique(ids, return_counts=True)[1].max())
+    _, found = tree.search(queries, min(k if shared == 1 else (k + 1) * shared, len(x)), skip, query_ids)
     row, col = np.nonzero(found >= 0)
     point = found[row, col]
     # each point stands for all ids kept for it
@@ -187,7 +223,7 @@ def search_shard(block: pd.Series, index: pd.Series, k: int, factor: float) -> p
     point = np.repeat(point, n)
     out = pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[by_place[pick]], "score": (queries[row] * x[point]).sum(1)})
     out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-    return out.groupby("query_id", sort=False).head(k)
+    return out.drop_duplicates(["query_id", "vec_id"]).groupby("query_id", sort=False).head(k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id",

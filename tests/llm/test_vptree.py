@@ -40,6 +40,35 @@ def test_ties_repeats_and_unusable_vectors(llm):
     assert M.nearest(one, one).count() == 0
 
 
+def brute_by_id(rows, ask, top=20):
+    vectors, out = {}, []
+    for i, v in rows:
+        vectors.setdefault(i, []).append(np.array(v, float))
+    for q in filter(ask, vectors):
+        near = sorted((-max(float((v * w).sum()) for v in vectors[q] for w in own), i) for i, own in vectors.items() if i != q)[:top]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(near, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("values", [[0.0, 1.0], [0.1, 0.2, 0.7]])
+def test_tied_different_vectors_and_repeated_rows(llm, monkeypatch, values):
+    monkeypatch.setattr(M, "SHARD", 400)
+    monkeypatch.setattr(M, "BLOCK", 20)
+    monkeypatch.setattr(M, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in zip(rng.permutation(900).tolist(), rng.choice(values, (900, 9)).tolist(), strict=True) if any(v)]
+    rows += [(1000 + i, np.eye(9)[i % 9].tolist()) for i in range(50)]
+    df = llm.createDataFrame(rows + [r for r in rows if r[0] % 3 == 0] * 2, "vec_id long, embedding array<double>")
+    same(M.nearest(df, df.where("vec_id % 20 = 0")).collect(), brute_by_id(rows, lambda q: q % 20 == 0))
+
+
+def test_ids_with_several_vectors(llm, monkeypatch):
+    monkeypatch.setattr(M, "LEAF", 16)
+    rows = [(i % 70, v) for i, v in enumerate(np.random.default_rng(6).integers(-2, 3, (300, 4)).astype(float).tolist()) if any(v)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(M.nearest(df, df.where("vec_id % 5 = 0")).collect(), brute_by_id(rows, lambda q: q % 5 == 0))
+
+
 @pytest.mark.parametrize("factor,least", [(1.0, 1.0), (1.5, 0.9)])
 def test_factor_trades_recall_for_visits(factor, least, monkeypatch):
     monkeypatch.setattr(M, "LEAF", 32)
