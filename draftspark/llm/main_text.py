@@ -2,12 +2,14 @@
 
 A page's markup is read once; block-level tags end a line, so that a line is one
 block of text.  Lines of elements that are page furniture (navigation, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) and lines
-in runs of pure links have no weight; if the page marks its article, lines
-outside of it have none either.  Weights are summed over windows of ``WINDOW``
-lines.  A surge is a window that rises over the threshold, the dive after it the
-next window that falls to nothing; weighted lines between the two are kept.
-Where no window surges, the heaviest stretch between two empty windows is kept.
+footers, sidebars, notices, adverts, forms, comments, scripts, styles) have no
+weight; if the page marks its article, lines outside of it have none either, and
+if not, lines in runs of pure links have none.  Weights are summed over windows of
+``WINDOW`` lines; windows that are not empty make stretches, from a surge to a
+dive.  A stretch in which a window rises over the threshold is kept whole; where
+none does, the heaviest is taken for one.  Short stretches are kept if they lie
+between such ones, next to one, or in the element that holds one.  On pages that
+mark their article the threshold is 0: all weighted lines are kept.
 
 Blocks have their character references decoded, white space made one space and
 trimmed; they are joined by an empty line.  Defined results: a null or empty
@@ -19,7 +21,9 @@ the article's start; an empty table gives an empty result.
 from __future__ import annotations
 
 import html
+import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,8 @@ from . import textkit as K
 
 WINDOW = 3          # lines of a block
 SURGE = 80          # characters of a window that starts the text, where no article is marked
-MENU = 3            # consecutive lines of pure links that make a menu
+MENU = 3            # consecutive lines of pure links that make a menu, where no article is marked
+DEEP = 64           # depth to which the elements that hold a line are told apart
 
 # Element names by what they do here.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -66,10 +71,10 @@ def _named(attributes: dict[str, str]) -> set[str]:
 
 
 class Line:
-    __slots__ = ("parts", "linked", "article", "furniture")
+    __slots__ = ("parts", "linked", "article", "furniture", "path")
 
-    def __init__(self, article: bool, furniture: bool):
-        self.parts, self.linked, self.article, self.furniture = [], 0, article, furniture
+    def __init__(self, article: bool, furniture: bool, path: tuple[int, ...]):
+        self.parts, self.linked, self.article, self.furniture, self.path = [], 0, article, furniture, path
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -78,23 +83,26 @@ class Line:
 def read_lines(page: str) -> tuple[list[Line], bool]:
     """(lines of a page in order, whether it marks its article)."""
     stack: list[tuple[str, str]] = []  # open elements: name, and why its text is furniture
+    path: tuple[int, ...] = ()  # their numbers, up to a depth of DEEP
+    opened = 0
     lines, marked, links = [], False, 0
     articles, reasons = 0, 0
-    line = Line(False, False)
+    line = Line(False, False, path)
     raw_until = None
     at, size = 0, len(page)
 
     def cut() -> None:
         nonlocal line
         lines.append(line)
-        line = Line(articles > 0, reasons > 0)
+        line = Line(articles > 0, reasons > 0, path)
 
     def close(depth: int) -> None:
-        nonlocal articles, reasons
+        nonlocal articles, reasons, path
         for name, why in stack[depth:]:
             articles -= name in ARTICLE and not why
             reasons -= bool(why)
         del stack[depth:]
+        path = path[:depth]
 
     while at < size:
         if raw_until:
@@ -135,10 +143,10 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
         attributes = _attributes(m["attrs"])
         names = _named(attributes) if attributes else set()
         why = ""
-        if names & COMMENT_WORDS or tag == "article" and articles and any(n == "article" and not w for n, w in stack):
-            why = "comments"
-        elif tag in ("html", "body"):
+        if tag in ("html", "body"):
             why = ""
+        elif names & COMMENT_WORDS or tag == "article" and articles and any(n == "article" and not w for n, w in stack):
+            why = "comments"
         elif tag == "header" and articles:
             why = ""
         elif tag in FURNITURE or names & FURNITURE_WORDS or names & HEADER_WORDS and not articles or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
@@ -156,6 +164,9 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
             stack.append((tag, why))
+            opened += 1
+            if len(stack) <= DEEP:
+                path += (opened,)
             articles += tag in ARTICLE and not why
             reasons += bool(why)
             if tag not in BLOCKS:  # an inline advert or notice: its text goes, the line goes on
@@ -171,6 +182,8 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
 def weights(lines: list[Line], texts: list[str], marked: bool) -> np.ndarray:
     """Characters of each line that may be main text."""
     out = np.array([len(t) if not line.furniture and (line.article or not marked) else 0 for line, t in zip(lines, texts, strict=True)], np.int64)
+    if marked:
+        return out
     pure = np.array([line.linked >= 0.8 * len(t.replace(" ", "")) for line, t in zip(lines, texts, strict=True)], bool)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], pure, [False]]).astype(np.int8)))
     for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -179,23 +192,32 @@ def weights(lines: list[Line], texts: list[str], marked: bool) -> np.ndarray:
     return out
 
 
-def between_surge_and_dive(weight: np.ndarray, threshold: int) -> np.ndarray:
-    """Which lines lie between a surge of the window sums and the next dive."""
+def between_surge_and_dive(weight: np.ndarray, threshold: int, paths: list[tuple[int, ...]]) -> np.ndarray:
+    """Which lines have weight and lie in a stretch with a surge of the window
+    sums, or in a short one beside it."""
     n = len(weight)
     total = np.concatenate([[0], np.cumsum(weight)])
     window = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:n]
     full = window > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], full, [False]]).astype(np.int8)))
-    keep, stretches = np.zeros(n, bool), [(a, b, total[b] - total[a]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    chosen = []
-    for a, b, _ in stretches:
-        high = np.flatnonzero(window[a:b] > threshold)
-        if len(high):
-            chosen.append((a + int(high[0]), b))
-    if not chosen and stretches:
-        chosen = [max(stretches, key=lambda s: (s[2], -s[0]))[:2]]
-    for a, b in chosen:
-        keep[a:b] = True
+    stretches = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    surging = [i for i, (a, b) in enumerate(stretches) if window[a:b].max() > threshold]
+    if not surging and stretches:
+        surging = [max(range(len(stretches)), key=lambda i: (total[stretches[i][1]] - total[stretches[i][0]], -i))]
+    if len(surging) == len(stretches):
+        return weight > 0
+    held = [[paths[j] for j in range(a, b) if weight[j]] for a, b in stretches]
+    inside = Counter(p[:d] for own in held for p in own for d in range(len(p) + 1))
+    homes = set()
+    for i in surging:
+        home = tuple(os.path.commonprefix(held[i]))
+        if len(held[i]) == 1 and inside[home] == 1:
+            home = home[:-1]  # an element for this line only
+        homes.add(home)
+    keep = np.zeros(n, bool)
+    for i, (a, b) in enumerate(stretches):
+        if surging[0] - 1 <= i <= surging[-1] + 1 or any(p[:d] in homes for p in held[i] for d in range(len(p) + 1)):
+            keep[a:b] = True
     return keep & (weight > 0)
 
 
@@ -207,7 +229,7 @@ def main_text(page: str) -> str:
     if marked and not weight.any():
         weight = weights(lines, texts, False)
         marked = False
-    keep = between_surge_and_dive(weight, 0 if marked else SURGE)
+    keep = between_surge_and_dive(weight, 0 if marked else SURGE, [line.path for line in lines])
     return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 

@@ -35,6 +35,26 @@ def test_cases(page, text):
     assert M.main_text(page or "") == text
 
 
+LONG = "A long paragraph of the text that has more than eighty characters, so that any window with it surges."
+AD = "<div class='ad'><p>Buy<p>this<p>now</div>"
+WHOLE = [
+    (f"<body><h1>The title</h1><p>By A. Writer</p><p>3 May 2020</p><p>{LONG}</p></body>", f"The title\n\nBy A. Writer\n\n3 May 2020\n\n{LONG}"),
+    (f"<body><div><p>{LONG}</p>{AD}<p>Short one.</p><p>Short two.</p>{AD}<p>Short three.</p></div></body>", f"{LONG}\n\nShort one.\n\nShort two.\n\nShort three."),
+    (f"<body><p>Before.</p>{AD}<p>{LONG}</p>{AD}<p>Between.</p>{AD}<p>{LONG}</p></body>", f"Before.\n\n{LONG}\n\nBetween.\n\n{LONG}"),
+    (f"<body><div>{LONG}</div>{AD}<div>One.</div>{AD}<div>Two.</div></body>", f"{LONG}\n\nOne.\n\nTwo."),
+    (f"<body><div><p>Few words.</p>{AD}<p>Some more words.</p></div></body>", "Few words.\n\nSome more words."),
+    ("<article><p>Text.</p><ul><li><a href=a>Source A</a><li><a href=b>Source B</a><li><a href=c>Source C</a></ul></article>", "Text.\n\nSource A\n\nSource B\n\nSource C"),
+    (f"<html class='has-comments'><body class='single comments-open'><p>{LONG}</p><div class='comments'><p>Nice!</p></div></body>", LONG),
+    (f"<body><div><a href=a>A</a></div><div><a href=b>B</a></div><div><a href=c>C</a></div><p>{LONG}</p></body>", LONG),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{AD}<p>Beside.</p>{AD}<p>Far away.</p></body>", f"{LONG}\n\n{LONG}\n\nBeside."),
+]
+
+
+@pytest.mark.parametrize("page,text", WHOLE)
+def test_whole_texts(page, text):
+    assert M.main_text(page) == text
+
+
 def test_odd_rows(llm):
     rows = [(1, "u", p, "t", "r") for p, _ in CASES] + [(2, None, "<p>" + "long text " * 50_000 + "</p>", None, None), (None, None, "<p>" * 20_000, None, None)]
     df = llm.createDataFrame(rows, "page_id long, url string, html string, text string, row string")
