@@ -6,7 +6,7 @@ Spark ML pipelines whose feature stages are the engine's encoders, so each
 CV fold refits them on its own training rows.
 
 Grids: a task searches its grid of ``grids.REFERENCE_GRIDS`` unless it is
-given another (tests and registered queries pass ``grids.SMALL_GRID``).
+given another (tests pass smaller ones; registered queries do not).
 """
 
 from __future__ import annotations

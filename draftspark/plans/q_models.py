@@ -1,10 +1,11 @@
 """Model training, CV, registry and scoring queries.
 
 Tree models have no SQL oracle: these keys are rows-only checks.  They run
-the reference's training mechanics on the whole fixture with the small grid
-(``grids.SMALL_GRID``: two points, shallow trees); labels are noise, so
-model quality is not a test.  Trained results are memoized per (session,
-sf, task) so the scoring query reuses the models the training queries fit.
+the reference's training on the whole fixture, with the reference grids
+(``grids.REFERENCE_GRIDS``) or fixed iterations and depths that the training
+functions have as defaults; labels are noise, so model quality is not a test.
+Trained results are memoized per (session, sf, task) so the scoring query
+reuses the models the training queries fit.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import train as T
-from ..models.grids import SMALL_GRID
 from ..models.registry import load_registry, registry_check, registry_from_results, save_registry
 from ..models.score import result_json, score_all
 from ..operators import matches as M
@@ -42,40 +42,40 @@ def _union(frames):
 
 
 def winner(spark, sf):
-    return _memo(spark, sf, "winner", lambda: T.train_winner(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
+    return _memo(spark, sf, "winner", lambda: T.train_winner(M.matches(match_rows(spark, sf))))
 
 
 def kill_thresholds(spark, sf):
     return _memo(spark, sf, "kill_thresholds",
-                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
+                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf)), parallelism=8))
 
 
 def ultimate(spark, sf):
-    return _memo(spark, sf, "ultimate", lambda: T.train_ultimate(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
+    return _memo(spark, sf, "ultimate", lambda: T.train_ultimate(M.matches(match_rows(spark, sf))))
 
 
 def time_thresholds(spark, sf):
     return _memo(spark, sf, "time_thresholds",
-                 lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
+                 lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf)), parallelism=8))
 
 
 def turret_thresholds(spark, sf):
     return _memo(spark, sf, "turret_thresholds",
-                 lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf)), grid=SMALL_GRID, parallelism=8))
+                 lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf)), parallelism=8))
 
 
 def total_kills(spark, sf):
-    return _memo(spark, sf, "total_kills", lambda: T.train_total_kills(M.matches(match_rows(spark, sf)), grid=SMALL_GRID))
+    return _memo(spark, sf, "total_kills", lambda: T.train_total_kills(M.matches(match_rows(spark, sf))))
 
 
 def length(spark, sf):
     return _memo(spark, sf, "length",
-                 lambda: T.train_length(M.matches_length(match_rows(spark, sf)), max_iter=20, depth=5))
+                 lambda: T.train_length(M.matches_length(match_rows(spark, sf))))
 
 
 def towers(spark, sf):
     return _memo(spark, sf, "towers",
-                 lambda: T.train_towers(M.matches_towers(match_rows(spark, sf)), max_iter=20, depth=4))
+                 lambda: T.train_towers(M.matches_towers(match_rows(spark, sf))))
 
 
 @register("winner_model")
@@ -125,7 +125,7 @@ def q_length_model(spark, sf):
 def q_kill_threshold_split(spark, sf):
     """M8: per kill threshold, test accuracy on the latest 20%."""
     res = _memo(spark, sf, "kill_split",
-                lambda: T.train_kill_split(M.matches_team_kills(match_rows(spark, sf)), max_iter=10, depth=4))
+                lambda: T.train_kill_split(M.matches_team_kills(match_rows(spark, sf))))
     return _union([r.scores for r in res])
 
 
