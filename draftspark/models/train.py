@@ -11,6 +11,7 @@ given another (tests pass smaller ones; registered queries do not).
 
 from __future__ import annotations
 
+import itertools
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from ..operators.ordering import (global_ordinal, hash_split, recency_weight, st
 from ..session import in_session
 from .cv import cv_scores_frame, time_series_search
 from .ensemble import SoftVoteClassifier
-from .grids import REFERENCE_GRIDS, param_maps
+from .grids import REFERENCE_GRIDS, member_point, param_maps
 from .stages import hashed_features, ultimate_features, winner_features
 
 
@@ -197,20 +199,77 @@ def ensemble_members(small: bool = False):
             GBTClassifier(labelCol="result", maxIter=it, maxDepth=5, stepSize=0.15, seed=42)]
 
 
-def ensemble_pipeline(small: bool = False) -> Pipeline:
-    feats = hashed_features(20, TeamStrengthEncoder(smoothing=10.0, labelCol="result"),
-                            extra=("blue_side", "red_side"))
-    return Pipeline(stages=[*feats, SoftVoteClassifier(ensemble_members(small))])
+MEMBERS = ("hgb", "rf", "svm", "xgb")  # names of the members in the ensemble grid, in order
+
+
+def ensemble_features() -> list:
+    return hashed_features(20, TeamStrengthEncoder(smoothing=10.0, labelCol="result"),
+                           extra=("blue_side", "red_side"))
+
+
+def ensemble_pipeline(small: bool = False, point: dict | None = None, rows: int = 0) -> Pipeline:
+    """The ensemble, with the parameters of a grid point if one is given."""
+    members = ensemble_members(small)
+    if point is not None:
+        members = [_with(m, member_point(name, point, rows)) for name, m in zip(MEMBERS, members, strict=True)]
+    return Pipeline(stages=[*ensemble_features(), SoftVoteClassifier(members)])
+
+
+def _with(estimator, params: dict):
+    return estimator.copy({getattr(estimator, k): v for k, v in params.items()})
+
+
+def search_ensemble(df: DataFrame, grid: dict, folds: int = 2, small: bool = False, parallelism: int = 4) -> tuple[dict, list[float]]:
+    """(best point, first on ties; mean accuracy of every point) of the
+    ensemble grid over stratified folds of ``df``.  Members are fitted apart
+    from one another, so each setting of a member is fitted once per fold and
+    the points are the averages of what their members say."""
+    df = stratified_folds(df, "gameid", "result", folds, 42, "inner_fold").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.count() * (folds - 1) // folds
+    points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    parts = [[(name, tuple(sorted(member_point(name, p, rows).items()))) for name in MEMBERS] for p in points]
+    settings = list(dict.fromkeys(s for part in parts for s in part))
+    members = dict(zip(MEMBERS, ensemble_members(small), strict=True))
+    mean = [0.0] * len(points)
+    for k in range(folds):
+        train, test = df.where(F.col("inner_fold") != k), df.where(F.col("inner_fold") == k)
+        feats = Pipeline(stages=ensemble_features()).fit(train)
+        tr = feats.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def fit(i):
+            name, params = settings[i]
+            e = _with(members[name], dict(params))
+            return e.setProbabilityCol(f"prob_{i}").setRawPredictionCol(f"raw_{i}").setPredictionCol(f"pred_{i}").fit(tr)
+
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            models = list(pool.map(in_session(df.sparkSession, fit), range(len(settings))))
+        out = feats.transform(test)
+        for m in models:
+            out = m.transform(out)
+        out = out.select("result", *[vector_to_array(F.col(f"prob_{i}"))[1].alias(f"p_{i}") for i in range(len(settings))])
+        right = []
+        for part in parts:
+            p = [F.col(f"p_{settings.index(s)}") for s in part]
+            right.append(F.avg((((sum(p[1:], p[0]) / F.lit(float(len(p)))) > 0.5).cast("double") == F.col("result")).cast("double")))
+        scores = out.agg(*[r.alias(f"a_{i}") for i, r in enumerate(right)]).first()
+        mean = [m + (scores[i] or 0.0) / folds for i, m in enumerate(mean)]
+        tr.unpersist()
+    df.unpersist()
+    return points[max(range(len(points)), key=lambda i: (mean[i], -i))], mean
 
 
-def oof_predictions(matches_flags: DataFrame, outer: int = 3, small: bool = False) -> DataFrame:
-    """Out-of-fold probabilities over stratified outer folds (W6): each
-    fold is scored by a pipeline fitted on the other folds."""
+def oof_predictions(matches_flags: DataFrame, outer: int = 3, small: bool = False, grid=REFERENCE_GRIDS["ensemble"],
+                    inner: int = 2, parallelism: int = 4) -> DataFrame:
+    """Out-of-fold probabilities of nested cross-validation over
+    stratified folds (W6): for each outer fold the grid is searched on inner
+    folds of the other ones, and the best point, fitted on these, scores it."""
     df = stratified_folds(matches_flags, "gameid", "result", outer, 42, "outer_fold")
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for k in range(outer):
-        model = ensemble_pipeline(small).fit(df.where(F.col("outer_fold") != k))
+        train = df.where(F.col("outer_fold") != k)
+        point, _ = search_ensemble(train, grid, inner, small, parallelism)
+        model = ensemble_pipeline(small, point, train.count()).fit(train)
         parts.append(model.transform(df.where(F.col("outer_fold") == k))
                      .select("gameid", "outer_fold", "result", "p_blue", "prediction"))
     out = parts[0]

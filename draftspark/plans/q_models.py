@@ -138,8 +138,8 @@ def q_towers_model(spark, sf):
 @register("oof_predictions")
 def q_oof_predictions(spark, sf):
     """M10 + M11: soft-vote ensemble, out-of-fold probabilities over 3
-    stratified outer folds."""
-    return T.oof_predictions(M.matches_flags(match_rows(spark, sf)), outer=3, small=True)
+    stratified outer folds, its grid searched on 2 inner folds of each."""
+    return T.oof_predictions(M.matches_flags(match_rows(spark, sf)), outer=3)
 
 
 @register("grid_best")
