@@ -173,11 +173,16 @@ def q_registry_check(spark, sf):
     return registry_check(reg.manifest)
 
 
+def scorer(spark, sf):
+    """(registry of all trained models, champions seen in training)."""
+    reg = registry_from_results(spark, _results(spark, sf))
+    m = M.matches(match_rows(spark, sf))
+    return reg, role_stats_long(m).select("champion").checkpoint(eager=True)
+
+
 def _scored(spark, sf):
     def run():
-        reg = registry_from_results(spark, _results(spark, sf))
-        m = M.matches(match_rows(spark, sf))
-        seen = role_stats_long(m).select("champion").checkpoint(eager=True)
+        reg, seen = scorer(spark, sf)
         return score_all(drafts(match_rows(spark, sf)), reg, seen)
     return _memo(spark, sf, "scored", run)
 
