@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import circulant
 from .decontam import contamination
+from .filter_audit import audit, failures
+from .fim import fill_in_middle, restore
 from .langid import identify
 from .line_dedup import dedup_lines
 from .repeats import remove_repeats
@@ -135,3 +138,80 @@ def op5(spark, sf):
     """One row per document: what it loses and to which documents' classes."""
     out = dedup_paragraphs(table(spark, sf, "documents"))
     return out.select("doc_id", "n_paragraphs", "n_removed", F.col("classes").alias("duplicate_of"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS us,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@register("op11_fill_in_middle", OP11_SQL)
+def op11(spark, sf):
+    out = restore(fill_in_middle(table(spark, sf, "documents").select("doc_id", "text")))
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS shingle FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b WHERE 100 * p.both >= 85 * (x.n + y.n - p.both)),
+r(rid, node) AS (SELECT rid, rid FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.node),
+c AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.node GROUP BY r.rid)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(d.doc_id = c.component_id, c.component_id IS NULL) AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+@register("op12_minhash_near_dedup", OP12_SQL)
+def op12(spark, sf):
+    out = circulant.near_duplicates(table(spark, sf, "documents"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+f AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+        CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > low THEN 16 ELSE 0 END AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+k AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+b(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b2.f || c.f || d.f || e.f AS filter_order, [a.bit, b2.bit, c.bit, d.bit, e.bit] AS bits
+      FROM b a, b b2, b c, b d, b e WHERE a.bit + b2.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b2.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i-1]), 0) AS INT) AS before FROM o, range(1, 6) r(i)),
+x AS (SELECT k.part, filter_order, step, bit,
+        coalesce(sum(n) FILTER (WHERE fails & (before | bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (WHERE fails & bit <> 0 AND fails & before = 0), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE fails & bit <> 0 AND fails & before <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (WHERE fails = bit), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (WHERE fails & bit <> 0 AND fails & before = 0 AND good = 1), 0) AS good_lost,
+        coalesce(sum(n) FILTER (WHERE fails & bit <> 0 AND fails & before = 0 AND toxic = 1), 0) AS toxic_lost
+      FROM k, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM x
+"""
+
+
+@register("op13_filter_audit", OP13_SQL)
+def op13(spark, sf):
+    return audit(failures(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "labels")))
