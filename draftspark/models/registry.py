@@ -9,9 +9,10 @@ failure instead of stopping (the reference skips models that fail to load).
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.decisions import parse_threshold
 from .train import TrainResult
 
 MANIFEST_SCHEMA = "task string, target string, threshold double, path string, status string"
@@ -32,11 +33,29 @@ def save_registry(spark: SparkSession, results: list[TrainResult], base: str) ->
             except Exception as e:  # noqa: BLE001 - recorded in the manifest
                 status = f"save_failed: {type(e).__name__}: {e}"
         rows.append((r.task, r.target, r.threshold, path, status))
+    return write_manifest(spark, rows, base)
+
+
+def write_manifest(spark: SparkSession, rows: list[tuple], base: str) -> DataFrame:
+    """The manifest of a base folder: one row a model (``MANIFEST_SCHEMA``)."""
     manifest = spark.createDataFrame(rows, MANIFEST_SCHEMA)
     manifest.write.mode("overwrite").parquet(f"{base.rstrip('/')}/_manifest")
     return manifest
 
 
+def read_manifest(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base.rstrip('/')}/_manifest")
+
+
+def saved_thresholds(manifest: DataFrame) -> DataFrame:
+    """The threshold of each saved model, read from its path, and its
+    place among those of its task by that number.  A manifest has one row a
+    model, so a task's window is a few rows."""
+    found = manifest.select("task", "path", parse_threshold("path").alias("threshold")).where("threshold IS NOT NULL")
+    order = Window.partitionBy("task").orderBy("threshold", "path")
+    return found.withColumn("position", F.row_number().over(order))
+
+
 class Registry:
     """Loaded models keyed by (task, target) -> (model, threshold), plus the
     manifest with each model's load status."""
@@ -64,7 +83,7 @@ class Registry:
 
 
 def load_registry(spark: SparkSession, base: str) -> Registry:
-    manifest = spark.read.parquet(f"{base.rstrip('/')}/_manifest")
+    manifest = read_manifest(spark, base)
     models, status = {}, []
     for r in manifest.collect():  # one row per model: a few dozen rows
         st = r["status"]

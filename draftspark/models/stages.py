@@ -72,18 +72,23 @@ def ultimate_features(id_col: str = "gameid", encoder_label: str = "result"):
                             outputCol="features")]
 
 
-def hashed_features(n: int, team_stage, id_col: str = "gameid", extra=(), scale: bool = False):
-    """blue||red hashed picks (V5) + a team encoder (+ side flags),
-    optionally standardized (V13)."""
+def encoded_features(team_stage, extra=(), scale: bool = False):
+    """A team encoder beside hashed picks (column ``hashed``), assembled (+ side
+    flags), optionally standardized (V13)."""
     team_cols = ["blue_team_enc", "red_team_enc"] if not isinstance(team_stage, TeamStrengthEncoder) \
         else ["blue_team_strength", "red_team_strength"]
-    stages = [PickHasher(mode="concat", numFeatures=n, outputCol="hashed", idCol=id_col), team_stage,
-              VectorAssembler(inputCols=["hashed", *team_cols, *extra],
-                              outputCol="raw_features" if scale else "features")]
+    stages = [team_stage, VectorAssembler(inputCols=["hashed", *team_cols, *extra],
+                                          outputCol="raw_features" if scale else "features")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     return stages
 
 
-__all__ = ["RoleAssigner", "RoleAssignerModel", "winner_features", "ultimate_features", "hashed_features",
+def hashed_features(n: int, team_stage, id_col: str = "gameid", extra=(), scale: bool = False):
+    """blue||red hashed picks (V5) + a team encoder (+ side flags),
+    optionally standardized (V13)."""
+    return [PickHasher(mode="concat", numFeatures=n, outputCol="hashed", idCol=id_col), *encoded_features(team_stage, extra, scale)]
+
+
+__all__ = ["RoleAssigner", "RoleAssignerModel", "winner_features", "ultimate_features", "hashed_features", "encoded_features",
            "TeamTargetEncoder"]

@@ -2,8 +2,8 @@
 
 Every task starts from a reconstructed match table, adds the chronological
 ordinal and recency weights where the reference weights samples, and fits
-Spark ML pipelines whose feature stages are the engine's encoders, so each
-CV fold refits them on its own training rows.
+pipelines whose feature stages are the engine's encoders, so each CV fold refits
+them on its own training rows; the learners are those of ``fitted``.
 
 Grids: a task searches its grid of ``grids.REFERENCE_GRIDS`` unless it is
 given another (tests pass smaller ones; registered queries do not).
@@ -11,16 +11,10 @@ given another (tests pass smaller ones; registered queries do not).
 
 from __future__ import annotations
 
-import itertools
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +24,15 @@ from ..operators.evaluate import regression_metrics
 from ..operators.labels import kill_labels, minute_labels, over_labels_wide, turret_labels
 from ..operators.ordering import (global_ordinal, hash_split, recency_weight, stratified_folds, tail_split,
                                   with_ordinal)
-from ..session import in_session
-from .cv import cv_scores_frame, time_series_search
-from .ensemble import SoftVoteClassifier
-from .grids import REFERENCE_GRIDS, member_point, param_maps
-from .stages import hashed_features, ultimate_features, winner_features
+from ..operators.vectors import PickHasher
+from ..session import in_session, written
+from .cv import cv_scores_frame, first_best, time_series_search
+from .ensemble import MEMBERS, average, settings_of
+from .fitted import TEST, TRAIN, VALID, Task, fit_many, models_of, training_rows
+from .grids import REFERENCE_GRIDS, points
+from .kernel import Machine
+from .stages import encoded_features, hashed_features, ultimate_features, winner_features
+from .trees import Growth
 
 
 @dataclass
@@ -60,31 +58,22 @@ def prepare(matches: DataFrame, start: float, stop: float) -> tuple[DataFrame, i
     return recency_weight(m, n, start, stop), n
 
 
-def _search(task, df, features, learners: dict, evaluators: dict, grid, folds, thresholds=None,
-            parallelism=4) -> list[TrainResult]:
+def _search(task, df, features, targets: dict[str, str], grid, folds, thresholds=None) -> list[TrainResult]:
     """Run the shared-feature time-series search and wrap the results."""
-    maps = {t: param_maps(lr, grid) for t, lr in learners.items()}
-    res = time_series_search(df, features, learners, evaluators, maps, folds, parallelism=parallelism)
+    res = time_series_search(df, features, targets, grid, folds)
     out = []
     for t, (model, avg, fm, best) in res.items():
-        scores = cv_scores_frame(df.sparkSession, f"{task}:{t}", maps[t], avg=avg, fold_metrics=fm, best=best)
+        scores = cv_scores_frame(df.sparkSession, f"{task}:{t}", points(grid), avg, fm, best)
         out.append(TrainResult(task, t, (thresholds or {}).get(t), model, scores))
     return out
 
 
-def _cv_task(task, target, threshold, df, features, learner, evaluator, grid, folds):
-    return _search(task, df, features, {target: learner}, {target: evaluator}, grid, folds,
-                   {target: threshold})[0]
-
-
 def train_winner(matches: DataFrame, grid=REFERENCE_GRIDS["winner"], folds: int = 3, min_rows: int = 10) -> TrainResult:
     """M1: role-aware one-hot + team strength + side; weight 0.1 -> 1; 3 folds."""
     if not enough_rows(matches, min_rows):
         return TrainResult("match_winner", "result", None, None, None, f"need {min_rows} matches")
     df, _ = prepare(matches, 0.1, 1.0)
-    gbt = GBTClassifier(labelCol="result", weightCol="weight", seed=42)
-    ev = MulticlassClassificationEvaluator(labelCol="result", metricName="accuracy")
-    return _cv_task("match_winner", "result", None, df, winner_features(), gbt, ev, grid, folds)
+    return _search("match_winner", df, winner_features(), {"result": "logistic"}, grid, folds)[0]
 
 
 def train_ultimate(matches: DataFrame, grid=REFERENCE_GRIDS["ultimate"], folds: int = 5, min_rows: int = 50) -> TrainResult:
@@ -92,14 +81,11 @@ def train_ultimate(matches: DataFrame, grid=REFERENCE_GRIDS["ultimate"], folds:
     if not enough_rows(matches, min_rows):
         return TrainResult("ultimate_winner", "result", None, None, None, f"need {min_rows} matches")
     df, _ = prepare(matches, 0.5, 1.5)
-    gbt = GBTClassifier(labelCol="result", weightCol="weight", seed=42)
-    ev = MulticlassClassificationEvaluator(labelCol="result", metricName="accuracy")
-    return _cv_task("ultimate_winner", "result", None, df, ultimate_features(), gbt, ev, grid, folds)
+    return _search("ultimate_winner", df, ultimate_features(), {"result": "logistic"}, grid, folds)[0]
 
 
 def train_thresholds(task: str, matches: DataFrame, measure: str, spec, weights=(0.1, 1.0), grid=REFERENCE_GRIDS["kills"],
-                     folds: int = 3, encoder_label: str = "blue_wins", parallelism: int = 2,
-                     min_rows: int = 10) -> list[TrainResult]:
+                     folds: int = 3, encoder_label: str = "blue_wins", min_rows: int = 10) -> list[TrainResult]:
     """M3/M4/M5 via M12: one classifier per threshold over shared features.
     ``encoder_label`` is the team encoder's target (Q4: the win label by
     default, or the threshold label itself with ``encoder_label=None``)."""
@@ -107,16 +93,12 @@ def train_thresholds(task: str, matches: DataFrame, measure: str, spec, weights=
         return [TrainResult(task, n, t, None, None, f"need {min_rows} matches") for n, t in spec]
     df, _ = prepare(matches, *weights)
     df = over_labels_wide(df, measure, spec)
-    learners = {n: GBTClassifier(labelCol=n, weightCol="weight", seed=42) for n, _ in spec}
-    evals = {n: MulticlassClassificationEvaluator(labelCol=n, metricName="accuracy") for n, _ in spec}
     thresholds = dict(spec)
     if encoder_label:  # one feature pipeline serves every threshold
-        return _search(task, df, winner_features(encoder_label=encoder_label), learners, evals, grid, folds,
-                       thresholds, parallelism)
+        return _search(task, df, winner_features(encoder_label=encoder_label), {n: "logistic" for n, _ in spec}, grid, folds, thresholds)
     out = []
     for n, _ in spec:  # encoder fitted on each threshold label: features differ per target
-        out += _search(task, df, winner_features(encoder_label=n), {n: learners[n]}, {n: evals[n]}, grid,
-                       folds, thresholds, parallelism)
+        out += _search(task, df, winner_features(encoder_label=n), {n: "logistic"}, grid, folds, thresholds)
     return out
 
 
@@ -138,22 +120,20 @@ def train_total_kills(matches: DataFrame, grid=REFERENCE_GRIDS["total_kills"], f
     """M6: regressor scored by MAE (lower is better); the team encoder keeps
     the win label (quirk Q3 fixed)."""
     df, _ = prepare(matches, 0.1, 1.0)
-    gbt = GBTRegressor(labelCol="total_kills", weightCol="weight", seed=42)
-    ev = RegressionEvaluator(labelCol="total_kills", metricName="mae")
-    return _cv_task("total_kills", "total_kills", None, df, winner_features(), gbt, ev, grid, folds)
+    return _search("total_kills", df, winner_features(), {"total_kills": "squared"}, grid, folds)[0]
 
 
 def train_length(matches_length: DataFrame, max_iter: int = 2000, depth: int = 10,
                  step: float = 0.05) -> TrainResult:
-    """M7: minutes regressor, random 80/20 split (W5), early stopping on a
-    further 10% of the training part (``validationIndicatorCol``)."""
+    """M7: minutes regressor, random 80/20 split (W5), ended by ten rounds without
+    a better loss on a further 10% of the training part."""
     df = hash_split(matches_length.withColumn("minutes", F.col("gamelength") / 60.0), "gameid", 42, 80)
     val = token_hash(F.concat(F.col("gameid"), F.lit("#val"))) % 10 == 0
-    df = df.withColumn("is_val", (F.col("split") == "train") & val)
-    feats = hashed_features(300, TeamStrengthEncoder(smoothing=20.0, labelCol="minutes", invertRed=False))
-    gbt = GBTRegressor(labelCol="minutes", maxIter=max_iter, stepSize=step, maxDepth=depth,
-                       validationIndicatorCol="is_val", seed=42)
-    model = Pipeline(stages=[*feats, gbt]).fit(df.where("split = 'train'"))
+    df = written(df.withColumn("is_val", (F.col("split") == "train") & val), "length-rows")
+    feats = Pipeline(stages=hashed_features(300, TeamStrengthEncoder(smoothing=20.0, labelCol="minutes", invertRed=False))).fit(df.where("split = 'train'"))
+    part = F.when(F.col("is_val"), VALID).when(F.col("split") == "train", TRAIN).otherwise(TEST)
+    how = Growth(rounds=max_iter, rate=step, leaves=31, depth=depth, loss="squared", patience=10)
+    model = _one(feats, training_rows(feats.transform(df), 0, "gameid", ["minutes"], part), how)
     pred = model.transform(df)
     metrics = regression_metrics(pred, "minutes", "prediction", ("split",))
     resid = pred.where("split = 'test'").agg(F.stddev_pop(F.col("minutes") - F.col("prediction")).alias("s")).first()
@@ -161,45 +141,45 @@ def train_length(matches_length: DataFrame, max_iter: int = 2000, depth: int = 1
                        extra={"residual_std": float(resid["s"] or 0.0)})
 
 
+def _one(feats: PipelineModel, rows: DataFrame, how) -> PipelineModel:
+    task = [Task(0, 0, how, keep=True)]
+    return PipelineModel(stages=[*feats.stages, *models_of(fit_many(written(rows, "training"), task), task)])
+
+
 def train_kill_split(matches_team_kills: DataFrame, max_iter: int = 300, depth: int = 6,
-                     parallelism: int = 2) -> list[TrainResult]:
+                     parallelism: int = 4) -> list[TrainResult]:
     """M8: per kill threshold, boosted trees (subsample .8, column sample .8)
     on an 80/20 chronological split (test = ceil(0.2 n) latest by game id),
     team encoder = per-side mean of the threshold label (V10)."""
     m = global_ordinal(matches_team_kills, [F.col("gameid").cast("bigint"), F.col("gameid")])
     n = m.count()
-    df = over_labels_wide(tail_split(m, n, 0.2), "total_kills", kill_labels())
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(nt):
-        name, t = nt
-        feats = hashed_features(400, TeamTargetEncoder(labelCol=name))
-        gbt = GBTClassifier(labelCol=name, maxIter=max_iter, maxDepth=depth, stepSize=0.05,
-                            subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-        model = Pipeline(stages=[*feats, gbt]).fit(df.where("split = 'train'"))
-        acc = MulticlassClassificationEvaluator(labelCol=name, metricName="accuracy").evaluate(
-            model.transform(df.where("split = 'test'")))
-        scores = df.sparkSession.createDataFrame([(name, float(t), float(acc))],
-                                                 "label string, threshold double, test_accuracy double")
-        return TrainResult("kill_threshold_split", name, t, model, scores)
+    spec = kill_labels()
+    hasher = PickHasher(mode="concat", numFeatures=400, outputCol="hashed")
+    df = written(hasher.transform(over_labels_wide(tail_split(m, n, 0.2), "total_kills", spec)), "split-rows")
+
+    def one(i):
+        feats = Pipeline(stages=encoded_features(TeamTargetEncoder(labelCol=spec[i][0]))).fit(df.where("split = 'train'"))
+        rows = training_rows(feats.transform(df), i, "gameid", [spec[i][0]], F.when(F.col("split") == "train", TRAIN).otherwise(TEST))
+        return feats, written(rows, "split-fold")
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        out = list(pool.map(in_session(df.sparkSession, one), kill_labels()))
-    df.unpersist()
+        folds = list(pool.map(in_session(df.sparkSession, one), range(len(spec))))
+    how = Growth(rounds=max_iter, rate=0.05, leaves=0, depth=depth, min_rows=1, min_hess=1.0, l2=1.0, row_share=0.8, column_share=0.8)
+    tasks = [Task(i, 0, how, (max_iter,), keep=True) for i in range(len(spec))]
+    found = fit_many(_union([rows for _, rows in folds]), tasks)
+    accuracy = {r["task"]: r["measure"] / max(r["n"], 1) for r in found.where("stage IS NOT NULL").collect()}
+    out = []
+    for i, ((name, t), model) in enumerate(zip(spec, models_of(found, tasks), strict=True)):
+        scores = df.sparkSession.createDataFrame([(name, float(t), float(accuracy[i]))], "label string, threshold double, test_accuracy double")
+        out.append(TrainResult("kill_threshold_split", name, t, PipelineModel(stages=[hasher, *folds[i][0].stages, model]), scores))
     return out
 
 
-def ensemble_members(small: bool = False):
-    """M10 members: boosted trees (two depths), random forest, logistic
-    regression (HGB / XGB / RF / SVC re-aimed on Spark ML)."""
-    it = 10 if small else 100
-    return [GBTClassifier(labelCol="result", maxIter=it, maxDepth=3, stepSize=0.1, seed=42),
-            RandomForestClassifier(labelCol="result", numTrees=20 if small else 200, maxDepth=10, seed=42),
-            LogisticRegression(labelCol="result", maxIter=50),
-            GBTClassifier(labelCol="result", maxIter=it, maxDepth=5, stepSize=0.15, seed=42)]
-
-
-MEMBERS = ("hgb", "rf", "svm", "xgb")  # names of the members in the ensemble grid, in order
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def ensemble_features() -> list:
@@ -207,88 +187,84 @@ def ensemble_features() -> list:
                            extra=("blue_side", "red_side"))
 
 
-def ensemble_pipeline(small: bool = False, point: dict | None = None, rows: int = 0) -> Pipeline:
-    """The ensemble, with the parameters of a grid point if one is given."""
-    members = ensemble_members(small)
-    if point is not None:
-        members = [_with(m, member_point(name, point, rows)) for name, m in zip(MEMBERS, members, strict=True)]
-    return Pipeline(stages=[*ensemble_features(), SoftVoteClassifier(members)])
-
-
-def _with(estimator, params: dict):
-    return estimator.copy({getattr(estimator, k): v for k, v in params.items()})
-
-
-def search_ensemble(df: DataFrame, grid: dict, folds: int = 2, small: bool = False, parallelism: int = 4) -> tuple[dict, list[float]]:
-    """(best point, first on ties; mean accuracy of every point) of the
-    ensemble grid over stratified folds of ``df``.  Members are fitted apart
-    from one another, so each setting of a member is fitted once per fold and
-    the points are the averages of what their members say."""
-    df = stratified_folds(df, "gameid", "result", folds, 42, "inner_fold").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = df.count() * (folds - 1) // folds
-    points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    parts = [[(name, tuple(sorted(member_point(name, p, rows).items()))) for name in MEMBERS] for p in points]
-    settings = list(dict.fromkeys(s for part in parts for s in part))
-    members = dict(zip(MEMBERS, ensemble_members(small), strict=True))
-    mean = [0.0] * len(points)
-    for k in range(folds):
-        train, test = df.where(F.col("inner_fold") != k), df.where(F.col("inner_fold") == k)
-        feats = Pipeline(stages=ensemble_features()).fit(train)
-        tr = feats.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def fit(i):
-            name, params = settings[i]
-            e = _with(members[name], dict(params))
-            return e.setProbabilityCol(f"prob_{i}").setRawPredictionCol(f"raw_{i}").setPredictionCol(f"pred_{i}").fit(tr)
-
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            models = list(pool.map(in_session(df.sparkSession, fit), range(len(settings))))
-        out = feats.transform(test)
-        for m in models:
-            out = m.transform(out)
-        out = out.select("result", *[vector_to_array(F.col(f"prob_{i}"))[1].alias(f"p_{i}") for i in range(len(settings))])
-        right = []
-        for part in parts:
-            p = [F.col(f"p_{settings.index(s)}") for s in part]
-            right.append(F.avg((((sum(p[1:], p[0]) / F.lit(float(len(p)))) > 0.5).cast("double") == F.col("result")).cast("double")))
-        scores = out.agg(*[r.alias(f"a_{i}") for i, r in enumerate(right)]).first()
-        mean = [m + (scores[i] or 0.0) / folds for i, m in enumerate(mean)]
-        tr.unpersist()
-    df.unpersist()
-    return points[max(range(len(points)), key=lambda i: (mean[i], -i))], mean
-
-
-def oof_predictions(matches_flags: DataFrame, outer: int = 3, small: bool = False, grid=REFERENCE_GRIDS["ensemble"],
-                    inner: int = 2, parallelism: int = 4) -> DataFrame:
+def oof_predictions(matches_flags: DataFrame, outer: int = 3, grid=REFERENCE_GRIDS["ensemble"], inner: int = 2,
+                    parallelism: int = 4) -> DataFrame:
     """Out-of-fold probabilities of nested cross-validation over
     stratified folds (W6): for each outer fold the grid is searched on inner
-    folds of the other ones, and the best point, fitted on these, scores it."""
-    df = stratified_folds(matches_flags, "gameid", "result", outer, 42, "outer_fold")
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for k in range(outer):
-        train = df.where(F.col("outer_fold") != k)
-        point, _ = search_ensemble(train, grid, inner, small, parallelism)
-        model = ensemble_pipeline(small, point, train.count()).fit(train)
-        parts.append(model.transform(df.where(F.col("outer_fold") == k))
-                     .select("gameid", "outer_fold", "result", "p_blue", "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    folds of the other ones, and the best point (highest mean accuracy, first on
+    ties), fitted on these, scores it."""
+    out = oof_scores(matches_flags, outer, grid, inner, parallelism)
+    return out.select("gameid", "outer_fold", "result", "p_blue", (F.col("p_blue") > 0.5).cast("double").alias("prediction"))
+
+
+def oof_by_model(scores: DataFrame) -> DataFrame:
+    """E8 input: the out-of-fold rows in long form, the ensemble and each member
+    as a model (model, gameid, true_class, p_blue)."""
+    models = [("ensemble", "p_blue"), *[(m, f"p_{m}") for m in MEMBERS]]
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("p_blue")) for m, c in models])
+    return scores.select("gameid", F.col("result").cast("int").alias("true_class"), F.inline(each)).select("model", "gameid", "true_class", "p_blue")
+
+
+def oof_scores(matches_flags: DataFrame, outer: int = 3, grid=REFERENCE_GRIDS["ensemble"], inner: int = 2,
+               parallelism: int = 4) -> DataFrame:
+    """gameid, outer_fold, result, the members' out-of-fold probabilities and
+    their average p_blue."""
+    df = written(stratified_folds(matches_flags, "gameid", "result", outer, 42, "outer_fold"), "outer-folds")
+
+    def features(train: DataFrame, test: DataFrame, fold: int) -> DataFrame:
+        fitted = Pipeline(stages=ensemble_features()).fit(train)
+        part = F.when(F.col("is_test"), TEST).otherwise(TRAIN)
+        both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+        return written(training_rows(fitted.transform(both), fold, "gameid", ["result"], part), "nested-fold")
+
+    def rows_of(k: int) -> list[DataFrame]:
+        """Fold ``k * (inner + 1) + j``: inner fold j of the outer part k; j = inner: the outer test."""
+        own = df.where(F.col("outer_fold") != k)
+        nested = written(stratified_folds(own, "gameid", "result", inner, 42, "inner_fold"), "inner-folds")
+        out = [features(nested.where(F.col("inner_fold") != j).drop("inner_fold"), nested.where(F.col("inner_fold") == j).drop("inner_fold"), k * (inner + 1) + j) for j in range(inner)]
+        return [*out, features(own, df.where(F.col("outer_fold") == k), k * (inner + 1) + inner)]
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        rows = _union([r for part in pool.map(in_session(df.sparkSession, rows_of), range(outer)) for r in part])
+    best = search_ensemble(rows, grid, {k: [k * (inner + 1) + j for j in range(inner)] for k in range(outer)})
+    settings, parts = settings_of(grid)
+    tasks = [Task(k * (inner + 1) + inner, 0, settings[s][1], predict=True) for k in range(outer) for s in parts[best[k][0]]]
+    said = fit_many(rows, tasks).where("key IS NOT NULL").select("task", "key", "score")
+    p = said.groupBy("key").agg(*[F.max(F.when(F.col("task") % len(MEMBERS) == i, F.col("score"))).alias(f"p_{m}") for i, m in enumerate(MEMBERS)])
+    p = p.withColumn("p_blue", average([F.col(f"p_{m}") for m in MEMBERS]))
+    return df.withColumn("key", F.xxhash64("gameid")).join(p, "key").select("gameid", "outer_fold", "result", *[f"p_{m}" for m in MEMBERS], "p_blue")
+
+
+def search_ensemble(rows: DataFrame, grid: dict, folds_of: dict[int, list[int]]) -> dict[int, tuple[int, list[float]]]:
+    """For each outer part (its inner folds): the best grid point's place and the
+    mean accuracy of every point.  Each setting of a member is fitted once per
+    fold; the points are averages of what their members say."""
+    settings, parts = settings_of(grid)
+    folds = sorted(f for own in folds_of.values() for f in own)
+    tasks = [Task(f, 0, how, predict=True) for f in folds for _, how in settings]
+    said = fit_many(rows.where(F.col("fold").isin(folds)), tasks).where("key IS NOT NULL")
+    fold = F.array(*map(F.lit, folds))[(F.col("task") / len(settings)).cast("int")]
+    wide = said.groupBy(fold.alias("fold"), "key").agg(*[F.max(F.when(F.col("task") % len(settings) == i, F.col("score"))).alias(f"p_{i}") for i in range(len(settings))])
+    wide = wide.join(rows.where(F.col("part") == TEST).select("fold", "key", (F.col("labels")[0] > 0.5).alias("won")), ["fold", "key"])
+    right = [F.avg(((average([F.col(f"p_{i}") for i in part]) > 0.5) == F.col("won")).cast("double")).alias(f"a_{j}") for j, part in enumerate(parts)]
+    got = {r["fold"]: list(r)[1:] for r in wide.groupBy("fold").agg(*right).collect()}  # one row a fold
+    out = {}
+    for k, own in folds_of.items():
+        mean = [sum(got[f][j] for f in own) / len(own) for j in range(len(parts))]
+        out[k] = (first_best(mean, True), mean)
     return out
 
 
-def train_towers(matches_towers: DataFrame, max_iter: int = 100, depth: int = 5) -> TrainResult:
-    """Standardized features (V13) + boosted-tree regressor (RBF SVR
-    re-aimed), first int(0.8 n) matches by date for training."""
+def train_towers(matches_towers: DataFrame) -> TrainResult:
+    """Standardized features (V13) + RBF support vector regression, first
+    int(0.8 n) matches by date for training."""
     m = with_ordinal(matches_towers)
     n = m.count()
     n_train = int(0.8 * n)
-    df = m.withColumn("split", F.when(F.col("ordinal") < n_train, "train").otherwise("test"))
-    feats = hashed_features(200, TeamStrengthEncoder(smoothing=10.0, labelCol="towers_total", invertRed=False),
-                            scale=True)
-    gbt = GBTRegressor(labelCol="towers_total", maxIter=max_iter, maxDepth=depth, seed=42)
-    model = Pipeline(stages=[*feats, gbt]).fit(df.where("split = 'train'"))
+    df = written(m.withColumn("split", F.when(F.col("ordinal") < n_train, "train").otherwise("test")), "tower-rows")
+    feats = Pipeline(stages=hashed_features(200, TeamStrengthEncoder(smoothing=10.0, labelCol="towers_total", invertRed=False),
+                                            scale=True)).fit(df.where("split = 'train'"))
+    part = F.when(F.col("split") == "train", TRAIN).otherwise(TEST)
+    model = _one(feats, training_rows(feats.transform(df), 0, "gameid", ["towers_total"], part), Machine(kind="insensitive", c=1.0, epsilon=0.1))
     metrics = regression_metrics(model.transform(df), "towers_total", "prediction", ("split",))
     return TrainResult("total_towers", "towers_total", None, model, metrics)
-

@@ -82,10 +82,15 @@ def confidence_bins(scored: DataFrame, variant: str, conf: str = "confidence", c
     return out.select(*cols)
 
 
-def accuracy(scored: DataFrame, y: str = "true_class", p: str = "predicted_class", group_cols=()) -> DataFrame:
-    """E5: share of correct predictions (weighted form with ``weight``)."""
-    return scored.groupBy(*group_cols).agg(
-        F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+def accuracy(scored: DataFrame, y: str = "true_class", p: str = "predicted_class", group_cols=(), weight: str | None = None) -> DataFrame:
+    """E5: share of correct predictions, or of their weight with ``weight``
+    (rows without a weight don't count; no weight at all gives null)."""
+    right = (F.col(y) == F.col(p)).cast("double")
+    share = F.avg(right)
+    if weight:
+        w = F.col(weight).cast("double")
+        share = F.try_divide(F.sum(w * right), F.sum(F.when(right.isNotNull(), w)))
+    return scored.groupBy(*group_cols).agg(share.alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(scored: DataFrame, y: str = "true_class", p: str = "predicted_class") -> DataFrame:

@@ -2,14 +2,20 @@
 
 Encoder state (one row per team, champion or token) is joined to wide match
 rows.  No join carries a hint: the tables' sizes, known to the planner or found
-at run time, decide between a broadcast and a shuffle.
+at run time, decide between a broadcast and a shuffle.  Closed domains (champions,
+role tokens) whose size is checked can travel in the plan instead (``literal_map``),
+so that a look-up is a projection; beyond that size callers join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Entries of a table that may travel inside a plan as a literal map.
+MAP_ENTRIES = 4096
+_PARTS = 64
+
 
 def lookup(df: DataFrame, table: DataFrame, left_key: str, right_key: str,
            value_cols: dict[str, str], default=None) -> DataFrame:
@@ -23,3 +29,20 @@ def lookup(df: DataFrame, table: DataFrame, left_key: str, right_key: str,
             d = default if not isinstance(default, dict) else default[o]
             out = out.withColumn(o, F.coalesce(F.col(o), d if hasattr(d, "_jc") else F.lit(d)))
     return out
+
+
+def literal_map(table: DataFrame, key: str, value: str, most: int = MAP_ENTRIES):
+    """A function (key column -> value column, null if unknown) over a table of
+    at most ``most`` rows; None if it has more.  Entries are spread over small
+    maps by the hash of the key, as a map is searched from end to end."""
+    rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"), F.pmod(F.xxhash64(key), F.lit(_PARTS)).alias("p")).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    kind = table.schema[value].dataType
+    parts = [[] for _ in range(_PARTS)]
+    for r in rows:
+        if r["k"] is not None:
+            parts[r["p"]] += [F.lit(r["k"]), F.lit(r["v"]).cast(kind)]
+    empty = F.create_map().cast(f"map<string,{kind.simpleString()}>")
+    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+    return lambda k: F.try_element_at(F.get(maps, F.pmod(F.xxhash64(k), F.lit(_PARTS))), k)

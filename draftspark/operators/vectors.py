@@ -1,8 +1,9 @@
 """Pick encoders producing vectors.
 
-Every encoder has a *long form* - (match, index, value) with value != 0,
-which is what the oracle checks - and a Transformer that turns the same
-entries into an ML vector column with the built-in ``array_to_vector``.
+Every encoder gives the nonzero *entries* of a match, array<struct<index, value>>,
+by a projection of its row: the *long form* - (match, index, value), which is what
+the oracle checks - is their explosion, and the ML vector is a sparse vector made
+of them in the JVM (``sparse_vector``).
 
 * Signed one-hot (V2/V3): a fitted vocabulary (sorted tokens, index 0..),
   blue picks set +1, red picks -1, per team by *assignment* (a duplicate pick
@@ -14,15 +15,17 @@ entries into an ML vector column with the built-in ``array_to_vector``.
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.hashing import bucket, sign, token_hash
 from ..functions.names import ROLES, normalize_name, role_tokens
 from ..models.persist import StatePersistence
+from .lookup import literal_map
 from .ordering import global_ordinal
 
 
@@ -47,57 +50,56 @@ def vocabulary(matches: DataFrame, role_aware: bool = True, with_count: bool = F
     return (vocab, vocab.count()) if with_count else vocab
 
 
+def _tokens(picks: str, role_aware: bool) -> Column:
+    return role_tokens(F.col(picks)) if role_aware else F.transform(picks, lambda c: normalize_name(c))
+
+
 def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_picks",
                  id_col: str = "gameid") -> DataFrame:
     """One row per (match, side, token); sides are +1 (blue) / -1 (red)."""
-    if role_aware:
-        b, r = role_tokens(F.col(blue)), role_tokens(F.col(red))
-    else:
-        b = F.transform(blue, lambda c: normalize_name(c))
-        r = F.transform(red, lambda c: normalize_name(c))
-    items = F.concat(F.transform(F.array_distinct(b), lambda t: F.struct(F.lit(1).alias("sgn"), t.alias("token"))),
-                     F.transform(F.array_distinct(r), lambda t: F.struct(F.lit(-1).alias("sgn"), t.alias("token"))))
+    def team(picks, side):
+        return F.transform(F.array_distinct(_tokens(picks, role_aware)), lambda t: F.struct(F.lit(side).alias("sgn"), t.alias("token")))
+
+    items = F.concat(team(blue, 1), team(red, -1))
     return df.select(F.col(id_col).alias("gameid"), F.inline(items))
 
 
+def _entries(index: Column, value: float) -> Column:
+    return F.transform(index, lambda i: F.struct(i.alias("index"), F.lit(value).alias("value")))
+
+
+def with_onehot(df: DataFrame, vocab: DataFrame, out: str, role_aware: bool = True, blue="blue_picks", red="red_picks",
+                id_col: str = "gameid") -> DataFrame:
+    """Add the signed one-hot entries.  Tokens missing from the vocabulary are
+    dropped (J8); a token counts once a team, and one that both teams have
+    cancels.  A vocabulary small enough travels in the plan; a larger one is
+    joined to the tokens."""
+    known = literal_map(vocab.select("token", F.col("index").cast("bigint").alias("index")), "token", "index")
+    if known is not None:
+        b, r = (F.array_distinct(F.filter(F.transform(_tokens(c, role_aware), known), lambda i: i.isNotNull())) for c in (blue, red))
+        both = df.withColumns({"_b": b, "_r": r})
+        mine = F.concat(_entries(F.array_except("_b", "_r"), 1.0), _entries(F.array_except("_r", "_b"), -1.0))
+        return both.withColumn(out, F.array_sort(mine)).drop("_b", "_r")
+    joined = _team_tokens(df, role_aware, blue, red, id_col).join(vocab.select("token", "index"), "token")
+    long = joined.groupBy(F.col("gameid").alias(id_col), "index").agg(F.sum("sgn").cast("double").alias("value")).where(F.col("value") != 0)
+    per = long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias(out))
+    return df.join(per, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<struct<index:bigint,value:double>>")))
+
+
 def signed_onehot_long(df: DataFrame, vocab: DataFrame, role_aware: bool = True,
                        blue="blue_picks", red="red_picks", id_col: str = "gameid") -> DataFrame:
-    """V2/V3 long form: (gameid, index, value), value != 0.  Tokens missing
-    from the vocabulary are dropped (J8, inner lookup).  Distinct tokens per
-    team give the assignment semantics; distinct tokens map to distinct
-    indices, so summing the side signs by index is blue + red."""
-    toks = _team_tokens(df, role_aware, blue, red, id_col)
-    joined = toks.join(vocab.select("token", "index"), "token")
-    return (joined.groupBy(F.col("gameid").alias(id_col), "index").agg(F.sum("sgn").cast("double").alias("value"))
-            .where(F.col("value") != 0))
-
-
-def dense_from_entries(entries, size: int):
-    """array<struct<index,value>> with unique indices -> dense vector of
-    ``size`` (JVM-side).  One pass over the entries sorted by index: each
-    step appends the zero gap and the value (native array ops), so the work
-    per row is a few lambda calls, not one per position."""
-    srt = F.array_sort(entries)
-    init = F.struct(F.array().cast("array<double>").alias("a"), F.lit(-1).alias("last"))
-
-    def step(acc, e):
-        gap = F.array_repeat(F.lit(0.0), e["index"] - acc["last"] - 1)
-        return F.struct(F.concat(acc["a"], gap, F.array(e["value"].cast("double"))).alias("a"),
-                        e["index"].alias("last"))
-
-    res = F.aggregate(srt, init, step)
-    arr = F.concat(res["a"], F.array_repeat(F.lit(0.0), F.lit(size - 1) - res["last"]))
-    return array_to_vector(arr)
-
-
-def attach_vector(df: DataFrame, long: DataFrame, size: int, out_col: str, id_col: str = "gameid") -> DataFrame:
-    """Regroup a long form per match (bounded: a few entries per match) and
-    attach it as a dense vector column; matches without entries get zeros."""
-    per = long.groupBy(id_col).agg(F.collect_list(F.struct(F.col("index").cast("int").alias("index"),
-                                                           F.col("value").cast("double").alias("value"))).alias("_e"))
-    out = df.join(per, id_col, "left").withColumn(
-        "_e", F.coalesce(F.col("_e"), F.array().cast("array<struct<index:int,value:double>>")))
-    return out.withColumn(out_col, dense_from_entries(F.col("_e"), size)).drop("_e")
+    """V2/V3 long form: (gameid, index, value), value != 0."""
+    return with_onehot(df, vocab, "_e", role_aware, blue, red, id_col).select(id_col, F.inline("_e"))
+
+
+def sparse_vector(entries, size: int) -> Column:
+    """array<struct<index,value>>, ascending, as a sparse vector of ``size``.  The
+    vector type is a struct of type, size, indices and values; Spark's JSON reader
+    builds it from one, in the JVM."""
+    e = F.col(entries) if isinstance(entries, str) else entries
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(e, lambda x: x["index"].cast("int")).alias("indices"),
+                     F.transform(e, lambda x: x["value"].cast("double")).alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
 
 
 class _VecParams(Params):
@@ -123,11 +125,8 @@ class ChampionEmbeddingModel(Model, _VecParams, StatePersistence):
         self._state, self._scalars = {}, {}
 
     def _transform(self, df):
-        n = int(self._scalars["n"])
-        idc = self._p("idCol")
-        long = signed_onehot_long(df, self._state["vocab"], self._p("roleAware"),
-                                  self._p("blueCol"), self._p("redCol"), idc)
-        return attach_vector(df, long, n, self._p("outputCol"), idc)
+        out = with_onehot(df, self._state["vocab"], "_e", self._p("roleAware"), self._p("blueCol"), self._p("redCol"), self._p("idCol"))
+        return out.withColumn(self._p("outputCol"), sparse_vector("_e", int(self._scalars["n"]))).drop("_e")
 
 
 class ChampionEmbedding(Estimator, _VecParams):
@@ -152,30 +151,33 @@ class ChampionEmbedding(Estimator, _VecParams):
 # Hashing
 # ---------------------------------------------------------------------------
 
-def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_picks",
-                id_col: str = "gameid") -> DataFrame:
-    """Long form of the hashed encoders.
+def hashed_entries(n: int, mode: str, blue="blue_picks", red="red_picks") -> Column:
+    """Nonzero entries of the hashed encoders, ascending; equal indices add up.
 
     mode ``concat`` (V5): blue in [0, n), red in [n, 2n), both with the hash sign.
     mode ``diff`` (V6): blue - red in [0, n).
     mode ``role_diff`` (V7): like diff, tokens ``role_champion`` of role-sorted picks.
     """
-    if mode == "role_diff":
-        b, r = role_tokens(F.col(blue)), role_tokens(F.col(red))
-    else:
-        b = F.transform(blue, lambda c: normalize_name(c))
-        r = F.transform(red, lambda c: normalize_name(c))
-    red_offset = n if mode == "concat" else 0
-    red_sign = 1 if mode == "concat" else -1
-    items = F.concat(
-        F.transform(b, lambda t: F.struct(t.alias("token"), F.lit(0).alias("off"), F.lit(1).alias("side"))),
-        F.transform(r, lambda t: F.struct(t.alias("token"), F.lit(red_offset).alias("off"),
-                                          F.lit(red_sign).alias("side"))))
-    toks = df.select(id_col, F.inline(items)).withColumn("h", token_hash("token"))
-    ent = toks.select(id_col, (bucket(F.col("h"), n) + F.col("off")).alias("index"),
-                      (sign(F.col("h"), n) * F.col("side")).cast("double").alias("v"))
-    return (ent.groupBy(id_col, "index").agg(F.sum("v").alias("value"))
-            .where(F.col("value") != 0))
+    def team(picks, offset, side):
+        hashes = F.transform(_tokens(picks, mode == "role_diff"), token_hash)
+        return F.transform(hashes, lambda h: F.struct((bucket(h, n) + offset).alias("index"), (sign(h, n) * side).cast("double").alias("value")))
+
+    items = F.concat(team(blue, 0, 1), team(red, n, 1) if mode == "concat" else team(red, 0, -1))
+    return F.aggregate(F.array_sort(items), F.array().cast("array<struct<index:int,value:double>>"), _add_entry, lambda acc: F.filter(acc, lambda x: x["value"] != 0))
+
+
+def _add_entry(acc: Column, x: Column) -> Column:
+    """Entries come in order: one of the last index adds to it, another follows."""
+    n = F.size(acc)
+    last = F.get(acc, n - 1)
+    summed = F.struct(x["index"].alias("index"), (last["value"] + x["value"]).alias("value"))
+    return F.when((n > 0) & (last["index"] == x["index"]), F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(summed))).otherwise(F.concat(acc, F.array(x)))
+
+
+def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_picks",
+                id_col: str = "gameid") -> DataFrame:
+    """Long form of the hashed encoders: (match, index, value), value != 0."""
+    return df.select(id_col, F.inline(hashed_entries(n, mode, blue, red)))
 
 
 class PickHasher(Transformer, _VecParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -191,6 +193,5 @@ class PickHasher(Transformer, _VecParams, DefaultParamsReadable, DefaultParamsWr
 
     def _transform(self, df):
         n, mode = self._p("numFeatures"), self.getOrDefault(self.mode)
-        idc = self._p("idCol")
-        long = hashed_long(df, n, mode, self._p("blueCol"), self._p("redCol"), idc)
-        return attach_vector(df, long, 2 * n if mode == "concat" else n, self._p("outputCol"), idc)
+        entries = hashed_entries(n, mode, self._p("blueCol"), self._p("redCol"))
+        return df.withColumn(self._p("outputCol"), sparse_vector(entries, 2 * n if mode == "concat" else n))

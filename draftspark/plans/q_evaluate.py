@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import decisions as D
 from ..operators import encoders as E
 from ..operators import evaluate as EV
+from ..models.registry import read_manifest, saved_thresholds, write_manifest
 from ..operators.labels import kill_labels, minute_labels, over_labels_long, turret_labels
-from ..operators.matches import matches_kills
-from ..operators.ordering import hash_split
+from ..operators.matches import matches_kills, matches_minutes, matches_turrets
+from ..operators.ordering import hash_split, recency_weight, with_ordinal
+from ..session import scratch_path
 from ..sources.fixture import match_rows, with_ctes
 from ..functions.hashing import duck_hash
 from .common import base_matches, round_doubles
@@ -140,6 +142,17 @@ def q_accuracy(spark, sf):
     return round_doubles(EV.accuracy(decided(spark, sf), group_cols=("model",)))
 
 
+@register("weighted_accuracy", _m("""wo AS (
+  SELECT gameid, row_number() OVER (ORDER BY date, CAST(gameid AS BIGINT)) - 1 AS ordinal, count(*) OVER () AS n FROM matches)""", """wt AS (
+  SELECT gameid, CASE WHEN n = 1 THEN 0.2 ELSE 0.2 + 0.8 * ordinal / (n - 1) END AS w FROM wo)""", select="""
+SELECT model, round(sum(w * correct) / sum(w), 6) AS accuracy, count(*) AS n FROM dec JOIN wt USING (gameid) GROUP BY model"""))
+def q_weighted_accuracy(spark, sf):
+    """E5, weighted: accuracy with the recency weights 0.2 -> 1 of the minute models."""
+    m = with_ordinal(base_matches(spark, sf))
+    w = recency_weight(m, m.count(), 0.2, 1.0).select("gameid", "weight")
+    return round_doubles(EV.accuracy(decided(spark, sf).join(w, "gameid"), group_cols=("model",), weight="weight"))
+
+
 @register("confusion_matrix", _m("""cells AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(true_class, predicted_class))""", select="""
 SELECT c.true_class, c.predicted_class, count(d.gameid) AS count
 FROM cells c LEFT JOIN (SELECT * FROM dec WHERE model = 'wr') d
@@ -262,12 +275,19 @@ def q_regression_metrics(spark, sf):
 
 # --- F14 / W11 -----------------------------------------------------------------
 
-def _label_files_sql() -> str:
-    specs = [("kills", kill_labels(), ""), ("time", minute_labels(), "time_"), ("turrets", turret_labels(), "")]
-    vals = ", ".join(f"('{task}', '{prefix}{n}.joblib')" for task, spec, prefix in specs for n, _ in spec)
-    return f"""files AS (
-  SELECT DISTINCT f.task, f.file FROM (VALUES {vals}) f(task, file)
-  WHERE EXISTS (SELECT 1 FROM ({ORACLE['matches_kills']}) mk))"""
+# task -> (measure, label names, prefix of the reference's model files)
+_SAVED = {"kills": ("total_kills", kill_labels(), ""), "time": ("gamelength_min", minute_labels(), "time_"),
+          "turrets": ("total_turrets", turret_labels(), "")}
+
+
+def _files_sql() -> list[str]:
+    vals = ", ".join(f"('{task}', '{prefix}{n}.joblib')" for task, (_, spec, prefix) in _SAVED.items() for n, _ in spec)
+    loaders = {"kills": "matches_kills", "time": "matches_minutes", "turrets": "matches_turrets"}
+    union = " UNION ALL ".join(f"SELECT '{task}' AS task, CAST({_SAVED[task][0]} AS DOUBLE) AS v FROM ({ORACLE[q]}) x_{task}" for task, q in loaders.items())
+    return [f"measured AS ({union})", f"""files AS (
+  SELECT f.task, f.file, {_PARSE} AS threshold FROM (VALUES {vals}) f(task, file))""", """counted AS (
+  SELECT f.task, f.file, f.threshold, count(*) FILTER (m.v > f.threshold) AS n_over, count(*) AS n
+  FROM files f JOIN measured m ON m.task = f.task GROUP BY ALL)"""]
 
 
 _PARSE = """CASE WHEN regexp_matches(file, 'over_[0-9]+_[0-9]+')
@@ -275,32 +295,32 @@ _PARSE = """CASE WHEN regexp_matches(file, 'over_[0-9]+_[0-9]+')
      ELSE CAST(regexp_extract(file, 'over_([0-9]+)', 1) AS DOUBLE) END"""
 
 
-@register("parse_threshold", with_ctes(_label_files_sql(), select=f"SELECT task, file, {_PARSE} AS threshold FROM files"))
+@register("parse_threshold", with_ctes(*_files_sql(), select="SELECT task, file, threshold, n_over, n FROM counted"))
 def q_parse_threshold(spark, sf):
-    """model file names derived from the label sets (kill, minute,
-    turret) of the kills loader's rows, parsed back to thresholds."""
-    return _label_files(spark, sf).withColumn("threshold", D.parse_threshold("file"))
+    """thresholds parsed from the paths of a saved manifest, and how many
+    matches of the task's loader lie over each."""
+    return _saved_thresholds(spark, sf).drop("position")
 
 
-@register("sorted_thresholds", with_ctes(_label_files_sql(), select=f"""
-SELECT task, file, {_PARSE} AS threshold,
-       CAST(row_number() OVER (PARTITION BY task ORDER BY {_PARSE}) AS INT) AS position FROM files"""))
+@register("sorted_thresholds", with_ctes(*_files_sql(), select="""
+SELECT task, file, threshold, CAST(row_number() OVER (PARTITION BY task ORDER BY threshold) AS INT) AS position,
+       n_over, n - n_over AS n_under FROM counted"""))
 def q_sorted_thresholds(spark, sf):
-    """Thresholds ordered by the number inside the name, per task (one
-    small window partition per task: at most 15 label names each)."""
-    from pyspark.sql import Window
-
-    t = _label_files(spark, sf).withColumn("threshold", D.parse_threshold("file"))
-    w = Window.partitionBy("task").orderBy("threshold")
-    return t.withColumn("position", F.row_number().over(w))
-
-
-def _label_files(spark, sf):
-    m = matches_kills(match_rows(spark, sf))
-    names = []
-    for task, spec, prefix in (("kills", kill_labels(), ""), ("time", minute_labels(), "time_"),
-                               ("turrets", turret_labels(), "")):
-        lab = over_labels_long(m, "total_kills", spec).select("label").distinct()
-        names.append(lab.select(F.lit(task).alias("task"),
-                                F.concat(F.lit(prefix), F.col("label"), F.lit(".joblib")).alias("file")))
-    return names[0].unionByName(names[1]).unionByName(names[2])
+    """The saved models of a task in the order of the number in their path."""
+    return _saved_thresholds(spark, sf).withColumn("n_under", F.col("n") - F.col("n_over")).drop("n")
+
+
+def _saved_thresholds(spark, sf):
+    base = scratch_path(spark, "thresholds")
+    rows = [(task, f"{prefix}{n}.joblib", None, f"{base}/{task}/{prefix}{n}.joblib", "ok") for task, (_, spec, prefix) in _SAVED.items() for n, _ in spec]
+    write_manifest(spark, rows, base)
+    saved = saved_thresholds(read_manifest(spark, base)).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    loaders = {"kills": matches_kills, "time": matches_minutes, "turrets": matches_turrets}
+    counted = None
+    for task, load in loaders.items():
+        # one row a saved model
+        spec = [(r["file"], r["threshold"]) for r in saved.where(F.col("task") == task).select("file", "threshold").collect()]
+        own = over_labels_long(load(match_rows(spark, sf)), _SAVED[task][0], spec).groupBy(F.col("label").alias("file")).agg(
+            F.coalesce(F.sum("over"), F.lit(0)).cast("bigint").alias("n_over"), F.count(F.lit(1)).alias("n"))
+        counted = own.withColumn("task", F.lit(task)) if counted is None else counted.unionByName(own.withColumn("task", F.lit(task)))
+    return saved.join(counted, ["task", "file"]).select("task", "file", "threshold", "position", "n_over", "n")

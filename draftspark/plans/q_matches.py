@@ -259,10 +259,12 @@ def q_sides_join(spark, sf):
     return M.sides_join(match_rows(spark, sf))
 
 
-@register("player_team_join", with_ctes(select=f"""
-SELECT p.gameid, p.participantid, p.side, p.champion, p.kills, t.kills AS team_kills,
-       t.towers AS team_towers
-FROM match_rows p JOIN match_rows t ON t.gameid = p.gameid AND t.side = p.side AND t.{_TR}
-WHERE p.{_PL}"""))
+@register("player_team_join", with_ctes(f"""sides AS (
+  SELECT gameid, side, participantid, champion, kills, {_PL} AS is_player,
+         count(*) FILTER (WHERE {_TR}) OVER s AS n_team, max(kills) FILTER (WHERE {_TR}) OVER s AS team_kills,
+         max(towers) FILTER (WHERE {_TR}) OVER s AS team_towers
+  FROM match_rows WINDOW s AS (PARTITION BY gameid, side))""", select="""
+SELECT gameid, participantid, side, champion, kills, team_kills, team_towers
+FROM sides WHERE is_player AND n_team > 0"""))
 def q_player_team_join(spark, sf):
     return M.player_team_join(match_rows(spark, sf))

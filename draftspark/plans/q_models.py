@@ -1,6 +1,6 @@
 """Model training, CV, registry and scoring queries.
 
-Tree models have no SQL oracle: these keys are rows-only checks.  They run
+Trained models have no SQL oracle: these keys are rows-only checks.  They run
 the reference's training on the whole fixture, with the reference grids
 (``grids.REFERENCE_GRIDS``) or fixed iterations and depths that the training
 functions have as defaults; labels are noise, so model quality is not a test.
@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import decisions as D
 from ..models import train as T
 from ..models.registry import load_registry, registry_check, registry_from_results, save_registry
 from ..models.score import result_json, score_all
 from ..operators import matches as M
+from ..operators.evaluate import accuracy
 from ..operators.roles import role_stats_long
 from ..session import scratch_path, session_key
 from ..sources.fixture import drafts, match_rows
@@ -47,7 +49,7 @@ def winner(spark, sf):
 
 def kill_thresholds(spark, sf):
     return _memo(spark, sf, "kill_thresholds",
-                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf)), parallelism=8))
+                 lambda: T.train_kill_thresholds(M.matches_kills(match_rows(spark, sf))))
 
 
 def ultimate(spark, sf):
@@ -56,12 +58,12 @@ def ultimate(spark, sf):
 
 def time_thresholds(spark, sf):
     return _memo(spark, sf, "time_thresholds",
-                 lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf)), parallelism=8))
+                 lambda: T.train_time_thresholds(M.matches_minutes(match_rows(spark, sf))))
 
 
 def turret_thresholds(spark, sf):
     return _memo(spark, sf, "turret_thresholds",
-                 lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf)), parallelism=8))
+                 lambda: T.train_turret_thresholds(M.matches_turrets(match_rows(spark, sf))))
 
 
 def total_kills(spark, sf):
@@ -142,6 +144,15 @@ def q_oof_predictions(spark, sf):
     return T.oof_predictions(M.matches_flags(match_rows(spark, sf)), outer=3)
 
 
+@register("oof_comparison")
+def q_oof_comparison(spark, sf):
+    """E8 on trained models: the ensemble and its members over the same
+    out-of-fold rows, with accuracy and mean confidence."""
+    rows = T.oof_by_model(T.oof_scores(M.matches_flags(match_rows(spark, sf)), outer=3))
+    rows = rows.withColumn("predicted_class", D.predicted_class("p_blue")).withColumn("confidence", D.confidence("p_blue"))
+    return accuracy(rows, group_cols=("model",)).join(rows.groupBy("model").agg(F.avg("confidence").alias("mean_confidence")), "model")
+
+
 @register("grid_best")
 def q_grid_best(spark, sf):
     """Best grid point (highest mean score, first on ties) per task."""

@@ -119,3 +119,49 @@ def test_embedding_vector_matches_long_form(spark):
     model = V.ChampionEmbedding(roleAware=False, outputCol="v").fit(m)
     vec = model.transform(m).first().v.toArray()
     assert len(vec) == 10 and sorted(vec.tolist()) == [-1.0] * 5 + [1.0] * 5
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _many_matches(spark):
+    rnd = random.Random(11)
+    champs = [f"Name {i}" for i in range(14)]
+    return mdf(spark, [(str(i), rnd.choices(champs, k=rnd.choice([0, 3, 5, 5, 5, 6])), rnd.choices(champs, k=5), "X", "Y", i % 2) for i in range(60)])
+
+
+def test_large_state_is_joined_with_the_same_results(spark, monkeypatch):
+    """Beyond the size that travels in a plan, statistics and vocabulary are joined."""
+    from draftspark.operators import lookup
+
+    m = _many_matches(spark).checkpoint()
+    stats = R.role_stats_long(m).checkpoint()
+    small = R.assign_roles(m, stats)
+    vocab = V.vocabulary(small, role_aware=True)
+    want = small.select("gameid", "blue_picks_sorted", "red_picks_sorted")
+    entries = V.signed_onehot_long(small, vocab, blue="blue_picks_sorted", red="red_picks_sorted")
+    assert "Exchange" not in _plan(want) and "Exchange" not in _plan(entries) and "Python" not in _plan(entries)
+    want, entries = sorted(map(tuple, want.collect()), key=str), sorted(map(tuple, entries.collect()), key=str)
+    for module in (R, V):
+        monkeypatch.setattr(module, "literal_map", lambda t, k, v: lookup.literal_map(t, k, v, 3))
+    joined = R.assign_roles(m, stats)
+    assert "Exchange" in _plan(joined)
+    assert sorted(map(tuple, joined.select("gameid", "blue_picks_sorted", "red_picks_sorted").collect()), key=str) == want
+    assert sorted(map(tuple, V.signed_onehot_long(joined, vocab, blue="blue_picks_sorted", red="red_picks_sorted").collect()), key=str) == entries
+
+
+def test_sparse_vectors_equal_the_long_form(spark):
+    from pyspark.ml.linalg import SparseVector
+
+    m = _many_matches(spark)
+    model = V.ChampionEmbedding(roleAware=False, outputCol="v").fit(m)
+    for df, long in ((model.transform(m), V.signed_onehot_long(m, model._state["vocab"], False)),
+                     (V.PickHasher(mode="concat", numFeatures=7, outputCol="v").transform(m), V.hashed_long(m, 7, "concat")),
+                     (V.PickHasher(mode="diff", numFeatures=30, outputCol="v").transform(m), V.hashed_long(m, 30, "diff"))):
+        assert "Exchange" not in _plan(df.select("v")) and "Python" not in _plan(df.select("v"))
+        got = {}
+        for r in df.collect():
+            assert isinstance(r.v, SparseVector)
+            got |= {(r.gameid, int(i)): float(x) for i, x in zip(r.v.indices, r.v.values, strict=True)}
+        assert got == {(r.gameid, r["index"]): r.value for r in long.collect()}

@@ -4,9 +4,7 @@ text report sink (S12), parameter grids (J14), freshness label (S7)."""
 import os
 import tempfile
 
-from pyspark.ml.classification import GBTClassifier
-
-from draftspark.models.grids import REFERENCE_GRIDS, param_maps, spark_point
+from draftspark.models.grids import REFERENCE_GRIDS, growth_of, points
 from draftspark.sources import files as S
 
 
@@ -33,15 +31,10 @@ def test_typed_scan_keeps_blanks_and_spaces(spark):
     assert f.modified is not None and " at " in f.label
 
 
-def test_grid_mapping_and_product(spark):
-    assert spark_point({"n_estimators": 100, "learning_rate": 0.05, "num_leaves": 31, "max_depth": -1}) == \
-        {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5}
-    assert spark_point({"num_leaves": 63, "max_depth": 10})["maxDepth"] == 6
-    assert spark_point({"num_leaves": 31, "max_depth": 3})["maxDepth"] == 3
-    assert spark_point({"colsample_bytree": 0.8})["featureSubsetStrategy"] == "0.8"
-    gbt = GBTClassifier()
-    maps = param_maps(gbt, REFERENCE_GRIDS["kills"])
-    assert len(maps) == 8 and {m[gbt.maxDepth] for m in maps} == {5, 6}
-    # winner grid: reg_alpha is not mapped and max_depth -1 / 10 leave depths 5 and 6
-    # unchanged, so the 32 reference points collapse to 8 distinct fits
-    assert len(param_maps(gbt, REFERENCE_GRIDS["winner"])) == 8
+def test_grid_mapping_and_product():
+    g = growth_of({"n_estimators": 100, "learning_rate": 0.05, "num_leaves": 31, "max_depth": -1}, "logistic")
+    assert (g.rounds, g.rate, g.leaves, g.depth, g.l1, g.column_share) == (100, 0.05, 31, -1, 0.0, 1.0)
+    assert growth_of({"max_depth": 10, "reg_alpha": 0.1, "colsample_bytree": 0.8}, "squared").l1 == 0.1
+    grid = points(REFERENCE_GRIDS["kills"])
+    assert len(grid) == 8 and grid[0] == {"n_estimators": 100, "learning_rate": 0.05, "num_leaves": 31}
+    assert [p["num_leaves"] for p in grid[:2]] == [31, 40]  # the last key varies fastest
