@@ -46,9 +46,7 @@ def role_tokens(picks) -> Column:
     """``role_champion`` tokens zipped with the role list, truncated to the
     shorter of the two (F6/F7)."""
     roles = F.array(*[F.lit(r) for r in ROLES])
-    p = _col(picks)
-    n = F.least(F.size(p), F.lit(len(ROLES)))
-    return F.transform(F.slice(p, 1, n), lambda x, i: F.concat(roles[i], F.lit("_"), normalize_name(x)))
+    return F.transform(F.slice(_col(picks), 1, len(ROLES)), lambda x, i: F.concat(roles[i], F.lit("_"), normalize_name(x)))
 
 
 def default_team(c) -> Column:

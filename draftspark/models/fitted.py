@@ -20,7 +20,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import reachable, written
 from .kernel import KernelScorer, Machine
 from .kernel import fit as fit_machine
 from .lockstep import in_lockstep, shards_for
@@ -60,6 +60,7 @@ def fit_many(rows: DataFrame, tasks: list[Task]) -> DataFrame:
     n), of a tree (tree, nodes, base), of a kernel machine (JSON), of a test row
     (key, score)."""
     spark = rows.sparkSession
+    reachable(spark)
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}  # one row a fold
     shards = shards_for(rows, max(sizes.values(), default=1))
     groups = 1 if shards > 1 else max(1, min(len(tasks), spark.sparkContext.defaultParallelism))
@@ -176,6 +177,7 @@ class FittedModel(Model, StatePersistence):
         return self._scorer
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        reachable(df.sparkSession)
         value = scores(vector_to_array(F.col(self.getFeaturesCol())), [self.scorer])[0]
         out = df.withColumn("_score", value)
         if self.classifies:

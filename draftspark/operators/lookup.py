@@ -9,6 +9,8 @@ so that a look-up is a projection; beyond that size callers join.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +35,15 @@ def lookup(df: DataFrame, table: DataFrame, left_key: str, right_key: str,
 
 def literal_map(table: DataFrame, key: str, value: str, most: int = MAP_ENTRIES):
     """A function (key column -> value column, null if unknown) over a table of
-    at most ``most`` rows; None if it has more.  Entries are spread over small
+    numbers, or arrays of them, of at most ``most`` rows; None if it has more.  Entries are spread over small
     maps by the hash of the key, as a map is searched from end to end."""
     rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"), F.pmod(F.xxhash64(key), F.lit(_PARTS)).alias("p")).limit(most + 1).collect()
     if len(rows) > most:
         return None
-    kind = table.schema[value].dataType
-    parts = [[] for _ in range(_PARTS)]
+    kind = table.schema[value].dataType.simpleString()
+    parts = [{} for _ in range(_PARTS)]
     for r in rows:
         if r["k"] is not None:
-            parts[r["p"]] += [F.lit(r["k"]), F.lit(r["v"]).cast(kind)]
-    empty = F.create_map().cast(f"map<string,{kind.simpleString()}>")
-    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+            parts[r["p"]][r["k"]] = r["v"]
+    maps = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")  # a constant, folded once
     return lambda k: F.try_element_at(F.get(maps, F.pmod(F.xxhash64(k), F.lit(_PARTS))), k)

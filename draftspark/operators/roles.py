@@ -75,31 +75,31 @@ def _stats_wide(stats_long: DataFrame) -> DataFrame:
         for r in ROLES]).alias("scores"))
 
 
-def _worth(scores: Column, pick: int, role: int) -> Column:
+def _worth(scores: str, pick: int, role: int) -> str:
     """What a pick in a role adds: its count, and its digit in the permutation."""
-    count = F.coalesce(F.get(scores, F.lit(role)), F.lit(0)).cast("bigint")
-    return count * _CODES + F.lit((N - 1 - pick) * N ** (N - 1 - role)).cast("bigint")
+    return f"coalesce(get(get({scores}, {pick}), {role}), 0) * {_CODES} + {(N - 1 - pick) * N ** (N - 1 - role)}L"
 
 
 def best_order(df: DataFrame, scores: str, out: str) -> DataFrame:
     """Add ``out``: the places of the picks in role order, for the column
-    ``scores`` (pick x role counts).  Sets of picks grow by one a step, each step
-    a projection over the one before."""
-    names = []
+    ``scores`` (pick x role counts, bigint).  Sets of picks grow by one a step,
+    each step a projection over the one before (as SQL text: there are many)."""
+    def name(own) -> str:
+        return f"{out}_{''.join(map(str, own))}"
+
+    kept = df.columns
     for size in range(1, N + 1):
-        step = {}
+        step = []
         for own in combinations(range(N), size):
             ways = []
             for pick in own:
                 rest = tuple(x for x in own if x != pick)
-                worth = _worth(F.get(scores, F.lit(pick)), pick, size - 1)
-                ways.append(worth if not rest else F.col(f"{out}_{'_'.join(map(str, rest))}") + worth)
-            step[f"{out}_{'_'.join(map(str, own))}"] = ways[0] if len(ways) == 1 else F.greatest(*ways)
-        df = df.withColumns(step)
-        names += list(step)
-    best = F.col(f"{out}_{'_'.join(map(str, range(N)))}")
-    places = F.array(*[(F.lit(N - 1) - F.floor(best / N ** (N - 1 - role)) % N).cast("int") for role in range(N)])
-    return df.withColumn(out, places).drop(*names)
+                ways.append((f"{name(rest)} + " if rest else "") + _worth(scores, pick, size - 1))
+            step.append(f"{ways[0] if size == 1 else 'greatest(' + ', '.join(ways) + ')'} AS {name(own)}")
+        df = df.selectExpr(*[f"`{c}`" for c in kept], *step)
+    # the total is named once, so that a plan that inlines the steps stays small
+    digits = ", ".join(str(N ** (N - 1 - role)) for role in range(N))
+    return df.selectExpr(*[f"`{c}`" for c in kept], f"transform(array({digits}), d -> CAST({N - 1} - {name(range(N))} DIV d % {N} AS INT)) AS {out}")
 
 
 def _in_order(picks: Column, places: Column) -> Column:

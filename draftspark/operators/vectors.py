@@ -64,8 +64,25 @@ def _team_tokens(df: DataFrame, role_aware: bool, blue="blue_picks", red="red_pi
     return df.select(F.col(id_col).alias("gameid"), F.inline(items))
 
 
-def _entries(index: Column, value: float) -> Column:
-    return F.transform(index, lambda i: F.struct(i.alias("index"), F.lit(value).alias("value")))
+def _summed(entries: Column) -> Column:
+    """Entries in ascending order, equal indices added up, zeros dropped."""
+    kind = "array<struct<index:bigint,value:double>>"
+    return F.aggregate(F.array_sort(entries), F.array().cast(kind), _add_entry, lambda acc: F.filter(acc, lambda x: x["value"] != 0))
+
+
+def _add_entry(acc: Column, x: Column) -> Column:
+    """Entries come in order: one of the last index adds to it, another follows."""
+    n = F.size(acc)
+    last = F.get(acc, n - 1)
+    summed = F.struct(x["index"].alias("index"), (last["value"] + x["value"]).alias("value"))
+    return F.when((n > 0) & (last["index"] == x["index"]), F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(summed))).otherwise(F.concat(acc, F.array(x)))
+
+
+def _long_form(df: DataFrame, id_col: str, entries: str | Column) -> DataFrame:
+    """(match, index, value).  The outer form infers no filter on the entries,
+    which would have them worked out once more below."""
+    e = df.select(id_col, F.inline_outer(entries))
+    return e.where("index IS NOT NULL")
 
 
 def with_onehot(df: DataFrame, vocab: DataFrame, out: str, role_aware: bool = True, blue="blue_picks", red="red_picks",
@@ -76,10 +93,11 @@ def with_onehot(df: DataFrame, vocab: DataFrame, out: str, role_aware: bool = Tr
     joined to the tokens."""
     known = literal_map(vocab.select("token", F.col("index").cast("bigint").alias("index")), "token", "index")
     if known is not None:
-        b, r = (F.array_distinct(F.filter(F.transform(_tokens(c, role_aware), known), lambda i: i.isNotNull())) for c in (blue, red))
-        both = df.withColumns({"_b": b, "_r": r})
-        mine = F.concat(_entries(F.array_except("_b", "_r"), 1.0), _entries(F.array_except("_r", "_b"), -1.0))
-        return both.withColumn(out, F.array_sort(mine)).drop("_b", "_r")
+        def team(picks, value):
+            index = F.array_distinct(F.filter(F.transform(_tokens(picks, role_aware), known), lambda i: i.isNotNull()))
+            return F.transform(index, lambda i: F.struct(i.alias("index"), F.lit(value).alias("value")))
+
+        return df.withColumn(out, _summed(F.concat(team(blue, 1.0), team(red, -1.0))))
     joined = _team_tokens(df, role_aware, blue, red, id_col).join(vocab.select("token", "index"), "token")
     long = joined.groupBy(F.col("gameid").alias(id_col), "index").agg(F.sum("sgn").cast("double").alias("value")).where(F.col("value") != 0)
     per = long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias(out))
@@ -89,7 +107,7 @@ def with_onehot(df: DataFrame, vocab: DataFrame, out: str, role_aware: bool = Tr
 def signed_onehot_long(df: DataFrame, vocab: DataFrame, role_aware: bool = True,
                        blue="blue_picks", red="red_picks", id_col: str = "gameid") -> DataFrame:
     """V2/V3 long form: (gameid, index, value), value != 0."""
-    return with_onehot(df, vocab, "_e", role_aware, blue, red, id_col).select(id_col, F.inline("_e"))
+    return _long_form(with_onehot(df, vocab, "_e", role_aware, blue, red, id_col), id_col, "_e")
 
 
 def sparse_vector(entries, size: int) -> Column:
@@ -160,24 +178,17 @@ def hashed_entries(n: int, mode: str, blue="blue_picks", red="red_picks") -> Col
     """
     def team(picks, offset, side):
         hashes = F.transform(_tokens(picks, mode == "role_diff"), token_hash)
-        return F.transform(hashes, lambda h: F.struct((bucket(h, n) + offset).alias("index"), (sign(h, n) * side).cast("double").alias("value")))
+        return F.transform(hashes, lambda h: F.struct((bucket(h, n) + offset).cast("bigint").alias("index"), (sign(h, n) * side).cast("double").alias("value")))
 
     items = F.concat(team(blue, 0, 1), team(red, n, 1) if mode == "concat" else team(red, 0, -1))
-    return F.aggregate(F.array_sort(items), F.array().cast("array<struct<index:int,value:double>>"), _add_entry, lambda acc: F.filter(acc, lambda x: x["value"] != 0))
-
-
-def _add_entry(acc: Column, x: Column) -> Column:
-    """Entries come in order: one of the last index adds to it, another follows."""
-    n = F.size(acc)
-    last = F.get(acc, n - 1)
-    summed = F.struct(x["index"].alias("index"), (last["value"] + x["value"]).alias("value"))
-    return F.when((n > 0) & (last["index"] == x["index"]), F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(summed))).otherwise(F.concat(acc, F.array(x)))
+    return _summed(items)
 
 
 def hashed_long(df: DataFrame, n: int, mode: str, blue="blue_picks", red="red_picks",
                 id_col: str = "gameid") -> DataFrame:
     """Long form of the hashed encoders: (match, index, value), value != 0."""
-    return df.select(id_col, F.inline(hashed_entries(n, mode, blue, red)))
+    out = _long_form(df, id_col, hashed_entries(n, mode, blue, red))
+    return out.withColumn("index", F.col("index").cast("int"))
 
 
 class PickHasher(Transformer, _VecParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reachable
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def register(key: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)  # lineage cuts go to the shared folder
+            reachable(spark)
             return fn(spark, sf_dir)
 
         QUERIES[key] = run
