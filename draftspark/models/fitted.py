@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,7 @@ from .kernel import KernelScorer, Machine
 from .kernel import fit as fit_machine
 from .lockstep import in_lockstep, shards_for
 from .persist import StatePersistence
-from .trees import Growth, Rows, Scorer, binned
-from .trees import fit as fit_trees
+from .trees import Growth, Rows, Scorer, binned, fit_family
 
 TRAIN, VALID, TEST = 0, 1, 2
 
@@ -64,29 +63,36 @@ def fit_many(rows: DataFrame, tasks: list[Task]) -> DataFrame:
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}  # one row a fold
     shards = shards_for(rows, max(sizes.values(), default=1))
     groups = 1 if shards > 1 else max(1, min(len(tasks), spark.sparkContext.defaultParallelism))
+    families: dict = {}  # trees that differ in their limits only are fitted together
+    for i, t in enumerate(tasks):
+        alike = replace(t.how, leaves=0, depth=-1) if isinstance(t.how, Growth) else i
+        families.setdefault((t.fold, t.target, alike, t.stages, t.keep, t.predict), []).append(i)
     load, of = [0.0] * groups, {}
-    cost = {i: sizes.get(t.fold, 0) * (t.how.rounds if isinstance(t.how, Growth) else 500) for i, t in enumerate(tasks)}
-    for i in sorted(cost, key=lambda i: -cost[i]):  # the costliest first, each to the least loaded group
+    cost = {tuple(own): sizes.get(tasks[own[0]].fold, 0) * (tasks[own[0]].how.rounds if isinstance(tasks[own[0]].how, Growth) else 500) for own in families.values()}
+    for own in sorted(cost, key=lambda own: -cost[own]):  # the costliest first, each to the least loaded group
         g = min(range(groups), key=load.__getitem__)
-        of.setdefault(g, []).append(i)
-        load[g] += cost[i]
-    needs = {f: sorted(g for g, own in of.items() if any(tasks[i].fold == f for i in own)) for f in {t.fold for t in tasks}}
+        of.setdefault(g, []).append(own)
+        load[g] += cost[own]
+    needs = {f: sorted(g for g, many in of.items() if any(tasks[own[0]].fold == f for own in many)) for f in {t.fold for t in tasks}}
     where = F.create_map(*[x for f, gs in sorted(needs.items()) for x in (F.lit(f), F.array(*map(F.lit, gs)))])
     dealt = rows.where(F.col("fold").isin(sorted(needs))).withColumn("group", F.explode(where[F.col("fold")]))
 
     def work(table: pa.Table | None, group: int, drive, shard: int) -> Iterator[dict]:
-        own = of.get(group, [])
+        many = of.get(group, [])
+        folds = sorted({tasks[own[0]].fold for own in many})
         fold = np.asarray(table.column("fold")) if table is not None else np.zeros(0, np.int32)
-        data = {f: Rows(table.filter(pa.array(fold == f)) if len(fold) else None) for f in sorted({tasks[i].fold for i in own})}
-        bins = dict(drive({f: (lambda f=f: binned(data[f])) for f in sorted({tasks[i].fold for i in own if isinstance(tasks[i].how, Growth)})}))
+        data = {f: Rows(table.filter(pa.array(fold == f)) if len(fold) else None) for f in folds}
+        grown = sorted({tasks[own[0]].fold for own in many if isinstance(tasks[own[0]].how, Growth)})
+        bins = dict(drive({f: (lambda f=f: binned(data[f])) for f in grown}))
 
-        def program(i: int):
-            t = tasks[i]
+        def program(own: tuple):
+            t = tasks[own[0]]
             if isinstance(t.how, Machine):
                 return lambda: fit_machine(data[t.fold], t.target, t.how)
-            return lambda: fit_trees(bins[t.fold], t.target, t.how, t.stages, t.keep or t.predict)
+            return lambda: fit_family(bins[t.fold], t.target, {i: tasks[i].how for i in own}, t.stages, t.keep or t.predict)
 
-        for i, got in drive({i: program(i) for i in sorted(own)}):
+        results = ((i, got[i] if isinstance(tasks[i].how, Growth) else got) for own, got in drive({own: program(own) for own in sorted(many)}) for i in own)
+        for i, got in results:
             t, rows_ = tasks[i], data[tasks[i].fold]
             if t.predict:
                 width = bins[t.fold].width if t.fold in bins else rows_.width

@@ -115,9 +115,50 @@ class Binned:
         self.zero = self.start + self._bin(np.arange(width), np.zeros(width))
         self.cell = self.start[rows.column] + self._bin(rows.column, rows.value)
         self.column_of = np.repeat(np.arange(width), self.bins)
+        self.splits = self._inner()
+        self.original = np.arange(width)
+        self.entry_row, self.entry_column, self.entry_cell = rows.row, rows.column, self.cell
+        self.narrowed_to = {}
+
+    def _inner(self) -> np.ndarray:
         last = np.zeros(self.cells, bool)
         last[self.start + self.bins - 1] = True
-        self.splits = ~last
+        return ~last
+
+    def narrowed(self, least: int) -> Generator[np.ndarray, list, Binned]:
+        """The columns that some bound splits into two sides of ``least`` training
+        rows: as leaves only get smaller, no other column can ever split."""
+        if least in self.narrowed_to:
+            return self.narrowed_to[least]
+        train = self.rows.train
+        counts = np.bincount(self.cell[train[self.rows.row]], minlength=self.cells).astype(np.float64)
+        shards = yield np.append(counts, train.sum())
+        every = np.sum(shards, axis=0)
+        hist, total = every[:-1], every[-1]
+        hist[self.zero] += total - np.add.reduceat(hist, self.start)
+        left = np.cumsum(hist)
+        left -= np.concatenate([[0.0], left[self.start[1:] - 1]])[self.column_of]
+        fine = (np.minimum(left, total - left) >= least) & self.splits
+        keep = np.bincount(self.column_of[fine], minlength=self.width) > 0
+        if not keep.any():
+            keep[:1] = True  # a tree then has no split, as it should
+        out = object.__new__(Binned)
+        number = np.cumsum(keep) - 1
+        out.rows, out.width, out.original = self.rows, int(keep.sum()), np.flatnonzero(keep)
+        out.bins = self.bins[keep]
+        out.start = np.cumsum(out.bins) - out.bins
+        out.cells = int(out.bins.sum())
+        out.bound_start = out.start - np.arange(out.width)
+        own = keep[self.bound_column]
+        out.bound_column, out.bound = number[self.bound_column[own]], self.bound[own]
+        out.zero = out.start + self.zero[keep] - self.start[keep]
+        out.column_of = np.repeat(np.arange(out.width), out.bins)
+        out.splits = out._inner()
+        mine = keep[self.rows.column]
+        out.entry_row, out.entry_column = self.rows.row[mine], number[self.rows.column[mine]]
+        out.entry_cell = out.start[out.entry_column] + self.cell[mine] - self.start[self.rows.column[mine]]
+        self.narrowed_to[least] = out
+        return out
 
     def _bin(self, column: np.ndarray, value: np.ndarray) -> np.ndarray:
         """How many bounds of its column lie under each value."""
@@ -180,15 +221,16 @@ def _gains(g, h, l1, l2):
     return g * g / (h + l2 + 1e-300)
 
 
-def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, salt: int) -> Generator[np.ndarray, list, tuple[dict, np.ndarray]]:
+def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, salt: int, bound: set) -> Generator[np.ndarray, list, tuple[dict, np.ndarray]]:
     """One tree from gradients, hessians and counts of the rows (zero outside of
-    the sample): its nodes, and what it adds to every row."""
+    the sample): its nodes, and what it adds to every row.  ``bound`` gets the
+    limits (leaves, depth) without which it might have grown on."""
     rows, tree = data.rows, Tree()
     node = np.zeros(rows.n, np.int64)
     used_rows = c > 0
     columns = np.ones(data.width, bool)
     if p.column_share < 1:
-        draw = uniform(np.arange(data.width), p.seed, salt, 1)
+        draw = uniform(data.original, p.seed, salt, 1)
         columns[np.argsort(draw, kind="stable")[max(1, round(p.column_share * data.width)):]] = False
     open_cells = data.splits & columns[data.column_of]
     total, depth, best, path = {}, {0: 0}, {}, {0: 1}
@@ -200,9 +242,9 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
         slot_of[nodes] = np.arange(m)
         slot = np.where(used_rows, slot_of[node], -1)
         inside = np.flatnonzero(slot >= 0)
-        entry_slot = slot[rows.row]
+        entry_slot = slot[data.entry_row]
         e = np.flatnonzero(entry_slot >= 0)
-        at, owner = entry_slot[e] * data.cells + data.cell[e], rows.row[e]
+        at, owner = entry_slot[e] * data.cells + data.entry_cell[e], data.entry_row[e]
         own = np.empty((3, m, data.cells + 1))
         for i, x in enumerate((g, h, c)):
             own[i, :, :-1] = np.bincount(at, x[owner], m * data.cells).reshape(m, data.cells)
@@ -221,7 +263,7 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
         if p.split_columns < 1:
             some = max(1, int(data.width ** 0.5 if p.split_columns < 0 else p.split_columns * data.width))
             for i, x in enumerate(nodes):
-                draw = uniform(np.arange(data.width), p.seed, salt, path[x], 2)
+                draw = uniform(data.original, p.seed, salt, path[x], 2)
                 draw[data.bins < 2] = 2.0
                 mine = np.zeros(data.width, bool)
                 mine[np.argsort(draw, kind="stable")[:some]] = True
@@ -244,9 +286,9 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
         goes = slot >= 0
         lefts = data.zero[column] <= cut
         side = lefts[slot] | ~goes
-        entry_slot = slot[rows.row]
-        e = np.flatnonzero((entry_slot >= 0) & (column[entry_slot] == rows.column))
-        side[rows.row[e]] = data.cell[e] <= cut[entry_slot[e]]
+        entry_slot = slot[data.entry_row]
+        e = np.flatnonzero((entry_slot >= 0) & (column[entry_slot] == data.entry_column))
+        side[data.entry_row[e]] = data.entry_cell[e] <= cut[entry_slot[e]]
         node[goes] = np.where(side[goes], kids[slot[goes], 0], kids[slot[goes], 1])
         look = []
         for x, (a, b) in zip(parents, kids.tolist(), strict=True):
@@ -254,8 +296,11 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
             total[a], total[b] = best[x][2], total[x] - best[x][2]
             for k, y in enumerate((a, b)):
                 depth[y], path[y] = depth[x] + 1, path[x] * 2 + k
-                if (p.depth < 0 or depth[y] < p.depth) and total[y][2] >= 2 * p.min_rows - 1e-9 and total[y][2] > 1:
-                    look.append(y)
+                if total[y][2] >= 2 * p.min_rows - 1e-9 and total[y][2] > 1:
+                    if p.depth < 0 or depth[y] < p.depth:
+                        look.append(y)
+                    else:
+                        bound.add("depth")
         if look:
             yield from histograms(look)
 
@@ -263,6 +308,8 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
     yield from histograms([0])
     children, applied, leaves = {}, {0}, 1
     queue = [(-best[0][0], 0)] if 0 in best and p.depth != 0 else []
+    if p.depth == 0:
+        bound.add("depth")
     while queue and (not p.leaves or leaves < p.leaves):
         _, x = heapq.heappop(queue)
         if x not in children:
@@ -270,12 +317,14 @@ def grow(data: Binned, g: np.ndarray, h: np.ndarray, c: np.ndarray, p: Growth, s
             also = heapq.nsmallest(left - 1, ((k, y) for k, y in queue if y not in children)) if left > 1 else []
             yield from expand([x, *[y for _, y in also]])
         a, b = children[x]
-        tree.column[x], tree.bound[x], tree.left[x], tree.right[x] = int(data.column_of[best[x][1]]), data.bound_at(best[x][1]), a, b
+        tree.column[x], tree.bound[x], tree.left[x], tree.right[x] = int(data.original[data.column_of[best[x][1]]]), data.bound_at(best[x][1]), a, b
         applied |= {a, b}
         leaves += 1
         for y in (a, b):
             if y in best:
                 heapq.heappush(queue, (-best[y][0], y))
+    if queue:
+        bound.add("leaves")
     parent = {k: x for x, pair in children.items() for k in pair}
     owner = np.zeros(len(tree.column), np.int64)
     for x in range(len(tree.column)):
@@ -297,9 +346,10 @@ def loss_of(loss: str, y: np.ndarray, score: np.ndarray) -> np.ndarray:
 
 
 def fit(data: Binned, target: int, p: Growth, stages: tuple[int, ...] = (), keep: bool = True) -> Generator[np.ndarray, list, dict]:
-    """One model: {base, trees, stages}, where stages has (rounds, sum of the
+    """One model: {base, trees, stages, bound}, where stages has (rounds, sum of the
     measure, rows) over the test rows: right answers, or absolute errors."""
     rows = data.rows
+    data = yield from data.narrowed(1 if p.loss == "forest" else max(p.min_rows, 1))
     y, n = rows.label(target), rows.n
     held = rows.train & (uniform(rows.key, p.seed, 5) < p.holdout) if p.holdout else np.zeros(n, bool)
     train, valid = rows.train & ~held, rows.valid | held
@@ -312,7 +362,7 @@ def fit(data: Binned, target: int, p: Growth, stages: tuple[int, ...] = (), keep
     else:
         base = 0.0 if p.loss == "forest" else float(mean)
     score = np.full(n, base)
-    trees, scored, lowest, since, at = [], [], np.inf, 0, 0
+    trees, scored, lowest, since, at, bound = [], [], np.inf, 0, 0, set()
     seen = sorted(set(stages))
 
     def measure() -> np.ndarray:
@@ -333,7 +383,7 @@ def fit(data: Binned, target: int, p: Growth, stages: tuple[int, ...] = (), keep
             q = sigmoid(score) if p.loss == "logistic" else score
             g = (q - y) * w * c
             h = (q * (1 - q) if p.loss == "logistic" else 1.0) * w * c
-        tree, step = yield from grow(data, g, h, c, p, r)
+        tree, step = yield from grow(data, g, h, c, p, r, bound)
         trees.append(tree)
         score = score + step
         while at < len(seen) and seen[at] == r + 1:
@@ -350,7 +400,25 @@ def fit(data: Binned, target: int, p: Growth, stages: tuple[int, ...] = (), keep
     scored += [measure()] * (len(seen) - at)
     if seen:
         scored = np.sum((yield np.array(scored)), axis=0).tolist()
-    return {"base": base, "trees": trees if keep else [], "stages": [(s, *m) for s, m in zip(seen, scored, strict=True)] if seen else []}
+    return {"base": base, "trees": trees if keep else [], "bound": bound, "stages": [(s, *m) for s, m in zip(seen, scored, strict=True)] if seen else []}
+
+
+def fit_family(data: Binned, target: int, hows: dict[object, Growth], stages: tuple[int, ...] = (), keep: bool = True) -> Generator[np.ndarray, list, dict]:
+    """Models (name -> result) that differ in their limits of leaves and depth
+    only, the tightest first: a looser limit gives the model of a tighter one that
+    never bound, so it is not fitted again."""
+    def tightness(name):
+        return (hows[name].leaves or np.inf, hows[name].depth if hows[name].depth >= 0 else np.inf)
+
+    out = {}
+    for name in sorted(hows, key=tightness):
+        for other, got in out.items():
+            if all(a <= b and (a == b or limit not in got["bound"]) for a, b, limit in zip(tightness(other), tightness(name), ("leaves", "depth"), strict=True)):
+                out[name] = got
+                break
+        else:
+            out[name] = yield from fit(data, target, hows[name], stages, keep)
+    return out
 
 
 class Scorer:

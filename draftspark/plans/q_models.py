@@ -10,6 +10,8 @@ reuses the models the training queries fit.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
@@ -19,7 +21,7 @@ from ..models.score import result_json, score_all
 from ..operators import matches as M
 from ..operators.evaluate import accuracy
 from ..operators.roles import role_stats_long
-from ..session import scratch_path, session_key
+from ..session import in_session, scratch_path, session_key
 from ..sources.fixture import drafts, match_rows
 from . import q_ordering  # noqa: F401 - its statement for the weights is used here
 from .common import round_doubles
@@ -169,9 +171,13 @@ def q_cv_scores(spark, sf):
 
 
 def _results(spark, sf):
-    """All models that the scorer knows: 5 single ones and 28 thresholds."""
-    return [winner(spark, sf), ultimate(spark, sf), total_kills(spark, sf), length(spark, sf), towers(spark, sf),
-            *kill_thresholds(spark, sf), *time_thresholds(spark, sf), *turret_thresholds(spark, sf)]
+    """All models that the scorer knows: 5 single ones and 28 thresholds.  The
+    tasks are independent, so some are trained at a time."""
+    match_rows(spark, sf)
+    tasks = [kill_thresholds, time_thresholds, ultimate, turret_thresholds, total_kills, winner, length, towers]
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(in_session(spark, lambda task: task(spark, sf)), tasks))
+    return [r for result in done for r in (result if isinstance(result, list) else [result])]
 
 
 @register("registry_check")

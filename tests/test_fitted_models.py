@@ -125,6 +125,19 @@ def test_trees_grow_best_first(leaves, depth, l1):
     assert sorted((f, round(b, 9)) for f, b in zip(got["feature"], got["bound"], strict=True) if f >= 0) == sorted(want)
 
 
+def test_a_family_equals_separate_fits():
+    """Limits that never bind share a fit; those that do get their own."""
+    t, _ = table()
+    rows = trees.Rows(t)
+    data = one(lambda: trees.binned(rows))
+    hows = {(n, d): trees.Growth(rounds=4, leaves=n, depth=d) for n in (3, 31, 40) for d in (-1, 2, 10)}
+    got = one(lambda: trees.fit_family(data, 0, hows, (2, 4)))
+    for name, how in hows.items():
+        alone = one(lambda how=how: trees.fit(data, 0, how, (2, 4)))
+        assert got[name]["trees"] == alone["trees"] and got[name]["stages"] == alone["stages"]
+    assert len({id(x) for x in got.values()}) < len(hows) and got[3, -1]["trees"] != got[31, -1]["trees"] != got[31, 2]["trees"]
+
+
 def test_scores_follow_the_rows_of_the_fit():
     t, x = table()
     for how in HOWS:
