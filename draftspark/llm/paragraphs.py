@@ -1,8 +1,14 @@
 """Substring dedup of paragraphs: MinHash banding, exact Jaccard, components.
 
-A paragraph is a line with at least ``WIDTH`` words; its shingles are runs of
-``WIDTH`` words.  ``tune`` picks the cheapest bands whose recall at the threshold
-meets a target.  The job:
+The unit compared is a paragraph: a line of ``SMALLEST`` to ``LONGEST`` words, or
+a piece of a longer line.  A longer line is cut before those words that, with
+the word before, hash lower than any other place at most ``REACH`` words away in
+the line, and where a word begins or ends to repeat ``SMALLEST`` times or more.
+A cut depends only on the words around it, so a passage copied into any line is
+cut at the same places there.  No cut lies closer than ``REACH + 1`` words to
+another one or to an end of the line: a longer line is compared whole, nothing
+of it is left out.  Shingles are runs of ``WIDTH`` words.  ``tune`` picks the
+cheapest bands whose recall at the threshold meets a target.  The job:
 
 1. Blocks of documents send 32 bits of each paragraph's band keys and of its
    content; a key that two different contents share is a collision.
@@ -18,8 +24,9 @@ meets a target.  The job:
    class the paragraph of the smallest document stays.
 
 Words are maximal runs of characters other than ASCII white space, A-Z
-lower-cased.  Defined results: shorter paragraphs are not compared and stay;
-null and empty texts have no paragraphs and stay empty; a null ``doc_id`` takes
+lower-cased.  A line that loses all its pieces goes with its line break; from any
+other line the removed pieces go, each with the white space after it.  Defined
+results: lines of fewer than ``SMALLEST`` words are not compared and stay; null and empty texts have no paragraphs and stay empty; a null ``doc_id`` takes
 no part and its text stays whole; rows that share a ``doc_id`` don't remove each
 other's paragraphs, but within a row only the first paragraph of a class stays.
 An empty table gives an empty result.
@@ -43,6 +50,8 @@ from .repeats import _packed, _text, _unpacked
 
 WIDTH, THRESHOLD = 5, 0.8
 RECALL = 0.999           # of pairs at the threshold
+SMALLEST, LONGEST = 12, 32  # words of a line that is compared, and of one that isn't cut
+REACH = 9                # words to either side that a cut looks at; pieces have more words than that
 CHUNK, PIVOTS = 512, 16  # paragraphs of a key compared in one go; those that all its chunks get
 BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 1 << 21     # band keys of a shard of the collision search, on average
@@ -67,9 +76,39 @@ BANDS, ROWS = tune()
 
 # --- paragraphs of a block -------------------------------------------------------
 
+def cuts(word: np.ndarray, line_of: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Before which words (hashes, with the numbers of their lines and the words
+    of each line) a line of more than ``LONGEST`` words is cut."""
+    out = np.zeros(len(word), bool)
+    at = np.flatnonzero(count[line_of] > LONGEST)  # whole lines, so neighbours stay neighbours
+    if not len(at):
+        return out
+    word, line = word[at], line_of[at]
+    start = np.concatenate([[True], line[1:] != line[:-1]])
+    height = K.mix(np.concatenate([word[:1], K.mix(word[:-1])]) ^ word)
+    # places where a repeated word begins or ends are lower than all others
+    new = np.concatenate([[True], word[1:] != word[:-1]]) | start
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(word)))
+    long_ = size >= SMALLEST
+    height[head[long_]] = 0
+    after = (head + size)[long_]
+    height[after[after < len(word)]] = 0
+    place = np.arange(len(word)) - np.maximum.accumulate(np.where(start, np.arange(len(word)), 0))
+    low = (place > REACH) & (count[line] - place > REACH)
+    height[~low] = np.iinfo(np.uint64).max
+    for step in range(1, REACH + 1):  # of equal ones the first
+        same = line[step:] == line[:-step]
+        low[:-step] &= ~(same & (height[step:] < height[:-step]))
+        low[step:] &= ~(same & (height[:-step] <= height[step:]))
+    out[at] = low
+    return out
+
+
 class Paragraphs:
-    """Paragraphs of texts with enough words: text number, start (of the line),
-    content hash, and if asked for sorted distinct shingles (runs) and band keys."""
+    """Paragraphs of texts: text number, start and end (of the bytes that go with
+    it), content hash, and if asked for sorted distinct shingles (runs) and band
+    keys."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, shingles: bool = True):
         self._with = shingles
@@ -81,30 +120,42 @@ class Paragraphs:
             text = last
         if not parts:
             parts = [self._read(data, offsets, 0)]
-        self.text, self.start, self.content, n_shingles, self.shingles, self.bands = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.text, self.start, self.end, self.content, n_shingles, self.shingles, self.bands = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.first = np.concatenate([[0], np.cumsum(n_shingles)])
 
     def _read(self, data: np.ndarray, offsets: np.ndarray, base: int):
         a, b = int(offsets[0]), int(offsets[-1])
         own = np.concatenate([K.lower_ascii(data[a:b]), np.zeros(16, np.uint8)])
         offsets = offsets - a
-        line_start, _, _ = K.spans_of(own[: b - a] != 10, offsets)
+        line_start, line_end, _ = K.spans_of(own[: b - a] != 10, offsets)
         start, end, _ = K.spans_of(~_WHITE[own[: b - a]], offsets)
         word = K.hash_spans(own, start, end - start)
         line_of = np.searchsorted(line_start, start, "right") - 1
-        first = np.searchsorted(line_of, np.arange(len(line_start) + 1))
-        count = np.diff(first)
-        some = np.flatnonzero(count >= WIDTH)
-        # content hash of each line's words, bound to their order
-        place = np.arange(len(word)) - np.repeat(first[:-1], count)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(word ^ K.mix(place.astype(np.uint64) + np.uint64(1))))])
-        content = K.mix(total[first[some + 1]] - total[first[some]] + count[some].astype(np.uint64))
-        text = np.searchsorted(offsets, line_start[some], "right") - 1 + base
+        in_line = np.bincount(line_of, minlength=len(line_start))
+        line_new = np.ones(len(word), bool)
+        line_new[1:] = line_of[1:] != line_of[:-1]
+        first = np.flatnonzero(line_new | cuts(word, line_of, in_line))
+        count = np.diff(np.append(first, len(word)))
+        # bytes of each paragraph: up to the next one of its line
+        line = line_of[first]
+        from_ = np.where(line_new[first], line_start[line], start[first])
+        last = np.ones(len(first), bool)
+        last[:-1] = line[1:] != line[:-1]
+        to = np.where(last, line_end[line], np.append(from_[1:], 0)[: len(first)])
+        some = np.flatnonzero(in_line[line] >= SMALLEST)
+        first, count, from_, to = first[some], count[some], from_[some], to[some]
+        # content hash of each paragraph's words, bound to their order
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = place + np.repeat(first, count)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(word[at] ^ K.mix(place.astype(np.uint64) + np.uint64(1))))])
+        ends = np.cumsum(count)
+        content = K.mix(total[ends] - total[ends - count] + count.astype(np.uint64))
+        text = np.searchsorted(offsets, from_, "right") - 1 + base
         if not self._with:
-            return text, line_start[some] + a, content, np.zeros(len(some), np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
-        # shingles: runs of WIDTH words within a line
-        n = count[some] - WIDTH + 1
-        at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+            return text, from_ + a, to + a, content, np.zeros(len(some), np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
+        # shingles: runs of WIDTH words within a paragraph
+        n = count - WIDTH + 1
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
         shingle = np.zeros(len(at), np.uint64)
         for j in range(WIDTH):
             shingle = K.mix(shingle * np.uint64(3) + word[at + j])
@@ -114,7 +165,7 @@ class Paragraphs:
         shingle, of = shingle[order], of[order]
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
-        return text, line_start[some] + a, content, np.bincount(of[new], minlength=len(some)), shingle[new], bands
+        return text, from_ + a, to + a, content, np.bincount(of[new], minlength=len(some)), shingle[new], bands
 
 
 def band_keys(shingle: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -420,6 +471,22 @@ def _colliding(block: Block, found: list[dict]) -> Iterator[pa.RecordBatch]:
                 [f.split(" ")[0] for f in _ROWS.split(", ")] + ["many"])
 
 
+def _without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """The text without these paragraphs (ascending); a line of which nothing
+    stays goes with its line break."""
+    kept, at, k = [], 0, 0
+    for line in text.split(b"\n"):
+        stop, here, parts = at + len(line), at, []
+        while k < len(starts) and starts[k] < stop:
+            parts.append(text[here:starts[k]])
+            here, k = ends[k], k + 1
+        rest = b"".join([*parts, text[here:stop]])
+        if rest or not parts:
+            kept.append(rest)
+        at = stop + 1
+    return b"\n".join(kept)
+
+
 def _cut(block: Block, answers: pa.Array) -> pa.RecordBatch:
     flat = answers.flatten()
     content, group, keeper = (np.asarray(flat.field(f)) for f in ("content", "class", "keeper")) if len(flat) else (np.zeros(0, np.int64),) * 3
@@ -439,21 +506,15 @@ def _cut(block: Block, answers: pa.Array) -> pa.RecordBatch:
     later = np.ones(len(mine), bool)
     later[first] = False
     removed[mine[later]] = True
-    raw, cuts = block.data.tobytes(), block.offsets.tolist()
+    raw, bounds = block.data.tobytes(), block.offsets.tolist()
     gone = np.flatnonzero(removed)
     by_text = np.searchsorted(p.text[gone], np.arange(n + 1))
     texts, classes = [], []
     for i in range(n):
         mine = gone[by_text[i]:by_text[i + 1]]
-        text = raw[cuts[i]:cuts[i + 1]]
+        text = raw[bounds[i]:bounds[i + 1]]
         if len(mine):
-            starts = set((p.start[mine] - cuts[i]).tolist())
-            kept, at_ = [], 0
-            for line in text.split(b"\n"):
-                if at_ not in starts:
-                    kept.append(line)
-                at_ += len(line) + 1
-            text = b"\n".join(kept)
+            text = _without(text, (p.start[mine] - bounds[i]).tolist(), (p.end[mine] - bounds[i]).tolist())
         texts.append(text)
         classes.append(np.unique(keep_of[mine]).tolist())
     return pa.RecordBatch.from_arrays(
