@@ -3,7 +3,11 @@
 A page's markup is read once; block-level tags end a line, so that a line is one
 block of text.  Lines of elements that are page furniture (navigation, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) have no
-weight; if the page marks its article, lines outside of it have none either, and
+weight.  An element that only a word in its class or id calls furniture is judged
+by its text first: the heaviest is none if it holds ``HELD`` of the text that is
+not yet furniture, more than a window of surges and mostly outside of links; then
+the elements in it are judged.  So a wrapper named after what it holds (a layout
+with a sidebar) keeps its text, and the sidebar in it goes.  If the page marks its article, lines outside of it have none either, and
 if not, lines in runs of pure links have none.  Weights are summed over windows of
 ``WINDOW`` lines; windows that are not empty make stretches, from a surge to a
 dive.  A stretch in which a window rises over the threshold is kept whole; where
@@ -20,6 +24,7 @@ the article's start; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import html
 import os.path
 import re
@@ -36,6 +41,7 @@ from . import textkit as K
 WINDOW = 3          # lines of a block
 SURGE = 80          # characters of a window that starts the text, where no article is marked
 MENU = 3            # consecutive lines of pure links that make a menu, where no article is marked
+HELD = 0.75         # share of the text that makes an element with a furniture word the page's text
 DEEP = 64           # depth to which the elements that hold a line are told apart
 
 # Element names by what they do here.
@@ -71,10 +77,10 @@ def _named(attributes: dict[str, str]) -> set[str]:
 
 
 class Line:
-    __slots__ = ("parts", "linked", "article", "furniture", "path")
+    __slots__ = ("parts", "linked", "article", "furniture", "path", "named")
 
-    def __init__(self, article: bool, furniture: bool, path: tuple[int, ...]):
-        self.parts, self.linked, self.article, self.furniture, self.path = [], 0, article, furniture, path
+    def __init__(self, article: bool, furniture: bool, path: tuple[int, ...], named: tuple[int, ...]):
+        self.parts, self.linked, self.article, self.furniture, self.path, self.named = [], 0, article, furniture, path, named
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -87,20 +93,23 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
     opened = 0
     lines, marked, links = [], False, 0
     articles, reasons = 0, 0
-    line = Line(False, False, path)
+    named: list[int] = []  # open elements that only a word calls furniture
+    line = Line(False, False, path, ())
     raw_until = None
     at, size = 0, len(page)
 
     def cut() -> None:
         nonlocal line
         lines.append(line)
-        line = Line(articles > 0, reasons > 0, path)
+        line = Line(articles > 0, reasons > 0, path, tuple(named))
 
     def close(depth: int) -> None:
         nonlocal articles, reasons, path
         for name, why in stack[depth:]:
             articles -= name in ARTICLE and not why
-            reasons -= bool(why)
+            reasons -= why in ("furniture", "comments")
+            if why == "named":
+                named.pop()
         del stack[depth:]
         path = path[:depth]
 
@@ -149,17 +158,20 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
             why = "comments"
         elif tag == "header" and articles:
             why = ""
-        elif tag in FURNITURE or names & FURNITURE_WORDS or names & HEADER_WORDS and not articles or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        elif tag in FURNITURE or names and FURNITURE_WORDS & set(attributes.get("role", "").lower().split()) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
             why = "furniture"
+        elif names & FURNITURE_WORDS or names & HEADER_WORDS and not articles:
+            # very deep ones are judged with the element around them
+            why = "furniture" if tag not in BLOCKS else "named" if len(named) < DEEP else ""
         if tag not in BLOCKS and not why:
             continue
         if tag in ARTICLE and not why:
             # an article ends furniture that was left open, but for comments and related texts
             for depth, (_, w) in enumerate(stack):
-                if w == "furniture":
+                if w in ("furniture", "named"):
                     close(depth)
                     break
-            marked = marked or not reasons
+            marked = marked or not reasons and not named
         if tag in BLOCKS and tag not in VOID and tag != "p" or why:
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
@@ -168,7 +180,9 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
             if len(stack) <= DEEP:
                 path += (opened,)
             articles += tag in ARTICLE and not why
-            reasons += bool(why)
+            reasons += why in ("furniture", "comments")
+            if why == "named":
+                named.append(opened)
             if tag not in BLOCKS:  # an inline advert or notice: its text goes, the line goes on
                 m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = m.end() if m else at
@@ -179,9 +193,40 @@ def read_lines(page: str) -> tuple[list[Line], bool]:
     return lines, marked
 
 
+def furniture(lines: list[Line], texts: list[str], marked: bool) -> list[bool]:
+    """Which lines belong to furniture, after named elements were judged."""
+    may_be = [not line.furniture and (line.article or not marked) for line in lines]
+    held: dict[int, list[int]] = {}
+    free, outer = 0, {}
+    for line, t, ok in zip(lines, texts, may_be, strict=True):
+        if not ok:
+            continue
+        free += 0 if line.named else len(t)
+        for k, element in enumerate(line.named):
+            outer[element] = line.named[k - 1] if k else None
+            own = held.setdefault(element, [0, 0])  # characters, those of links
+            own[0] += len(t)
+            own[1] += min(line.linked, len(t))
+    lifted: set[int] = set()
+    open_ = [(-held[e][0], e) for e in held if outer[e] is None]
+    heapq.heapify(open_)
+    while open_:
+        heaviest = heapq.heappop(open_)[1]
+        chars, linked = held[heaviest]
+        if chars < HELD * (chars + free) or chars <= WINDOW * SURGE:
+            break  # nor is any of the others heavy enough
+        if 2 * linked < chars:
+            lifted.add(heaviest)
+            for e in held:
+                if outer[e] == heaviest:
+                    heapq.heappush(open_, (-held[e][0], e))
+            free += sum(len(t) for line, t, ok in zip(lines, texts, may_be, strict=True) if ok and line.named and line.named[-1] == heaviest)
+    return [line.furniture or not lifted.issuperset(line.named) for line in lines]
+
+
 def weights(lines: list[Line], texts: list[str], marked: bool) -> np.ndarray:
     """Characters of each line that may be main text."""
-    out = np.array([len(t) if not line.furniture and (line.article or not marked) else 0 for line, t in zip(lines, texts, strict=True)], np.int64)
+    out = np.array([len(t) if not away and (line.article or not marked) else 0 for line, t, away in zip(lines, texts, furniture(lines, texts, marked), strict=True)], np.int64)
     if marked:
         return out
     pure = np.array([line.linked >= 0.8 * len(t.replace(" ", "")) for line, t in zip(lines, texts, strict=True)], bool)

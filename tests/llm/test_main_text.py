@@ -55,6 +55,35 @@ def test_whole_texts(page, text):
     assert M.main_text(page) == text
 
 
+THREE, TEXT = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>", f"{LONG}\n\n{LONG}\n\n{LONG}"
+SIDE = "<div class='sidebar'><p>" + "Something that is told beside the text, at some length. " * 4 + "</p></div>"
+WRAPPERS = [
+    (f"<body><div class='layout has-sidebar'>{THREE}</div></body>", TEXT),
+    (f"<body><div id='main' class='with-banner'>{THREE}</div></body>", TEXT),
+    (f"<body><main id='main' class='with-banner'>{THREE}</main></body>", TEXT),
+    (f"<body><div class='content page-header-fixed'>{THREE}</div></body>", TEXT),
+    (f"<article><div class='article-social-content'>{THREE}</div></article>", TEXT),
+    (f"<body><div class='layout has-sidebar'>{SIDE}<div class='text with-ads'>{THREE}</div></div></body>", TEXT),
+    (f"<body><div class='layout has-sidebar'><div>{THREE}</div>{SIDE}</div></body>", TEXT),
+    (f"<body><div>{THREE}</div>{SIDE}<div class='cookie-notice'><p>{LONG}</p></div></body>", TEXT),
+    (f"<body><div class='cookie-notice'><p>{LONG}</p></div></body>", ""),
+    ("<body><div class='menu'>" + f"<p><a href=x>{LONG}</a></p>" * 9 + "</div><p>Text.</p></body>", "Text."),
+    (f"<body><div role='navigation'>{THREE}</div><p>Text.</p></body>", "Text."),
+    (f"<body><div class='comments'>{THREE}</div><p>Text.</p></body>", "Text."),
+]
+
+
+@pytest.mark.parametrize("page,text", WRAPPERS)
+def test_a_word_does_not_outweigh_the_text(page, text):
+    assert M.main_text(page) == text
+
+
+def test_many_named_elements():
+    """Very deep and very many ones neither take long nor much room."""
+    assert M.main_text("<div class='has-ads'>" * 20_000 + THREE) == TEXT
+    assert M.main_text("<body><p>Text.</p>" + f"<div class='menu'><a href=x>{THREE}</a></div>" * 4000) == "Text."
+
+
 def test_odd_rows(llm):
     rows = [(1, "u", p, "t", "r") for p, _ in CASES] + [(2, None, "<p>" + "long text " * 50_000 + "</p>", None, None), (None, None, "<p>" * 20_000, None, None)]
     df = llm.createDataFrame(rows, "page_id long, url string, html string, text string, row string")
