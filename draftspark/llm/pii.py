@@ -4,8 +4,10 @@ Base identifiers (email, ip, card, phone) are found in the text as it stands.
 Disguised ones are found after a cascade of transducers, each of which rewrites
 a text and carries, for every character of its output, the span of source
 characters that it stands for: look-alike characters become ASCII and invisible
-ones vanish; runs of spelled digits become digits; ``[at]``, ``(dot)`` and the
-like become ``@`` and ``.``.  Identifiers found in the result are mapped back
+ones vanish; runs of spelled digits become digits, as do shorter ones beside
+figures (``555 five 0199``); ``[at]``, ``(dot)`` and the
+like become ``@`` and ``.``, and so does ``name at host dot ca`` with any two
+letters or a common ending last.  Identifiers found in the result are mapped back
 through these spans.  Base spans always stay; a mapped span is added unless it
 lies inside a base span of its kind.
 
@@ -119,6 +121,11 @@ DIGIT_WORDS = {
 AT_WORDS, DOT_WORDS = ("at", "ät", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
 # Last parts of a host name that make a bare "at ... dot" an address.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "biz", "example", "test", "de", "fr", "es", "eu", "uk", "us", "at", "ch", "mx", "ar")
+# Further last parts, taken where at and dot are both written out, as any two letters are.
+SPELLED_ENDINGS = ("academy", "agency", "app", "blog", "cloud", "coop", "dev", "digital", "email", "global", "group", "int", "jobs", "live", "media", "mil", "mobi", "museum", "name", "news", "online", "page", "pro", "shop", "site", "solutions", "space", "store", "studio", "tech", "today", "website", "work", "world", "xyz")
+# Two letters that are an English word and no country; words before a noun, which are no host.
+NO_COUNTRIES = ("an", "go", "he", "hi", "if", "of", "oh", "ok", "on", "or", "ox", "up", "we")
+BEFORE_NOUNS = ("a", "an", "any", "each", "every", "her", "his", "its", "my", "no", "one", "our", "some", "that", "the", "their", "this", "your")
 
 
 class Mapped:
@@ -188,6 +195,9 @@ _DIGIT_OF = {w: d for d, names in DIGIT_WORDS.items() for w in names}
 _DIGIT = r"(?:(?:double|triple)[ \t]+)?(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + r")(?!\w)"
 _DOT = r"[ \t]*(?:\.|[\[({<][ \t]*(?:\.|" + "|".join(DOT_WORDS) + r")[ \t]*[\])}>]|(?<=[ \t])(?:" + "|".join(DOT_WORDS) + r")(?=[ \t]))[ \t]*"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]+)?{_DIGIT}(?:(?:[ \t]*[-,][ \t]*|[ \t]+|{_DOT}){_DIGIT}){{3,}}", re.I)
+_BETWEEN = rf"(?:[ \t]*[-,][ \t]*|[ \t]+|{_DOT})"
+_FEW = re.compile(rf"(?<!\w)(?P<plus>plus[ \t]+)?{_DIGIT}(?:{_BETWEEN}{_DIGIT})*", re.I)
+_FIGURE_BEFORE, _FIGURE_AFTER = re.compile(rf"[0-9][)]?{_BETWEEN}(?=(?:plus[ \t]+)?{_DIGIT})", re.I), re.compile(rf"{_BETWEEN}[(]?[0-9]", re.I)
 _SPELLED_PART = re.compile(rf"(?P<plus>plus[ \t]+)|(?P<digit>{_DIGIT})|(?P<dot>{_DOT})", re.I)
 
 
@@ -196,23 +206,29 @@ def _lower(text: str) -> str:
     return text.replace("\u0130", "i").lower()
 
 
+def _digits(word: str) -> str:
+    words = _lower(word).split()
+    return _DIGIT_OF[words[-1]] * {"double": 2, "triple": 3}.get(words[0], 1)
+
+
 def spelled_digits(text: Mapped) -> Mapped:
     """Runs of four or more digit words become digits; what parts them goes,
-    but for a dot."""
+    but for a dot.  In shorter runs with a figure beside them each word becomes a
+    digit, and what parts them stays."""
     edits = []
     for m in _SPELLED.finditer(text.text):
         at = m.start()
         for part in _SPELLED_PART.finditer(text.text, m.start(), m.end()):
             if part.start() > at:
                 edits.append((at, part.start(), ""))
-            if part["digit"]:
-                words = _lower(part["digit"]).split()
-                times = {"double": 2, "triple": 3}.get(words[0], 1)
-                new = _DIGIT_OF[words[-1]] * times
-            else:
-                new = "+" if part["plus"] else "."
-            edits.append((part.start(), part.end(), new))
+            edits.append((part.start(), part.end(), _digits(part["digit"]) if part["digit"] else "+" if part["plus"] else "."))
             at = part.end()
+    text, edits = text.rewrite(edits), []
+    beside = {m.end() for m in _FIGURE_BEFORE.finditer(text.text)}
+    for m in _FEW.finditer(text.text):
+        if m.start() in beside or _FIGURE_AFTER.match(text.text, m.end()):
+            edits += [(part.start(), part.end(), _digits(part["digit"]) if part["digit"] else "+")
+                      for part in _SPELLED_PART.finditer(text.text, m.start(), m.end()) if part["digit"] or part["plus"]]
     return text.rewrite(edits)
 
 
@@ -223,14 +239,32 @@ _BOXED_DOT = re.compile(rf"(?<=[A-Za-z0-9-]){_OPEN}(?:\.|{_DOTS}){_CLOSE}(?=[A-Z
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOTS})[ \t]+(?=[0-9])", re.I)
 _LOOSE_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)[A-Za-z0-9-]{{1,63}}){{0,5}}(?:[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*)(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])"
 _LOOSE = re.compile(rf"(?P<at>[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)(?P<host>{_LOOSE_HOST})", re.I)
+# "at this point in" is no address: after a bare "at", "point" only goes with ENDINGS.
+_CLEAR_AT, _CLEAR_DOT = "|".join(w for w in AT_WORDS if w != "at"), "|".join(w for w in DOT_WORDS if w != "point")
+
+
+def _written_out(at: str, dots: str) -> str:
+    dot = rf"[ \t]+(?:{dots})[ \t]+"
+    return rf"[ \t]+(?:{at})[ \t]+(?!(?:{'|'.join(BEFORE_NOUNS)})[ \t])[A-Za-z0-9-]{{1,63}}(?:{dot}[A-Za-z0-9-]{{1,63}}){{0,5}}{dot}(?:(?!(?:{'|'.join(NO_COUNTRIES)})(?![A-Za-z0-9-]))[A-Za-z]{{2}}|{'|'.join(ENDINGS + SPELLED_ENDINGS)})(?![A-Za-z0-9-])"
+
+
+_WRITTEN_OUT = re.compile(rf"{_written_out(_CLEAR_AT, _DOTS)}|{_written_out('at', _CLEAR_DOT)}", re.I)
+_WRITTEN_AT = re.compile(rf"[ \t]+(?:{_AT})[ \t]+", re.I)
 _LOOSE_DOT = re.compile(rf"[ \t]+(?:{_DOTS})[ \t]+|[ \t]*\.[ \t]*", re.I)
 
 
 def at_and_dot(text: Mapped) -> Mapped:
-    """Boxed forms first, then ``name at host dot com`` and spaced ``@``."""
+    """Boxed forms first, then ``name at host dot ca``, all in words, then spaced
+    ``@`` and mixed forms before the common endings."""
     for pattern, new in ((_BOXED_AT, "@"), (_BOXED_DOT, "."), (_NUMBER_DOT, ".")):
         text = text.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(text.text)])
     edits = []
+    for m in _WRITTEN_OUT.finditer(text.text):
+        if m.start() and text.text[m.start() - 1] in _LOCAL:
+            at = _WRITTEN_AT.match(text.text, m.start()).end()
+            edits.append((m.start(), at, "@"))
+            edits += [(d.start(), d.end(), ".") for d in _LOOSE_DOT.finditer(text.text, at, m.end())]
+    text, edits = text.rewrite(edits), []
     for m in _LOOSE.finditer(text.text):
         if m.start() and text.text[m.start() - 1] in _LOCAL and (m["at"] != "@" or _LOOSE_DOT.sub(".", m["host"]) != m["host"]):
             edits.append((m.start("at"), m.end("at"), "@"))
@@ -240,6 +274,7 @@ def at_and_dot(text: Mapped) -> Mapped:
 
 TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
 _BOX = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_AT}|{_DOTS})[ \t]*[\])}}>]", re.I)
+_PARTING, _FIGURES = str.maketrans("-,.()", "     "), frozenset("0123456789")
 _PARTED = tuple(f"{sep}{w}" for w in DOT_WORDS for sep in " \t")
 # One pattern for each at-word and for @, as a search for a fixed start is fast; for texts in lower case.
 _BEFORE_HOST = tuple(re.compile(rf"{w}[ \t]+{_LOOSE_HOST}") for w in AT_WORDS)
@@ -263,11 +298,13 @@ def disguised(text: str) -> bool:
         return True
     if "@" in low and any(" " in m.group() or "\t" in m.group() for m in _SIGN_HOST.finditer(low)):
         return True
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    words = low.translate(_PARTING).split()
     if _DIGIT_OF.keys().isdisjoint(words):
         return False
     spelled = [w in _DIGIT_OF or w in ("double", "triple") for w in words]
-    return any(map(operator.and_, spelled, spelled[1:]))
+    if any(map(operator.and_, spelled, spelled[1:])):
+        return True
+    return any(s and (i and words[i - 1][-1] in _FIGURES or i + 1 < len(words) and words[i + 1][0] in _FIGURES) for i, s in enumerate(spelled))
 
 
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

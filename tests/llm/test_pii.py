@@ -36,6 +36,10 @@ def test_base_spans(text):
     ("ip 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"), ("at 10 dot 0 dot 0 dot 1 there", "ip", "10 dot 0 dot 0 dot 1"),
     ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
     ("call plus one five five five one two three four five six seven please", "phone", "plus one five five five one two three four five six seven"),
+    *[(f"bob at acme dot {e} or call", "email", f"bob at acme dot {e}") for e in ("ca", "it", "nl", "pl", "jp", "in", "br", "dev", "co dot uk")],
+    ("ana arroba casa punto br", "email", "ana arroba casa punto br"),
+    ("on +1 555 five five 0199 now", "phone", "+1 555 five five 0199"), ("plus one (555) double five 0199 22", "phone", "plus one (555) double five 0199 22"),
+    ("ip 192 dot 168 dot one dot 4", "ip", "192 dot 168 dot one dot 4"), ("4111 one one 11 1111 1111", "card", "4111 one one 11 1111 1111"),
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
     ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
     ("é vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins", "card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins")])
@@ -44,7 +48,7 @@ def test_disguises(text, kind, found):
     assert base == [] and [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
-@pytest.mark.parametrize("text", ["look at the dot on the page", "one two three go", "we meet at home. come on", "a point at which two or three", "é à la une deux trois quatre fois", "zero to one hundred"])
+@pytest.mark.parametrize("text", ["look at the dot on the page", "one two three go", "we meet at home. come on", "a point at which two or three", "é à la une deux trois quatre fois", "zero to one hundred", "at this point in time", "look at the dot in it", "we met at noon dot or dot", "4 five 6", "chapter 2 one of 30 or 4 two"])
 def test_clean_texts(text):
     assert M.find_spans(text) == ([], [])
 
@@ -66,6 +70,9 @@ def generated():
     for sep in (" ", "-", " - ", ", ", "\t", " . ", ".", " dot ", "[.]"):
         for words in ("one nine two one six", "(five five five five)", "double one triple two six seven", "f\u0130ve six nine f\u0130ve", "plus ACHT neun zehn", "un deux trois quatre"):
             yield f"is {sep.join(words.split(' '))}!"
+    for sep in (" ", "-", " - ", "\t", ".", " dot ", "[.]", ") (", ") ", " ("):
+        for words in ("+1 555 five 0199 2233", "+49 one 555 double five 0199 22", "1 two 3 four", "192 one 1 zero", "plus one 555 0199 22 five"):
+            yield f"is {sep.join(words.split(' '))}!"
     yield from ("10 dot 0 dot 0 dot 1", "10\tpunkt 0 point 0 punto 1", "10[.]0{dot}0<.>1", "we meet at home. come on", "a@b.co. Com", "a@b.co")
 
 
