@@ -31,6 +31,7 @@ from . import textkit as K
 
 WINDOW = 10              # words of a test window
 BLOCK_WINDOWS = 40_000   # test windows sent to the shards at once, on average
+PASS_BLOCKS = 4          # blocks of a pass over the index
 SHARD_BYTES = 4 << 20    # text of one shard (one document at least)
 
 _IS_WORD = np.zeros(256, bool)
@@ -76,7 +77,6 @@ class Shard:
     """One row of the index, its lists ready to intersect."""
 
     def __init__(self, row: dict):
-        self.doc_ids, self.text_marks = row["doc_ids"], row["text_marks"]
         self.first = np.frombuffer(row["first"], np.int32)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.lists = np.frombuffer(row["lists"], np.int32)
@@ -158,13 +158,15 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     them: shard, doc_no, doc_id, text_mark, n_words, n_hit (words inside an
     occurrence; for proximity, rarest terms with all others near), window_ids.
 
-    Blocks of windows follow one another as steps of one pass over the index;
-    the words hit so far travel along as a bitmap, so words that windows of
-    several blocks hit count once."""
+    ``PASS_BLOCKS`` blocks of windows follow one another as steps of one pass
+    over the index; the words hit so far travel along as a bitmap.  What a pass
+    marks is written and its blocks are released before the next one, so neither
+    driver memory nor the plan grows with the windows.  The bitmaps of a shard are
+    joined at the end: words that windows of several blocks hit count once."""
     spark = index.sparkSession
-    marks = "shard string, doc_ids array<long>, text_marks array<long>, first binary, hit binary, hit_docs array<int>, hit_windows array<long>"
-    marked = marks + ", terms binary, lists binary, postings binary"
-    df = index.withColumns({"hit": F.lit(None).cast("binary"), "hit_docs": F.array().cast("array<int>"), "hit_windows": F.array().cast("array<long>")})
+    marks = "shard string, hit binary, hit_docs array<int>, hit_windows array<long>"
+    marked = marks + ", first binary, terms binary, lists binary, postings binary"
+    unmarked = index.withColumns({"hit": F.lit(None).cast("binary"), "hit_docs": F.array().cast("array<int>"), "hit_windows": F.array().cast("array<long>")})
 
     def step(block, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,24 +191,35 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
                                 pairs |= {(d, block_windows[k][0]) for d in np.unique(shard.doc_of(starts)).tolist()}
                     pairs = sorted(pairs)
                     row |= {"hit": K.pack(np.packbits(hit)), "hit_docs": row["hit_docs"] + [d for d, _ in pairs], "hit_windows": row["hit_windows"] + [w for _, w in pairs]}
-                    kept = [f for f in batch.schema if not last or f.name not in ("terms", "lists", "postings")]
+                    kept = [f for f in batch.schema if not last or f.name not in ("first", "terms", "lists", "postings")]
                     yield pa.RecordBatch.from_pylist([{f.name: row[f.name] for f in kept}], pa.schema(kept))
         return run
 
     n_blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    for number in range(n_blocks):
-        rows = spark.sparkContext.broadcast(_block(windows, number, n_blocks))
-        last = number == n_blocks - 1  # nothing reads the lists any more
-        df = df.select(*[f.split(" ")[0] for f in marked.split(", ")]).mapInArrow(K.tidy(step(rows, last)), marks if last else marked)
+    found = None
+    for start in range(0, n_blocks, PASS_BLOCKS):
+        df, sent, numbers = unmarked, [], range(start, min(start + PASS_BLOCKS, n_blocks))
+        for number in numbers:
+            sent.append(spark.sparkContext.broadcast(_block(windows, number, n_blocks)))
+            last = number == numbers[-1]  # nothing of this pass reads the lists any more
+            df = df.select(*[f.split(" ")[0] for f in marked.split(", ")]).mapInArrow(K.tidy(step(sent[-1], last)), marks if last else marked)
+        df = K.written(df, "marks")
+        for block in sent:
+            block.destroy()
+        found = df if found is None else found.unionByName(df)
+    found = found.groupBy("shard").agg(F.collect_list(F.struct("hit", "hit_docs", "hit_windows")).alias("marks"))
+    df = index.select("shard", "doc_ids", "text_marks", "first").join(found, "shard")
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 first = np.frombuffer(row["first"], np.int32).astype(np.int64)
-                hits = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=int(first[-1])))]).astype(np.int64)
+                bits = np.bitwise_or.reduce([np.frombuffer(m["hit"], np.uint8) for m in row["marks"]])
+                hits = np.concatenate([[0], np.cumsum(np.unpackbits(bits, count=int(first[-1])))]).astype(np.int64)
                 docs, own = len(row["doc_ids"]), {}
-                for d, w in zip(row["hit_docs"], row["hit_windows"], strict=True):
-                    own.setdefault(d, []).append(w)
+                for m in row["marks"]:
+                    for d, w in zip(m["hit_docs"], m["hit_windows"], strict=True):
+                        own.setdefault(d, []).append(w)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * docs), pa.array(range(docs), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_marks"], pa.int64()),
                      pa.array(np.diff(first)), pa.array(np.diff(hits[first])), pa.array([own.get(d, []) for d in range(docs)], pa.list_(pa.int64()))],

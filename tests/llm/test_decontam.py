@@ -52,6 +52,18 @@ def test_several_blocks_and_odd_rows(llm, odd, empty, monkeypatch):
     assert kept == {2, 3, 4, None, 8, 9, 10, 12, 13}
 
 
+def test_many_blocks_in_several_passes(llm, documents, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WINDOWS", 100)
+    monkeypatch.setattr(M, "PASS_BLOCKS", 2)
+    items = llm.read.parquet(f"{SF}/benchmark.parquet")
+    passes = []
+    write = M.K.written
+    monkeypatch.setattr(M.K, "written", lambda df, name: passes.append(name) or write(df, name))
+    docs = [(r[0], r[1]) for r in documents.select("doc_id", "text").collect()]
+    assert run(documents, items) == brute(docs, [tuple(r) for r in items.select("item_id", "text").collect()])
+    assert passes.count("marks") > 1
+
+
 def test_proximity(llm):
     docs = llm.createDataFrame([(1, "alpha one two beta"), (2, "alpha one two three four beta"), (3, "beta x alpha"), (4, "alpha"), (5, "beta")], "doc_id long, text string")
     from pyspark.sql import functions as F
