@@ -32,7 +32,7 @@ from . import textkit as K
 WINDOW = 10              # words of a test window
 BLOCK_WINDOWS = 40_000   # test windows sent to the shards at once, on average
 PASS_BLOCKS = 4          # blocks of a pass over the index
-SHARD_BYTES = 4 << 20    # text of one shard (one document at least)
+SHARD_BYTES = 2 << 20    # text of one shard (one document at least)
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
