@@ -125,6 +125,61 @@ def test_trees_grow_best_first(leaves, depth, l1):
     assert sorted((f, round(b, 9)) for f, b in zip(got["feature"], got["bound"], strict=True) if f >= 0) == sorted(want)
 
 
+class _Counting:
+    """numpy that sums up how many entries its histograms read."""
+
+    def __init__(self):
+        self.read = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def bincount(self, x, *rest, **kw):
+        self.read += len(x)
+        return np.bincount(x, *rest, **kw)
+
+
+def test_a_split_reads_the_rows_of_its_smaller_side_only(monkeypatch):
+    """Steps of 25 rows that double: a tree takes them off one after another."""
+    n = 2000
+    x = np.arange(n) // 25
+    y = 2.0 ** np.minimum(x, 40)
+    t, _ = table(n, 3)
+    features = pa.StructArray.from_arrays([pa.array([1] * n, pa.int8()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.list_(pa.int32())),
+                                           pa.array([[float(v) + 1] for v in x], pa.list_(pa.float64()))], ["type", "size", "indices", "values"])
+    t = t.set_column(t.schema.get_field_index("features"), "features", features)
+    t = t.set_column(t.schema.get_field_index("labels"), "labels", pa.array([[v] for v in y[::-1]]))
+    t = t.set_column(t.schema.get_field_index("part"), "part", pa.array(np.zeros(n, np.int32)))
+    data = one(lambda: trees.binned(trees.Rows(t)))
+    how = trees.Growth(rounds=1, rate=0.1, leaves=31, loss="squared")
+    one(lambda: data.narrowed(how.min_rows))
+    counting = _Counting()
+    monkeypatch.setattr(trees, "np", counting)
+    got = one(lambda: trees.fit(data, 0, how))
+    assert max(_depths(got["trees"][0])) > 10
+    assert counting.read < 25 * n  # 14 times the rows; 44 times when both sides were read
+
+
+def _depths(tree):
+    depth = [0] * len(tree["feature"])
+    for i, f in enumerate(tree["feature"]):
+        if f >= 0:
+            depth[tree["left"][i]] = depth[tree["right"][i]] = depth[i] + 1
+    return depth
+
+
+@pytest.mark.parametrize("how", [trees.Growth(rounds=6, min_rows=5), trees.Growth(rounds=4, leaves=0, depth=8, min_rows=1, min_hess=0.0, rate=1.0, split_columns=-1.0, loss="forest"),
+                                 trees.Growth(rounds=6, leaves=0, depth=4, min_rows=1, min_hess=1.0, l2=1.0, row_share=0.8, column_share=0.8)])
+def test_few_histograms_at_a_time_give_the_same_model(how, monkeypatch):
+    t, _ = table()
+    whole = fit(t, how, stages=(2, 4))
+    monkeypatch.setattr(trees, "HISTOGRAM_CELLS", 1)
+    parts = fit(t, how, stages=(2, 4))
+    assert whole["stages"] == parts["stages"]
+    for a, b in zip(whole["trees"], parts["trees"], strict=True):
+        assert a["feature"] == b["feature"] and a["left"] == b["left"] and np.allclose(a["value"], b["value"])
+
+
 def test_a_family_equals_separate_fits():
     """Limits that never bind share a fit; those that do get their own."""
     t, _ = table()
