@@ -38,3 +38,28 @@ def test_grid_mapping_and_product():
     grid = points(REFERENCE_GRIDS["kills"])
     assert len(grid) == 8 and grid[0] == {"n_estimators": 100, "learning_rate": 0.05, "num_leaves": 31}
     assert [p["num_leaves"] for p in grid[:2]] == [31, 40]  # the last key varies fastest
+
+
+def test_participant_rows_take_one_exchange_of_the_line_items(spark):
+    """Null keys, repeated parts and suppliers, unknown parts; the rows are those of the oracle's text."""
+    import datetime as dt
+
+    from draftspark.sources import fixture as X
+
+    d = dt.date(1995, 1, 1)
+    items = [(o if o % 11 else None, n if n != 4 else None, (o * 7 + n) % 9 if (o + n) % 13 else None, (o + n) % 5 if o % 7 else None,
+              float(n * 10 + o), d + dt.timedelta(days=o % 5) if n != 2 else None, float(n + o % 6), 0.1, 0.2) for o in range(40) for n in range(1, 6)]
+    spark.createDataFrame([*items, *items[:60]], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_shipdate date, "
+                          "l_quantity double, l_discount double, l_tax double").createOrReplaceTempView("lineitem")
+    spark.createDataFrame([(k % 7, f"part {k}") for k in range(10)] + [(None, "none"), (8, None)], "p_partkey bigint, p_name string").createOrReplaceTempView("part")
+    spark.createDataFrame([(k % 4, f"team {k}", k % 3) for k in range(5)], "s_suppkey bigint, s_name string, s_nationkey bigint").createOrReplaceTempView("supplier")
+    spark.createDataFrame([(k, f"N{k}") for k in range(2)], "n_nationkey bigint, n_name string").createOrReplaceTempView("nation")
+    ours, stated = spark.sql(X.MATCH_ROWS_SPARK_SQL), spark.sql(X.MATCH_ROWS_SQL)
+    assert ours.schema.simpleString() == stated.schema.simpleString()
+    rows = sorted(map(str, ours.collect()))
+    assert len(rows) > 100 and rows == sorted(map(str, stated.collect()))
+
+    def sources(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey#")
+
+    assert sources(ours) * 2 < sources(stated)
