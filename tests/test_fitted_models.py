@@ -1,6 +1,7 @@
 """Trees, kernel machines and their fitting in lockstep."""
 
 import tempfile
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -268,6 +269,27 @@ def test_insensitive_machine_meets_the_optimality_conditions():
             assert objective(got["alpha"] + rng.normal(0, size, len(got["alpha"])), got["bias"] + rng.normal(0, size)) > base - 2e-3 * abs(base)
 
 
+def test_a_machine_holds_its_map_once_and_works_on_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, width, landmarks = 12_000, 60, 100
+    x = rng.normal(size=(n, width))
+    features = pa.StructArray.from_arrays([pa.array([1] * n, pa.int8()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.list_(pa.int32())),
+                                           pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(x.ravel()))], ["type", "size", "indices", "values"])
+    t = pa.table({"key": pa.array(np.arange(n)), "part": pa.array(np.where(np.arange(n) % 5 == 0, 2, 0).astype(np.int32)), "weight": pa.array(np.ones(n)),
+                  "labels": pa.array((x[:, :1] * 3 + x[:, 1:2]).tolist()), "features": features})
+    how = kernel.Machine(kind="insensitive", landmarks=landmarks)
+    tracemalloc.start()
+    whole = one(lambda: kernel.fit(trees.Rows(t), 0, how))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * n * (landmarks + 1) * 8
+    monkeypatch.setattr(kernel, "_BLOCK", 701)
+    parts = one(lambda: kernel.fit(trees.Rows(t), 0, how))
+    assert np.array_equal(whole["landmarks"], parts["landmarks"])
+    scored = [kernel.KernelScorer(m, False)(x[:500]) for m in (whole, parts)]
+    assert np.allclose(*scored, atol=1e-3)
+
+
 def test_few_landmarks_come_close_and_shards_agree():
     t, x = table(300, 5)
     rows = trees.Rows(t)
