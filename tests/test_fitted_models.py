@@ -194,6 +194,33 @@ def test_a_family_equals_separate_fits():
     assert len({id(x) for x in got.values()}) < len(hows) and got[3, -1]["trees"] != got[31, -1]["trees"] != got[31, 2]["trees"]
 
 
+def test_long_families_are_split_where_groups_have_none():
+    """The 54 points of a grid on three folds: 6 families, but no group of twelve
+    has more than twice its share of the models, and each is dealt out once."""
+    grid = [growth_of(p, "squared") for p in points(REFERENCE_GRIDS["total_kills"])]
+    tasks = [fitted.Task(f, 0, how, (100, 200, 300)) for how in grid if how.rounds == 300 for f in range(3)]
+    of = fitted.deal_out(tasks, {0: 2900, 1: 4350, 2: 5800}, 12)
+    assert sorted(i for many in of.values() for own in many for i in own) == list(range(54))
+    assert max(sum(map(len, many)) for many in of.values()) <= 2 * 54 / 12
+    assert len(fitted.deal_out(tasks, {0: 2900, 1: 4350, 2: 5800}, 1)[0]) == 6
+
+
+@pytest.mark.parametrize("entries", ["listed", "table"])
+def test_rows_move_alike_by_marks_and_by_entries(entries):
+    """A split's rows are found in the lists of its cells or, where these are long, in the rows' entries."""
+    t, _ = table()
+    data = one(lambda: trees.binned(trees.Rows(t)))
+    how = trees.Growth(rounds=4, leaves=12, min_rows=3)
+    want = one(lambda: trees.fit(data, 0, how))["trees"]
+    narrow = one(lambda: data.narrowed(3))
+    if entries == "listed":
+        narrow.listed_from = narrow.listed_from.copy()
+        narrow.table = np.concatenate([narrow.table, np.full((200, 300), narrow.cells, np.int32)])  # entries cost more now
+    else:
+        narrow.listed_from = narrow.listed_from * 10_000
+    assert one(lambda: trees.fit(data, 0, how))["trees"] == want
+
+
 def test_scores_follow_the_rows_of_the_fit():
     t, x = table()
     for how in HOWS:
