@@ -243,8 +243,10 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that contain a window of a test item."""
-    bad = (contamination(docs, items, text_col, id_col).where("n_hit > 0")
-           .select(F.col("doc_id").alias("_bad_id"), F.col("text_mark").alias("_bad_mark")).distinct())
+    """``docs`` without the rows that contain a window of a test item.  These are
+    written first, so that their size is known and the texts stay where they are
+    unless that is too much to broadcast."""
+    bad = K.written(contamination(docs, items, text_col, id_col).where("n_hit > 0")
+                    .select(F.col("doc_id").alias("_bad_id"), F.col("text_mark").alias("_bad_mark")).distinct(), "contaminated")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_mark"))
     return docs.join(bad, same, "left_anti")

@@ -256,9 +256,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (of equal
-    ids the smallest text hash, of equal rows any one)."""
-    found = near_duplicates(docs, text_col, id_col, width, bits)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))).alias("w")).select("w._kept_id", "w._kept_mark")
+    ids the smallest text hash, of equal rows any one).  What has to go, or is
+    there more than once, is written without texts and of known size, so that the
+    texts move only where that is too much to broadcast, and then once."""
+    found = K.written(near_duplicates(docs, text_col, id_col, width, bits).select("doc_id", "mark", "root"), "near-marks")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark"))).alias("w")).select(F.col("root").alias("of"), F.col("w.id").alias("best_id"), F.col("w.mark").alias("best_mark"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
+    each = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("rows")).join(best, F.col("root") == F.col("of")).withColumn("kept", kept)
+    odd = K.written(each.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("_odd_id"), F.col("mark").alias("_odd_mark"), "kept"), "near-odd")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_mark"))
-    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_mark"]).select("row.*")
+    same = F.col("_id").eqNullSafe(F.col("_odd_id")) & (F.col("_mark") == F.col("_odd_mark"))
+    out, twins = rows.join(odd, same, "left_anti"), odd.where("kept")
+    if not twins.isEmpty():
+        out = out.unionByName(rows.join(twins, same, "left_semi").dropDuplicates(["_id", "_mark"]))
+    return out.select("row.*")

@@ -71,3 +71,8 @@ def test_proximity(llm):
     phrases = M.test_windows(llm.createDataFrame([(1, "alpha beta")], "item_id long, text string")).withColumn("window_id", F.xxhash64("window"))
     found = M.search(M.build_index(docs), phrases.select("window_id", "window"), slop=3)
     assert sorted(r["doc_id"] for r in found.where("n_hit > 0").collect()) == [1, 3]
+
+
+def test_clean_texts_are_not_shuffled(llm, documents):
+    kept = M.drop_contaminated(documents, llm.read.parquet(f"{SF}/benchmark.parquet"))
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()

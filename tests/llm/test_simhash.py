@@ -76,3 +76,16 @@ def test_gray_rank_neighbours_differ_in_one_bit():
     by_rank = np.argsort(rank)
     assert sorted(rank.tolist()) == list(range(256))
     assert (np.bitwise_count(by_rank[1:] ^ by_rank[:-1]) == 1).all()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_texts_are_not_shuffled(llm):
+    """Copies to drop are few and of known size: the texts stay where they are."""
+    rows = [(i, f"text {i} has words of its own, {i * 7} and {i * 13}, and some more {i * 31}") for i in range(50)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    kept = M.keep_one(llm.createDataFrame(rows, "doc_id long, text string"))
+    assert "hashpartitioning" not in plan(kept)
+    assert not {r["doc_id"] for r in kept.collect()} & set(range(100, 105))
