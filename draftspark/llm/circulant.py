@@ -253,6 +253,7 @@ def _cell_cut(rows: pa.Table) -> int:
 
 
 def _judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links that join components, one for each that is joined: fewer than a cell has members."""
     rows = rows.combine_chunks()
     node, label, left = rows.column("node").to_pylist(), rows.column("label").to_pylist(), np.asarray(rows.column("left"))
     shingles, first = _runs(rows.column("shingles").combine_chunks())
@@ -273,9 +274,12 @@ def _judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             own = root(label[i])
             apart = y[np.array([root(c) != own for c in label[y].tolist()], bool)] if len(y) else y
             hit = apart[similar(first, shingles, np.full(len(apart), i), apart)] if len(apart) else apart
-            if len(hit):
-                joined.update({root(c): own for c in label[hit].tolist()})
-                yield pa.RecordBatch.from_arrays([pa.array([back[node[i]]] * len(hit), pa.binary()), pa.array([back[node[j]] for j in hit], pa.binary())], ["a", "b"])
+            first_of = {}
+            for j in hit.tolist():
+                first_of.setdefault(root(label[j]), j)
+            if first_of:
+                joined.update(dict.fromkeys(first_of, own))
+                yield pa.RecordBatch.from_arrays([pa.array([back[node[i]]] * len(first_of), pa.binary()), pa.array([back[node[j]] for j in first_of.values()], pa.binary())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

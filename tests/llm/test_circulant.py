@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from draftspark.llm import circulant as M
@@ -80,3 +81,14 @@ def test_permutations_are_invertible():
     x = np.arange(1 << 18, dtype=np.uint64) * np.uint64(0x10001)
     assert len(np.unique(M.sigma(x))) == len(x)
     assert len(np.unique(M.pi(x, np.empty_like(x), np.empty_like(x)))) == len(x)
+
+
+def test_a_cell_links_each_component_once():
+    """One set against 40 copies of a component: one link says it all, not 40."""
+    words = np.arange(100, dtype=np.uint64)
+    n = 41
+    rows = pa.table({"node": pa.array([b"%02d" % i for i in range(n)]), "key": pa.array([1] * n), "side": pa.array([0] * n), "cell": pa.array([0] * n),
+                     "label": pa.array([b"00"] + [b"01"] * 20 + [b"21"] * 20), "left": pa.array([True] + [False] * (n - 1)), "shingles": pa.array([words.tobytes()] * n)})
+    links = pa.Table.from_batches(M._judged(rows)).to_pylist()
+    assert len(links) == 2
+    assert {(r["a"], r["b"] <= b"20") for r in links} == {(b"00", True), (b"00", False)}
