@@ -157,6 +157,15 @@ class Block:
         for k in np.flatnonzero(np.diff(self.cuts)).tolist():
             yield k, int(self.cuts[k]), int(self.cuts[k + 1])
 
+    def packet(self, a: int, b: int) -> bytes:
+        """The distinct strings from ``a`` to ``b`` and the documents that they
+        name, no others: a block sends one to every shard."""
+        own = self.first[a:b]
+        named, number = np.unique(np.concatenate([self.low[a:b], self.high[a:b]]), return_inverse=True)
+        low, high = number[:b - a], number[b - a:]
+        return _packed(np.diff(self.sorted_ids[named], prepend=0), self.size[own].astype(np.uint8), self.place[own].astype(np.uint8), low.astype(np.uint32),
+                       (high - low).astype(np.uint32), gather(self.data, self.start[own], self.size[own]))
+
 
 def _text(data: bytes, n: int) -> np.ndarray:
     out = np.zeros(n + 32, np.uint8)
@@ -397,12 +406,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     def send_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in rows_of(batches):
             block.keep(row["shared"])
-            ids = np.diff(block.sorted_ids, prepend=0)
             for shard, a, b in block.shards():
-                own = block.first[a:b]
-                packet = _packed(ids, block.size[own].astype(np.uint8), block.place[own].astype(np.uint8), block.low[a:b].astype(np.uint32),
-                                 (block.high - block.low)[a:b].astype(np.uint32), gather(block.data, block.start[own], block.size[own]))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]]), pa.array([packet], pa.binary())], ["shard", "block", "packet"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([row["block"]]), pa.array([block.packet(a, b)], pa.binary())], ["shard", "block", "packet"])
 
     def scan_minimizers(key, group: pd.DataFrame) -> pd.DataFrame:
         K.release()

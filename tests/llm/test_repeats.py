@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from draftspark.llm import repeats as M
 
@@ -62,3 +63,20 @@ def test_stack_scan_names_the_maximal_repeats():
     before = np.where(at > 0, text[at - 1].astype(np.int64), -1)[order]
     found = {text[order[a]:order[a] + n].tobytes(): sorted(order[a:b].tolist()) for n, a, b in M.maximal_repeats(common, before, 3)}
     assert found == {b"abcd": [1, 6], b"abc": [1, 6, 11]}
+
+
+def test_a_packet_names_its_own_documents_only():
+    """A block sends a packet to every shard, so what all of them hold would grow with the square of the input."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 200).astype(np.uint8) for _ in range(300)]
+    offsets = np.arange(301) * 200
+    data = np.concatenate([*texts, np.zeros(32, np.uint8)])
+    start, place = M.window_strings(data, offsets, M.LENGTH)
+    row = {"doc_ids": list(range(1000, 1300)), "offsets": offsets.astype(np.int64).tobytes(), "data": zstandard.ZstdCompressor(3).compress(data[:60_000].tobytes()),
+           "strings": M._packed(np.diff(start, prepend=0).astype(np.uint32), place.astype(np.uint8))}
+    block = M.Block(row, M.LENGTH, 500)
+    block.keep([{"shard": k, "bits": b"\xff" * 200} for k in range(500)])
+    for _, a, b in block.shards():
+        ids, size, _, low, more, raw = M._unpacked(block.packet(a, b), np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint8)
+        assert len(ids) <= 2 * (b - a) and len(raw) == size.sum()
+        assert np.array_equal(np.cumsum(ids)[low + more], block.sorted_ids[block.high[a:b]])
