@@ -1,7 +1,10 @@
 """Trees, kernel machines and their fitting in lockstep."""
 
+import functools
 import tempfile
+import threading
 import tracemalloc
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
@@ -205,6 +208,48 @@ def test_long_families_are_split_where_groups_have_none():
     assert len(fitted.deal_out(tasks, {0: 2900, 1: 4350, 2: 5800}, 1)[0]) == 6
 
 
+@pytest.mark.parametrize("shards", [1, 2])
+def test_models_side_by_side_share_their_steps(monkeypatch, shards):
+    """Models that differ in target, rate, leaves and columns: side by side they are
+    what each is alone, and a run of a step serves many of them."""
+    t, _ = table(800)
+    hows = [trees.Growth(rounds=5, rate=r, leaves=n, min_rows=5, l1=l1, column_share=s, patience=p, holdout=p / 10)
+            for r, n, l1, s, p in ((0.1, 6, 0.0, 1.0, 0), (0.05, 9, 0.0, 0.6, 0), (0.1, 4, 0.1, 1.0, 0), (0.1, 6, 0.0, 1.0, 2))]
+    models = [(target, how) for target in (0, 1) for how in hows]
+    runs = []
+
+    def counted(kind):
+        run = kind.run
+        monkeypatch.setattr(kind, "run", staticmethod(lambda steps: runs.append(len(steps)) or run(steps)))
+
+    alone = [fit(t, how, target, (2, 5)) for target, how in models]
+    for kind in (trees.Sums, trees.Splits):
+        counted(kind)
+    place = np.asarray(t.column("key")) % shards
+    barrier, sent = threading.Barrier(shards), {}
+
+    def work(shard):
+        def exchange(arrays):
+            sent[shard] = arrays
+            barrier.wait(60)
+            every = [sent[i] for i in range(shards)]
+            barrier.wait(60)
+            return every
+
+        run = functools.partial(lockstep.drive, exchange=exchange if shards > 1 else None, together=len(models))
+        data = dict(run({0: lambda: trees.binned(trees.Rows(t.filter(pa.array(place == shard))))}))[0]
+        return [got for _, got in run({i: (lambda target=target, how=how: trees.fit(data, target, how, (2, 5), True, True)) for i, (target, how) in enumerate(models)})]
+
+    with ThreadPoolExecutor(shards) as pool:
+        got = list(pool.map(work, range(shards)))[0]
+    assert sum(runs) > 2 * len(runs)
+    for a, b in zip(got, alone, strict=True):
+        assert len(a["trees"]) == len(b["trees"]) and np.allclose(a["stages"], b["stages"])
+        for x, y in zip(a["trees"], b["trees"], strict=True):
+            assert x["feature"] == y["feature"] and x["bound"] == y["bound"] and x["left"] == y["left"]
+            assert np.allclose(x["value"], y["value"])
+
+
 @pytest.mark.parametrize("entries", ["listed", "table"])
 def test_rows_move_alike_by_marks_and_by_entries(entries):
     """A split's rows are found in the lists of its cells or, where these are long, in the rows' entries."""
