@@ -266,6 +266,47 @@ def test_rows_move_alike_by_marks_and_by_entries(entries):
     assert one(lambda: trees.fit(data, 0, how))["trees"] == want
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_rows_that_keep_their_leaf_are_not_read(shards):
+    """Columns that few rows have, and one of many values: a split of such a column
+    names its few rows only, and the trees are those of rows that are listed by node."""
+    rng = np.random.default_rng(4)
+    n, columns = 3000, 60
+    x = np.zeros((n, columns))
+    x[np.arange(n), rng.integers(0, columns - 1, n)] = rng.choice([-1.0, 1.0], n)
+    x[:, -1] = rng.normal(size=n).round(2)
+    t, _ = table(n)
+    features = pa.StructArray.from_arrays([pa.array([1] * n, pa.int8()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.list_(pa.int32())),
+                                           pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * columns, pa.int32()), pa.array(x.ravel()))], ["type", "size", "indices", "values"])
+    t = t.set_column(t.schema.get_field_index("features"), "features", features)
+    t = t.set_column(t.schema.get_field_index("labels"), "labels", pa.array([[float(v)] for v in x @ rng.normal(size=columns) + rng.normal(size=n) > 0]))
+
+    def program(joint, p):
+        def run(r):
+            data = yield from trees.binned(r)
+            g, h, c = (0.5 - r.label(0)) * r.train, 0.25 * r.train, r.train.astype(float)
+            narrow = yield from data.narrowed(p.min_rows)
+            steps = trees.grow(narrow, g, h, c, p, 0, set(), joint)
+            answer = None
+            while True:
+                try:
+                    asked = steps.send(answer)
+                except StopIteration as end:
+                    return *end.value, read
+                if isinstance(asked, trees.Sums):
+                    read.extend(len(i) for i in asked.inside if i is not None)
+                answer = asked.run([asked])[0] if isinstance(asked, trees.Joint) else (yield asked)
+        read = []
+        return run
+
+    how = trees.Growth(leaves=24, min_rows=8)
+    one_tree, step, read = in_shards(t, program(True, how), shards)
+    want, expected, _ = in_shards(t, program(False, how), shards)
+    assert one_tree["feature"] == want["feature"] and one_tree["bound"] == want["bound"] and one_tree["left"] == want["left"]
+    assert np.allclose(one_tree["value"], want["value"]) and np.allclose(step, expected)
+    assert max(_depths(one_tree)) > 6 and sum(read) < 4 * n
+
+
 def test_scores_follow_the_rows_of_the_fit():
     t, x = table()
     for how in HOWS:
