@@ -1,0 +1,50 @@
+"""Trees grown in the executors' JVM (``Fits.java``).
+
+A tree on a fold that one task holds is thousands of very short steps, which cost in
+Python mostly their calls.  The same growth as plain Java needs no exchange and no
+Python worker.  The driver compiles the source by the compiler that Spark has for its
+own generated code, and Spark sends the classes to the executors as a jar.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import threading
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+SOURCE = Path(__file__).with_name("Fits.java")
+_LOADERS: dict = {}
+_LOCK = threading.Lock()
+
+
+def _loader(spark: SparkSession):
+    """The class loader of the compiled source, whose jar the executors have; once an application."""
+    with _LOCK:
+        app = spark.sparkContext.applicationId
+        if app not in _LOADERS:
+            jvm = spark._jvm
+            compiler = jvm.org.codehaus.janino.SimpleCompiler()
+            compiler.setParentClassLoader(jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+            compiler.cook(SOURCE.read_text())
+            classes = compiler.getBytecodes()
+            jar = f"{tempfile.mkdtemp(prefix='draftspark-jar-')}/draftspark-fits.jar"
+            with zipfile.ZipFile(jar, "w") as z:
+                for name in list(classes.keySet()):
+                    z.writestr(f"{name.replace('.', '/')}.class", bytes(classes.get(name)))
+            spark.sparkContext._jsc.addJar(f"file:{jar}")
+            _LOADERS[app] = compiler.getClassLoader()
+    return _LOADERS[app]
+
+
+def fits(rows: DataFrame, spec: str, schema: str) -> DataFrame:
+    """The results of the families that ``spec`` has for each partition's group; a
+    partition's rows have the columns of ``training_rows``, ordered by fold."""
+    spark = rows.sparkSession
+    run = _loader(spark).loadClass("draftspark.models.Fits").newInstance()
+    run.setSpec(spec)
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.row(spark._jsparkSession.parseDataType(StructType.fromDDL(schema).json()))
+    return DataFrame(rows._jdf.mapPartitions(run, encoder), spark)
