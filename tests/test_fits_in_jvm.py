@@ -61,3 +61,53 @@ def test_missing_labels_split_nothing(rows):
     none = rows.withColumn("labels", F.array(F.lit(None).cast("double"), F.col("labels")[1]))
     stages, trees, _ = found(none, [fitted.Task(0, 0, Growth(rounds=3), (3,), keep=True), fitted.Task(0, 1, Growth(rounds=3, loss="squared"), (3,), keep=True)])
     assert len(trees[0, 0].feature) == 1 and len(trees[1, 0].feature) > 1 and len(stages) == 2
+
+
+def test_targets_with_grids_of_their_own_equal_separate_searches(rows, spark):
+    """One preparation of the folds for both, the same scores and best points."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from draftspark.models.cv import time_series_search
+
+    rng = np.random.default_rng(2)
+    data = [(f"g{i}", i, 1.0, float(rng.integers(0, 2)), float(rng.normal()), Vectors.dense(rng.normal(0, 1, 4).tolist())) for i in range(160)]
+    df = spark.createDataFrame(data, ["gameid", "ordinal", "weight", "result", "total", "raw"])
+    stages = [VectorAssembler(inputCols=["raw"], outputCol="features")]
+    first, second = {"n_estimators": [2, 4], "num_leaves": [3]}, {"n_estimators": [3], "num_leaves": [3, 4], "learning_rate": [0.1, 0.3]}
+    both = time_series_search(df, stages, {"result": "logistic", "total": "squared"}, first, 2, grids={"total": second})
+    for target, loss, grid in (("result", "logistic", first), ("total", "squared", second)):
+        assert both[target][1:] == time_series_search(df, stages, {target: loss}, grid, 2)[target][1:]
+
+
+def test_a_machine_on_many_rows_holds_them_in_files(rows, monkeypatch):
+    """Neither the rows that a task is given nor the machine's map have to fit its memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from draftspark.models import kernel, trees
+
+    n, width = 6000, 40
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (n, width))
+    features = pa.StructArray.from_arrays([pa.array([1] * n, pa.int8()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.list_(pa.int32())), pa.array(x.tolist(), pa.list_(pa.float64()))],
+                                          ["type", "size", "indices", "values"])
+    t = pa.table({"key": pa.array(rng.integers(0, 1 << 62, n)), "part": pa.array([0] * 5000 + [2] * 1000, pa.int32()), "weight": pa.array(np.ones(n)),
+                  "labels": pa.array([[v] for v in x[:, 0] + x[:, 1] ** 2]), "features": features})
+
+    def fitted_machine():
+        held = trees.Rows(lockstep.rows_held(iter(t.to_batches(max_chunksize=700))))
+        tracemalloc.start()
+        got = dict(lockstep.drive({0: lambda: kernel.fit(held, 0, kernel.Machine(kind="insensitive", landmarks=200))}))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, peak
+
+    in_memory, more = fitted_machine()
+    monkeypatch.setattr(lockstep, "HELD_BYTES", 100_000)
+    arrow = pa.total_allocated_bytes()
+    table = lockstep.rows_held(iter(t.to_batches(max_chunksize=700)))
+    assert table.equals(t) and pa.total_allocated_bytes() - arrow < t.nbytes / 4
+    in_files, less = fitted_machine()
+    assert all(np.array_equal(in_memory[k], in_files[k]) for k in in_memory)
+    assert more - less > 5000 * 200 * 8 * 0.9  # the map of the 5000 training rows
