@@ -22,7 +22,7 @@ def test_entries_are_summed_up_in_order(spark):
 
 def test_a_missing_pick_has_no_index(spark):
     df = spark.createDataFrame([(["a", None, "b"], ["c"]), (["a", "b"], ["c", None])], "blue_picks array<string>, red_picks array<string>")
-    a, b = ([x for x in r[0] if x.index is not None] for r in df.select(hashed_entries(300, "diff")).collect())
+    a, b = ([x for x in r[0] if x["index"] is not None] for r in df.select(hashed_entries(300, "diff")).collect())
     assert a == b and len(a) == 3
 
 
